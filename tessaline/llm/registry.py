@@ -6,17 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.llm import simhash
-from tessaline.llm.common import documents
+from tessaline.llm import language, simhash, substrings, toxicity
+from tessaline.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": lambda spark, sf_dir: toxicity.op1(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
+        "op4_substring_dedup": lambda spark, sf_dir: substrings.op4(documents(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: simhash.op5(documents(spark, sf_dir)),
+        "op10_language_id": lambda spark, sf_dir: language.op10(documents(spark, sf_dir)),
     }
 
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, s, array_to_string(ws[s:s+19], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+late AS (
+  SELECT doc_id, s
+  FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM late),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t
+  FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n.c, 0) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substring_dedup": OP4_SQL}
