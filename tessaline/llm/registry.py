@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.llm import language, packing, simhash, substrings, toxicity
+from tessaline.llm import fingerprint, language, packing, simhash, substrings, toxicity
 from tessaline.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda spark, sf_dir: toxicity.op1(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
         "op2_best_fit_packing": lambda spark, sf_dir: packing.op2(documents(spark, sf_dir)),
+        "op3_document_fingerprints": lambda spark, sf_dir: fingerprint.op3(documents(spark, sf_dir)),
         "op4_substring_dedup": lambda spark, sf_dir: substrings.op4(documents(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: simhash.op5(documents(spark, sf_dir)),
         "op10_language_id": lambda spark, sf_dir: language.op10(documents(spark, sf_dir)),
