@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.llm import fingerprint, language, packing, simhash, substrings, toxicity
+from tessaline.llm import ann, fingerprint, language, packing, simhash, substrings, toxicity
 from tessaline.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op3_document_fingerprints": lambda spark, sf_dir: fingerprint.op3(documents(spark, sf_dir)),
         "op4_substring_dedup": lambda spark, sf_dir: substrings.op4(documents(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: simhash.op5(documents(spark, sf_dir)),
+        "op9_nearest_neighbours": lambda spark, sf_dir: ann.op9(table(spark, sf_dir, "embeddings")),
         "op10_language_id": lambda spark, sf_dir: language.op10(documents(spark, sf_dir)),
     }
 
@@ -43,5 +44,21 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])),
+                          lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM d)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op9_nearest_neighbours": OP9_SQL}
