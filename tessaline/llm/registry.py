@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.llm import ann, fingerprint, language, packing, simhash, substrings, toxicity
+from tessaline.llm import ann, fingerprint, language, packing, secrets, simhash, substrings, toxicity
 from tessaline.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op3_document_fingerprints": lambda spark, sf_dir: fingerprint.op3(documents(spark, sf_dir)),
         "op4_substring_dedup": lambda spark, sf_dir: substrings.op4(documents(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: simhash.op5(documents(spark, sf_dir)),
+        "op6_secret_scan": lambda spark, sf_dir: secrets.op6(documents(spark, sf_dir)),
         "op9_nearest_neighbours": lambda spark, sf_dir: ann.op9(table(spark, sf_dir, "embeddings")),
         "op10_language_id": lambda spark, sf_dir: language.op10(documents(spark, sf_dir)),
     }
@@ -44,6 +45,30 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def _secret_sql(rule: secrets.Rule, order: int) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {order} AS ord, '{rule.kind}' AS kind, unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i,
+         unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(regexp_extract_all(t, '{pattern}', {rule.group})) AS g,
+         unnest(list_slice(string_split_regex(t, '{pattern}'), 1, len(regexp_extract_all(t, '{pattern}')))) AS b, {rule.least} AS least
+  FROM d"""
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_secret_sql(r, i) for i, r in enumerate(secrets.RULES))}),
+p AS (
+  SELECT *, sum(length(b) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM m),
+s AS (SELECT doc_id, ord, kind, CAST(e - length(m) AS BIGINT) AS a, CAST(e AS BIGINT) AS e FROM p WHERE length(g) >= least),
+j AS (
+  SELECT doc_id, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, ord) AS spans,
+         count(*) FILTER (kind = 'assign') AS x, count(*) FILTER (kind = 'access') AS y, count(*) FILTER (kind = 'hex') AS z
+  FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(x, 0) AS n_assign, coalesce(y, 0) AS n_access, coalesce(z, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -61,4 +86,4 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op9_nearest_neighbours": OP9_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op6_secret_scan": OP6_SQL, "op9_nearest_neighbours": OP9_SQL}
