@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.llm import ann, fingerprint, language, packing, secrets, simhash, substrings, toxicity
+from tessaline.llm import ann, fingerprint, language, licenses, packing, secrets, simhash, substrings, toxicity
 from tessaline.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_substring_dedup": lambda spark, sf_dir: substrings.op4(documents(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: simhash.op5(documents(spark, sf_dir)),
         "op6_secret_scan": lambda spark, sf_dir: secrets.op6(documents(spark, sf_dir)),
+        "op7_license_scan": lambda spark, sf_dir: licenses.op7(documents(spark, sf_dir)),
         "op9_nearest_neighbours": lambda spark, sf_dir: ann.op9(table(spark, sf_dir, "embeddings")),
         "op10_language_id": lambda spark, sf_dir: language.op10(documents(spark, sf_dir)),
     }
@@ -69,6 +70,31 @@ SELECT doc_id, coalesce(x, 0) AS n_assign, coalesce(y, 0) AS n_access, coalesce(
 FROM d LEFT JOIN j USING (doc_id)
 """
 
+_TEMPLATES = ", ".join(f"('{name}', '{' '.join(licenses.template_words(text))}')" for name, text in licenses.TEMPLATES.items())
+OP7_SQL = f"""
+WITH t AS (SELECT license, string_split(words, ' ') AS ws FROM (VALUES {_TEMPLATES}) AS v(license, words)),
+ts AS (
+  SELECT DISTINCT license, len(ws) AS words, array_to_string(ws[i:i+4], ' ') AS s
+  FROM (SELECT license, ws, unnest(range(1, len(ws) - 3)) AS i FROM t)),
+size AS (SELECT license, count(*) AS size FROM ts GROUP BY license),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{licenses.WORD}') AS ws FROM documents),
+hit AS (
+  SELECT doc_id, license, words, i - 1 AS pos, s
+  FROM (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)) JOIN ts USING (s)),
+win AS (
+  SELECT DISTINCT doc_id, license, words,
+         unnest(range(greatest(0, CAST(ceil((pos + 5 - 64) / 32) AS BIGINT)), CAST(floor(pos / 32) AS BIGINT) + 1)) AS w
+  FROM hit),
+n AS (
+  SELECT doc_id, license, w, count(DISTINCT s) AS n, min(pos) AS first_word, max(pos + 5) AS end_word
+  FROM win JOIN hit USING (doc_id, license, words)
+  WHERE pos >= w * 32 - words AND pos + 5 <= w * 32 + 64 + words GROUP BY ALL)
+SELECT doc_id, license, max(n / size) AS containment, CAST(min(first_word) AS INTEGER) AS first_word,
+       CAST(max(end_word) AS INTEGER) AS end_word
+FROM n JOIN size USING (license) WHERE n / size >= 0.8 GROUP BY ALL
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -86,4 +112,4 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op6_secret_scan": OP6_SQL, "op9_nearest_neighbours": OP9_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op6_secret_scan": OP6_SQL, "op7_license_scan": OP7_SQL, "op9_nearest_neighbours": OP9_SQL}
