@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -113,9 +114,9 @@ def stars(a: np.ndarray, b: np.ndarray, vertex: np.ndarray) -> tuple[np.ndarray,
     return vertex[linked], label[linked]
 
 
-def _blocks(distance: int) -> list[int]:
-    """Masks that cut 64 bits into `distance` + 2 blocks."""
-    edges = [round(i * 64 / (distance + 2)) for i in range(distance + 3)]
+def _blocks(count: int) -> list[int]:
+    """Masks that cut 64 bits into `count` blocks."""
+    edges = [round(i * 64 / count) for i in range(count + 1)]
     return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
@@ -123,9 +124,18 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keys(fp: Column, distance: int) -> Column:
-    """One key for each pair of blocks: of `distance` + 2 blocks, two at least are equal in a close pair."""
-    masks = [a | b for a, b in combinations(_blocks(distance), 2)]
+def spare_blocks(distance: int, count: int) -> int:
+    """How many blocks make a key: enough that `count` spread fingerprints leave about 16 in a bucket."""
+    spare = 2
+    while spare * 64 / (distance + spare) < math.log2(max(2, count)) - 4 and spare < 6:
+        spare += 1
+    return spare
+
+
+def _keys(fp: Column, distance: int, spare: int) -> Column:
+    """Keys of a fingerprint: of `distance` + `spare` blocks, `spare` at least are equal in a close pair."""
+    blocks = _blocks(distance + spare)
+    masks = [sum(chosen) for chosen in combinations(blocks, spare)]
     return F.array(*[F.struct(F.lit(i).cast("int").alias("t"), fp.bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)])
 
 
@@ -134,12 +144,13 @@ def links_between(classes: DataFrame, distance: int = 4) -> DataFrame:
 
     Not every pair: within each unit of work the pairs found are reduced to stars, which
     connect the same classes. Nothing is left out: two fingerprints that close agree on
-    two of `distance` + 2 blocks of bits, so they meet in the bucket of these blocks.
+    `spare` of `distance` + `spare` blocks of bits, so they meet in these blocks' bucket,
+    whichever number of spare blocks the count of classes suggests.
     Buckets over `UNIT` members are cut into parts by a hash, each pair of parts is a
     unit of its own, so that no task holds a whole bucket.
     """
-    fp = F.col("fp")
-    keyed = classes.select("rep", "fp", F.explode(_keys(fp, distance)).alias("k")).select("rep", "fp", "k.t", "k.v")
+    fp, spare = F.col("fp"), spare_blocks(distance, classes.count())
+    keyed = classes.select("rep", "fp", F.explode(_keys(fp, distance, spare)).alias("k")).select("rep", "fp", "k.t", "k.v")
     sizes = keyed.groupBy("t", "v").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(UNIT)).cast("int")
     part = F.pmod(F.xxhash64("rep", "t"), F.col("p")).cast("int")
@@ -217,7 +228,7 @@ def near_duplicates(
     return prints.df.join(labels, "fp").select("key", "fp", "component")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 6) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id stays.
 
     Of rows that repeat the staying id one stays. Columns are unchanged.
