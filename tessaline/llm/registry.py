@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.llm import ann, fingerprint, language, licenses, packing, secrets, simhash, substrings, toxicity
+from tessaline.llm import ann, fingerprint, language, licenses, packing, pieces, secrets, simhash, substrings, toxicity
 from tessaline.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op5_simhash_near_dedup": lambda spark, sf_dir: simhash.op5(documents(spark, sf_dir)),
         "op6_secret_scan": lambda spark, sf_dir: secrets.op6(documents(spark, sf_dir)),
         "op7_license_scan": lambda spark, sf_dir: licenses.op7(documents(spark, sf_dir)),
+        "op8_sentencepiece": lambda spark, sf_dir: pieces.op8(documents(spark, sf_dir)),
         "op9_nearest_neighbours": lambda spark, sf_dir: ann.op9(table(spark, sf_dir, "embeddings")),
         "op10_language_id": lambda spark, sf_dir: language.op10(documents(spark, sf_dir)),
     }
