@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import spread, text_slices
+from tessaline.llm.common import Written, spread, text_slices
 from tessaline.llm.language import fold
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -106,50 +107,103 @@ class Scorer:
         return float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0
 
 
-def train(texts: list[str], toxic: list[int], max_features: int = 20_000, rounds: int = 300) -> Model:
-    """Fit sentence weights to document labels.
+def occurrences(text: str) -> list[list[str]]:
+    """The features of each sentence, repeats included."""
+    return [[f for w in _WORD.findall(text[a:b].lower()) for f in features(w)] for a, b in sentences(text)]
 
-    The loss is the negative log likelihood of the labels under the noisy-or of all
-    sentences, plus a ridge; it goes down by Adam over all documents at once. Features
-    are those that occur in 3 and 0.5 % of the toxic documents at least, relatively twice as often there
-    as in others, the `max_features` clearest ones.
+
+def optimise(
+    size: int, doc: np.ndarray, row: np.ndarray, col: np.ndarray, toxic: np.ndarray, rounds: int = 300
+) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the negative log likelihood of the labels under the noisy-or, plus a ridge.
+
+    doc: the document of each sentence; row and col: sentence and feature of each
+    occurrence; toxic: the label of each document. Adam over all documents at once; both
+    labels weigh the same.
     """
-    bags = [
-        [Counter(f for w in dict.fromkeys(_WORD.findall(t[a:b].lower())) for f in features(w)) for a, b in sentences(t)]
-        for t in texts
-    ]
-    y = np.array(toxic, dtype=bool)
-    if not y.any() or y.all():
-        return Model()
-    seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for bag, label in zip(bags, y, strict=True):
-        seen[int(label)].update({f for sentence in bag for f in sentence})
-    n_bad, n_good = y.sum(), (~y).sum()
-    rate = {f: (c / n_bad, (seen[0][f] + 0.5) / n_good) for f, c in seen[1].items() if c >= max(3, 0.005 * n_bad)}
-    clear = {f: (p - q) / np.sqrt(p * (1 - p) / n_bad + q / n_good + 1e-12) for f, (p, q) in rate.items() if p >= 2 * q}
-    names = sorted((f for f, z in clear.items() if z > 3), key=lambda f: (-clear[f], f))[:max_features]
-    at = {f: i for i, f in enumerate(names)}
-    docs, rows, cols = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            hits = [at[f] for f in sentence if f in at]
-            rows += [len(docs)] * len(hits)
-            cols += hits
-            docs.append(d)
-    doc, row, col = np.array(docs, dtype=np.int64), np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
-    w, b = np.full(len(names), 0.5), -6.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    weight = np.where(y, 0.5 / n_bad, 0.5 / n_good)
+    w, b = np.full(size, 0.5), -6.0
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     for step in range(1, rounds + 1):
         z = b + np.bincount(row, w[col], minlength=len(doc))
-        total = np.bincount(doc, np.logaddexp(0, z), minlength=len(y))
-        slope = np.where(y, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) * weight
-        dz = slope[doc] * (1 / (1 + np.exp(-z)))
-        grad = np.append(np.bincount(col, dz[row], minlength=len(names)) + 2e-5 * w, dz.sum())
+        total = np.bincount(doc, np.logaddexp(0, z), minlength=len(toxic))
+        slope = np.where(toxic, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) * weight
+        dz = slope[doc] / (1 + np.exp(-z))
+        grad = np.append(np.bincount(col, dz[row], minlength=size) + 2e-5 * w, dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Model(float(b), {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 0.01})
+    return w, float(b)
+
+
+def train(sample: DataFrame, max_features: int = 20_000) -> Model:
+    """Fit sentence weights to the labels of `sample` (text, toxic).
+
+    Features are those that occur in 3 and 0.5 % of the toxic documents at least,
+    relatively twice as often there as in others, the `max_features` clearest ones.
+    Counting and extraction are distributed; the driver holds the chosen features, and
+    for each document of the sample where they occur in which sentence.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                seen: Counter[tuple[str, bool]] = Counter()
+                for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                    seen.update((f, label == 1) for f in {f for sentence in occurrences(text) for f in sentence})
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f for f, _ in seen], pa.string()),
+                        pa.array([n if bad else 0 for (_, bad), n in seen.items()], pa.int64()),
+                        pa.array([0 if bad else n for (_, bad), n in seen.items()], pa.int64()),
+                    ],
+                    names=["feature", "bad", "good"],
+                )
+
+    sizes = sample.agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).first()
+    if not sizes.bad or not sizes.good:
+        return Model()
+    p, q = F.col("bad") / sizes.bad, (F.col("good") + 0.5) / sizes.good
+    clear = (p - q) / F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / sizes.bad + q / sizes.good)
+    chosen = (
+        sample.mapInArrow(count, "feature string, bad long, good long")
+        .groupBy("feature")
+        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        .filter((F.col("bad") >= max(3, 0.005 * sizes.bad)) & (p >= 2 * q))
+        .select("feature", clear.alias("z"))
+        .filter("z > 3")
+        .orderBy(F.desc("z"), "feature")
+        .limit(max_features)
+        .collect()
+    )
+    names = [r.feature for r in chosen]
+    at = {f: i for i, f in enumerate(names)}
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                bags = [occurrences(t) for t in part.column("text").to_pylist()]
+                hits = [[(j, at[f]) for j, sentence in enumerate(bag) for f in sentence if f in at] for bag in bags]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("toxic"),
+                        pa.array([len(bag) for bag in bags], pa.int32()),
+                        pa.array([[j for j, _ in h] for h in hits], pa.list_(pa.int32())),
+                        pa.array([[f for _, f in h] for h in hits], pa.list_(pa.int32())),
+                    ],
+                    names=["toxic", "sentences", "row", "col"],
+                )
+
+    found = sample.mapInArrow(extract, "toxic int, sentences int, row array<int>, col array<int>").toArrow()
+    found = found.sort_by([("toxic", "ascending"), ("sentences", "ascending")])
+    sentence_counts = found.column("sentences").to_numpy()
+    first = np.cumsum(sentence_counts) - sentence_counts
+    hits = pc.list_value_length(found.column("row")).to_numpy()
+    row = pc.list_flatten(found.column("row")).to_numpy() + np.repeat(first, hits)
+    col = pc.list_flatten(found.column("col")).to_numpy()
+    doc = np.repeat(np.arange(len(sentence_counts)), sentence_counts)
+    w, b = optimise(len(names), doc, row, col, found.column("toxic").to_numpy() == 1)
+    return Model(b, {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 0.01})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, max_chars: int = 24_000_000) -> Model:
@@ -157,11 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, max_chars:
 
     The classifier is fitted on a sample of about `sample_docs` documents of each label,
     picked by a hash of the id, and of these on at most `max_chars` characters (whole
-    documents, in the order of the hash); both bound what the driver holds. Of several
-    labels for an id the greatest counts. Without both labels nothing is learned and
-    every score is close to 0.
+    documents, in the order of the hash). Of several labels for an id the greatest
+    counts. Without both labels nothing is learned and every score is close to 0.
     """
-    marked = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     near = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20))
     picked = None
@@ -170,21 +223,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, max_chars:
         picked = part if picked is None else picked.unionAll(part)
     if picked is None:
         return Model()
-    chosen = [(r.doc_id, r.toxic) for r in picked.collect()]  # about 2 * sample_docs ids
     spark = docs.sparkSession
-    ids = spark.createDataFrame(chosen, "doc_id long, toxic int")
+    ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in picked.collect()], "doc_id long, toxic int")  # about 2 * sample_docs
     rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    sized = rows.select("doc_id", F.length("text").alias("chars"), near.alias("h")).collect()
     room, use = max_chars, []
-    for r in sorted(sized, key=lambda r: (r.h, r.doc_id)):
+    for r in sorted(rows.select("doc_id", F.length("text").alias("chars"), near.alias("h")).collect(), key=lambda r: (r.h, r.doc_id)):
         if r.chars <= room:
             use.append((r.doc_id,))
             room -= r.chars
     if not use:
         return Model()
-    kept = rows.join(F.broadcast(spark.createDataFrame(use, "doc_id long").distinct()), "doc_id")
-    found = sorted(kept.collect(), key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in found], [r.toxic for r in found])
+    kept = rows.join(F.broadcast(spark.createDataFrame(use, "doc_id long").distinct()), "doc_id").select("text", "toxic")
+    return train(spread(Written(kept, "sample").df))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
