@@ -58,7 +58,7 @@ class Model:
 
     @staticmethod
     def split(word: str, n: int) -> list[str]:
-        framed = f"_{word}_"
+        framed = f"_{word}_" if n > 1 else word  # a frame alone tells nothing
         return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
     def word(self, word: str) -> np.ndarray | None:

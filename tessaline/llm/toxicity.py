@@ -33,7 +33,7 @@ def features(word: str) -> list[str]:
 class Model:
     """A sentence is toxic with probability sigmoid(bias + the sum of its words' weights)."""
 
-    bias: float = -8.0
+    bias: float = -50.0
     weights: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: str) -> float:
