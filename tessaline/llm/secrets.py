@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names that no input column is expected to have.
-_BLOB, _TEXT, _FOUND = "__tessaline_blob", "__tessaline_text", "__tessaline_found"
+_BLOB, _SALT, _FOUND = "__tessaline_blob", "__tessaline_salt", "__tessaline_found"
+#: Parts into which the paths of one blob are dealt when findings are joined back.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,8 @@ def findings(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataF
 
     Each distinct text is scanned once, whatever its number of paths; what the ledger
     (rows of earlier scans) has is taken from there. Then findings are joined back to
-    every row by the text's address, a join whose hot addresses Spark can split.
+    every row by the text's address. An address can have a third of all rows, so paths
+    carry a salt as well, and the findings (few blobs have any) come once for each salt.
     """
     fresh = scan_unseen(versions, rules, ledger)
     if ledger is not None:
@@ -117,14 +120,16 @@ def findings(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataF
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(_FOUND))
         .withColumnRenamed("blob", _BLOB)
+        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(f"array<{SPAN}>")
     return (
         versions.withColumn(_BLOB, _address(text))
-        .join(hits, _BLOB, "left")
+        .withColumn(_SALT, F.floor(F.rand(6) * SALTS).cast("int"))
+        .join(hits, [_BLOB, _SALT], "left")
         .withColumn("found", F.coalesce(_FOUND, none))
-        .drop(_BLOB, _FOUND)
+        .drop(_BLOB, _SALT, _FOUND)
     )
 
 
