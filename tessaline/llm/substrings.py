@@ -181,8 +181,9 @@ def later_windows(docs: DataFrame, window: int = 20) -> DataFrame:
         F.collect_list(F.when(F.col("open"), F.col("hash"))).alias(_OPEN),
     )
     marks = Written(marks, "marks").df
-    mixed = docs.select(_KEY, "text").join(marks.filter(F.size(_OPEN) > 0).withColumnRenamed("key", _KEY), _KEY)
-    second = _settle(mixed.select(_KEY, "text", _FLAGS, _OPEN).mapInArrow(windows, schema))
+    # all columns of `docs` go along, so that this join and the caller's read one shuffle of the texts
+    mixed = docs.join(marks.filter(F.size(_OPEN) > 0).withColumnRenamed("key", _KEY), _KEY)
+    second = _settle(mixed.mapInArrow(windows, schema))
     flags = marks.select("key", F.explode(_FLAGS).alias("hash")).unionAll(second.select("key", "hash"))
     return flags.groupBy(F.col("key").alias(_KEY)).agg(F.collect_list("hash").alias(_FLAGS))
 
