@@ -154,3 +154,8 @@ def split(rows: DataFrame, seed: int, share: float = 0.6, column: str = "doc_id"
     place = F.col("_upto") - F.col("_n") + F.col("_r")
     side = F.when(place <= F.floor(F.col("_all") * F.lit(share)), "cal").otherwise("eval")
     return ranked.select(*rows.columns, side.alias("side"))
+
+
+def sample(rows: DataFrame, n: int, seed: int, column: str = "doc_id") -> DataFrame:
+    """The first `n` rows in hash order; all, if there are fewer."""
+    return rows.withColumn("_h", hash_order(seed, column)).orderBy("_h", column).limit(n).drop("_h")

@@ -27,6 +27,9 @@ TIERS = ["p010", "p050", "p100"]
 #: layer: mean ASR and FPR of the run with adaptive documents, at p050.
 ADAPTIVE = {"L1": (0.0, 0.57), "L2": (0.0, 0.56), "L3": (0.0, 0.57)}
 
+#: Attack success rates published for two other defences, in percent.
+ELSEWHERE = {"first": 24.0, "second": 35.0}
+
 
 def results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RESULTS, "tier string, seed int, layer string, asr double, doc_fpr double, query_fpr double")

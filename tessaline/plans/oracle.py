@@ -197,6 +197,21 @@ def percent(part: str, whole: str) -> str:
     return f"coalesce(100.0 * ({part}) / nullif({whole}, 0), 0.0)"
 
 
+CONFUSION = f"""{ENCOUNTERS},
+per AS (
+  SELECT layer, query_id, count(*) FILTER (NOT excluded AND adv AND is_poisoned) AS attempts,
+         count(*) FILTER (NOT excluded AND adv AND is_poisoned AND NOT flagged) AS successes,
+         count(*) FILTER (NOT excluded AND NOT adv AND NOT is_poisoned) AS clean_seen,
+         count(*) FILTER (NOT excluded AND NOT adv AND NOT is_poisoned AND flagged) AS fp_docs,
+         count(*) FILTER (by_hash) AS hash_catches, count(*) FILTER (by_score) AS score_catches
+  FROM flags GROUP BY ALL),
+tot AS (
+  SELECT layer, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(successes) AS BIGINT) AS successes,
+         CAST(sum(clean_seen) AS BIGINT) AS clean_seen, CAST(sum(fp_docs) AS BIGINT) AS fp_docs,
+         CAST(sum(hash_catches) AS BIGINT) AS hash_catches, CAST(sum(score_catches) AS BIGINT) AS score_catches,
+         count(*) FILTER (fp_docs > 0) AS fp_queries FROM per GROUP BY layer)"""
+
+
 def grid(steps: int, ends: int) -> str:
     return f"""l1 AS (SELECT * FROM scores WHERE layer = 'L1'),
 grid AS (
@@ -371,19 +386,7 @@ SELECT id, round(list_distance(v, list_transform(v, lambda x: round(x, 1))), 6)
 hits AS (SELECT query_id, count(*) FILTER (label = 0) AS n FROM top JOIN vecs USING (id) GROUP BY query_id)
 SELECT label = 0 AS adv, count(*) AS queries, round(avg(n), 6) AS mean_hits FROM hits JOIN vecs ON id = query_id GROUP BY 1""",
         "encounter_flags": f"WITH {ENCOUNTERS} SELECT * FROM flags",
-        "confusion_by_layer": f"""WITH {ENCOUNTERS},
-per AS (
-  SELECT layer, query_id, count(*) FILTER (NOT excluded AND adv AND is_poisoned) AS attempts,
-         count(*) FILTER (NOT excluded AND adv AND is_poisoned AND NOT flagged) AS successes,
-         count(*) FILTER (NOT excluded AND NOT adv AND NOT is_poisoned) AS clean_seen,
-         count(*) FILTER (NOT excluded AND NOT adv AND NOT is_poisoned AND flagged) AS fp_docs,
-         count(*) FILTER (by_hash) AS hash_catches, count(*) FILTER (by_score) AS score_catches
-  FROM flags GROUP BY ALL),
-tot AS (
-  SELECT layer, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(successes) AS BIGINT) AS successes,
-         CAST(sum(clean_seen) AS BIGINT) AS clean_seen, CAST(sum(fp_docs) AS BIGINT) AS fp_docs,
-         CAST(sum(hash_catches) AS BIGINT) AS hash_catches, CAST(sum(score_catches) AS BIGINT) AS score_catches,
-         count(*) FILTER (fp_docs > 0) AS fp_queries FROM per GROUP BY layer)
+        "confusion_by_layer": f"""WITH {CONFUSION}
 SELECT *, attempts - successes AS tp, successes AS fn, fp_docs AS fp, clean_seen - fp_docs AS tn,
        round({percent("successes", "attempts")}, 6) AS asr, round({percent("fp_docs", "clean_seen")}, 6) AS doc_fpr,
        round({percent("fp_queries", "(SELECT count(*) FROM queries WHERE side = 'eval' AND NOT adv)")}, 6) AS query_fpr
@@ -424,6 +427,21 @@ n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY var, base) AS n FROM
 SELECT CAST(base AS INTEGER) AS base, CAST(var AS INTEGER) AS var, t AS text FROM n WHERE n = 1""",
         "framed_documents": f"WITH {framed(1000)} SELECT * FROM framed",
         "topic_histogram": f"WITH {framed(1000)} SELECT topic, count(*) AS n FROM framed GROUP BY topic",
+        "cyclic_queries": f"""SELECT CAST(i AS BIGINT) AS query_id,
+  [{", ".join(quote(f"{b} Part {i}.") for i in range(5) for b in G.BASES)}][i % 25 + 1] AS q, TRUE AS adv FROM range(50) AS r(i)""",
+        "snr_sample": f"""WITH {LABELLED}
+SELECT * FROM (SELECT doc_id, is_poisoned FROM docs WHERE NOT is_poisoned ORDER BY {hash_order("doc_id", 99)}, doc_id LIMIT 500)
+UNION ALL SELECT doc_id, is_poisoned FROM docs WHERE is_poisoned""",
+        "quality_gate": f"""WITH {VECTORS}, p AS (SELECT avg({sims}) AS pair_sim FROM vecs x JOIN vecs y ON x.id < y.id),
+q AS (SELECT avg(m) AS query_sim FROM (SELECT avg({sims}) AS m FROM vecs x, vecs y WHERE x.id < 25 AND y.id % 10 = 0 GROUP BY x.id))
+SELECT round(pair_sim, 5) + 0.0 AS pair_sim, round(query_sim, 5) + 0.0 AS query_sim,
+       pair_sim BETWEEN 0.70 AND 0.95 AND query_sim >= 0.58 AS passed FROM p, q""",
+        "latency_profile": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95
+FROM events GROUP BY event_type""",
+        "smoke_gate": f"""WITH {CONFUSION}
+SELECT layer, attempts > 0 AND {percent("successes", "attempts")} < 50 AND {percent("fp_docs", "clean_seen")} < 5 AS passed FROM tot""",
+        "against_constants": f"""WITH {RESULTS}, m AS (SELECT layer, avg(asr) AS asr FROM results GROUP BY layer)
+SELECT layer, name, asr < other AS lower FROM m, {values(list(golden.ELSEWHERE.items()), "name, other")}""",
         "signal_tier_pivot": f"SELECT * FROM {snrs}",
         "golden_weights": f"WITH {weights(f'(SELECT * FROM {plain})', 0.5)} SELECT * FROM weights",
         "adaptive_vs_baseline": f"""WITH {RESULTS}, b AS (SELECT * FROM results WHERE tier = 'p050'), a AS (SELECT * FROM {adaptive}),

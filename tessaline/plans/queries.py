@@ -332,6 +332,21 @@ def perturb_until_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("doc_id", "rounds", "cluster_coh", F.length("text").alias("n_chars")))
 
 
+def cyclic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 attack queries from 25 texts."""
+    return G.cyclic(spark, [f"{b} Part {i}." for i in range(5) for b in G.BASES], 50)
+
+
+def snr_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 clean documents, and all poisoned ones, that the signal statistics are taken from."""
+    docs = IO.labelled(spark, sf_dir).select("doc_id", "is_poisoned")
+    return S.sample(docs.filter(~F.col("is_poisoned")), 500, 99).unionByName(docs.filter("is_poisoned"))
+
+
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.quality_gate(N.pair_similarity(IO.vectors(spark, sf_dir)), query_sample_similarity(spark, sf_dir)), 5)
+
+
 # -- reports -----------------------------------------------------------------
 
 
@@ -352,6 +367,19 @@ def adaptive_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.compare_runs(golden.results(spark).filter("tier = 'p050'"), golden.adaptive(spark)))
 
 
+def latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' values stand for milliseconds."""
+    return rounded(R.latency_profile(IO.table(spark, sf_dir, "events").select("event_type", F.col("value").alias("ms")), "event_type"))
+
+
+def smoke_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.smoke_gate(confusion_by_layer(spark, sf_dir), attempts=0)
+
+
+def against_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.against_constants(golden.results(spark), golden.ELSEWHERE)
+
+
 def queries() -> dict[str, Query]:
     plain = [
         corpus_scan, text_tokens_sentences, text_signals, norm_config, class_signal_stats, snr_unpivot, layer_weights,
@@ -361,7 +389,8 @@ def queries() -> dict[str, Query]:
         query_sample_similarity, retrieved_deviation, second_vector_delta, retrieved_class_counts, encounter_flags,
         confusion_by_layer, relative_threshold_flags, absolute_threshold_flags, threshold_sweep, youden_best, hybrid_grid,
         best_candidates, midpoint_eval, quantile_profile, injection_overwrite, template_fallback, variant_cross_product,
-        framed_documents, topic_histogram, perturb_until_apart, signal_tier_pivot, golden_weights, adaptive_vs_baseline,
+        framed_documents, topic_histogram, cyclic_queries, snr_sample, quality_gate, latency_profile, smoke_gate,
+        against_constants, perturb_until_apart, signal_tier_pivot, golden_weights, adaptive_vs_baseline,
     ]
     found: dict[str, Query] = {f.__name__: f for f in plain}
     found |= {
