@@ -34,10 +34,14 @@ def raw_features(docs: DataFrame) -> DataFrame:
     )
 
 
-def norm_config(raw: DataFrame, first: int = 2000, share: float = 0.9) -> DataFrame:
+def norm_config(docs: DataFrame, first: int = 2000, share: float = 0.9) -> DataFrame:
     """One row: the 90th percentiles over the first `first` clean documents by id of word count, words a
-    sentence (of documents that have a sentence) and punctuation marks a word."""
-    clean = raw.filter(~F.col("is_poisoned")).orderBy("doc_id").limit(first)
+    sentence (of documents that have a sentence) and punctuation marks a word.
+
+    The ids are picked first, so that only these texts are taken apart.
+    """
+    ids = docs.filter(~F.col("is_poisoned")).select("doc_id").orderBy("doc_id").limit(first)
+    clean = raw_features(docs.filter(~F.col("is_poisoned")).join(F.broadcast(ids), "doc_id", "left_semi"))
     density = F.col("punct_count") / F.greatest(F.col("n_words"), F.lit(1))
     return clean.agg(
         F.coalesce(F.percentile(F.col("n_words").cast("double"), share), F.lit(T.DEFAULT_NORM["doc_length"])).alias("doc_length"),

@@ -17,6 +17,7 @@ from tessaline.operators import reports as R
 from tessaline.operators import signals as S
 from tessaline.plans import golden
 from tessaline.sources import tables as IO
+from tessaline.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Weights in queries count every signal, so that they give rows on tables whose classes hardly differ.
@@ -46,21 +47,15 @@ def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.signals(S.raw_features(IO.documents(spark, sf_dir))).select("doc_id", *T.SIGNALS))
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.raw_features(IO.labelled(spark, sf_dir))
-
-
 def norm_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.norm_config(_raw(spark, sf_dir)))
-
-
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _raw(spark, sf_dir)
-    return S.signals(raw, S.norm_config(raw))
+    return rounded(S.norm_config(IO.labelled(spark, sf_dir)))
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.unpivot(rounded(_signals(spark, sf_dir), 9))
+    """The signals of labelled documents, one row each; worked out once and stored, as later steps read them again."""
+    docs = IO.labelled(spark, sf_dir)
+    wide = rounded(S.signals(S.raw_features(docs), S.norm_config(docs)).select("doc_id", "is_poisoned", *T.SIGNALS), 9)
+    return S.unpivot(stored(wide))
 
 
 def class_signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,16 +66,17 @@ def snr_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_long(spark, sf_dir))
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.layer_weights(rounded(S.class_stats(_long(spark, sf_dir)), 9), least=NO_GATE)
+def _weights(long: DataFrame) -> DataFrame:
+    return S.layer_weights(rounded(S.class_stats(long), 9), least=NO_GATE)
 
 
 def layer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, sf_dir)
+    return _weights(_long(spark, sf_dir))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.composite_scores(_long(spark, sf_dir), _weights(spark, sf_dir))
+    long = _long(spark, sf_dir)
+    return stored(S.composite_scores(long, _weights(long)))
 
 
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +206,7 @@ def _encounters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     scores = _scores(spark, sf_dir)
     marked = IO.labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), "is_poisoned")
     rows = IO.vectors(spark, sf_dir).select("id", "v").join(marked, "id")
-    met = N.top_k(rows.select("id", "v"), rows.select("id", "v"), 5).select("query_id", F.col("id").alias("doc_id"))
+    met = stored(N.top_k(rows.select("id", "v"), rows.select("id", "v"), 5).select("query_id", F.col("id").alias("doc_id")))
     benign = S.split(rows.filter(~F.col("is_poisoned")).select(F.col("id").alias("doc_id")), SEED)
     queries = benign.select(F.col("doc_id").alias("query_id"), F.lit(False).alias("adv"), "side").unionByName(
         rows.filter("is_poisoned").select(F.col("id").alias("query_id"), F.lit(True).alias("adv"), F.lit("eval").alias("side"))

@@ -96,7 +96,7 @@ def test_class_stats_zero_deviation_and_empty_class(spark):
 
 def test_norm_config_over_first_clean_documents(spark):
     docs = spark.createDataFrame([(i, "w " * (i + 1), i % 5 == 0) for i in range(50)], "doc_id long, text string, is_poisoned boolean")
-    norm = S.norm_config(S.raw_features(docs), first=10).first()
+    norm = S.norm_config(docs, first=10).first()
     counts = [i + 1 for i in range(50) if i % 5][:10]
     assert norm.doc_length == pytest.approx(float(np.percentile(counts, 90)))
 
