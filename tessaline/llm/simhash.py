@@ -217,9 +217,9 @@ def near_duplicates(
     """
     prints = Written(fingerprints(docs, shingle, id_column, text_column), "prints")
     classes = Written(prints.df.groupBy("fp").agg(F.min("key").alias("rep")), "classes")
-    same_id = prints.df.join(classes.df, "fp").filter("key <> rep")
     many = prints.df.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("key")
-    shared = same_id.join(many, "key").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    repeated = prints.df.join(many, "key")  # ids with several texts; by id first, as copies may share one fingerprint
+    shared = repeated.join(classes.df, "fp").filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     links = links_between(classes.df, distance).unionAll(shared)
     components = connected_components(links)
     labels = classes.df.join(components, F.col("rep") == F.col("vertex"), "left").select(
