@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessaline.llm.common import bytes_estimate, id_back, id_key
@@ -23,7 +24,7 @@ SPACE = "▁"
 WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 #: Words over so many characters are folded outside the lattice, by the same recurrence.
 LONGEST_WORD = 48
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -90,15 +91,17 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
     All substrings of up to the longest piece's length are exploded and joined to the
     piece table by equality; single characters that no piece matches stay as unknown
     edges. The edges of a word are grouped, ordered by end and start, and folded by
-    Viterbi's recurrence with a higher-order aggregate; a second one walks back. The
-    grouping keeps the blocks' partitioning, so nothing is shuffled here.
+    Viterbi's recurrence with a higher-order aggregate; a second one walks back. Words
+    are sorted first, and neither explode nor a broadcast join changes the order, so the
+    grouping is a window over rows that already lie together: edges are neither shuffled
+    nor put out of order (their sort finds them in order).
     """
     table = load(path)
     listed = spark.createDataFrame([(t, i, table.scores[t]) for t, i in table.ids.items()], "piece string, id int, score double")
     size = F.length("word")
-    starts = words.select("block", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    spans = starts.select(
-        "block", "word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, size))).alias("end")
+    ends = words.sortWithinPartitions("block", "word").select("block", "word", F.explode(F.sequence(F.lit(1), size)).alias("end"))
+    spans = ends.select(
+        "block", "word", "end", F.explode(F.sequence(F.greatest(F.col("end") - table.longest, F.lit(0)), F.col("end") - 1)).alias("start")
     )
     cut = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
     edges = (
@@ -110,7 +113,9 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
             F.struct("end", "start", F.coalesce("score", F.lit(table.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id")).alias("edge"),
         )
     )
-    grouped = edges.groupBy("block", "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    together = F.collect_list("edge").over(W.partitionBy("block", "word"))
+    first = (F.col("edge.start") == 0) & (F.col("edge.end") == 1)  # each word has this edge once
+    grouped = edges.withColumn("edges", together).filter(first).select("block", "word", F.sort_array("edges").alias("edges"))  # they come in order
     step = "struct<score: double, start: int, id: int>"
     # best[e] is the best way to end e; edges come by end, so that their starts are settled
     begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-2).alias("id")).cast(step))
@@ -151,14 +156,14 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES) -
     that are no piece become the pieces of their bytes.
     """
     spark = docs.sparkSession
-    keyed = docs.select(id_key().alias("key"), normal(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    keyed = docs.select(id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = bytes_estimate(keyed, "text")
     blocks = max(1, -(-total // block_bytes), min(spark.sparkContext.defaultParallelism, total >> 18))
     # one column holds id and text, so that both uses below read the same shuffle
     row = F.concat(F.col("key").cast("string"), F.lit(":"), F.col("text")).alias("row")
     block = F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int").alias("block")
     dealt = keyed.select(row, block).repartition(blocks, "block")
-    text = F.col("row").substr(F.instr("row", ":") + 1, F.length("row"))
+    text = normal(F.col("row").substr(F.instr("row", ":") + 1, F.length("row")))
     words = (
         dealt.select("block", F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("word"))
         .filter(F.length("word") <= LONGEST_WORD)
@@ -181,7 +186,7 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES) -
             key, _, text = row.partition(":")
             keys.append(int(key))
             ids: list[int] = []
-            for word in pattern.findall(text):
+            for word in pattern.findall(SPACE + text.replace(" ", SPACE)) if text else ():
                 found = known.get(word)
                 if found is None:
                     found = known[word] = fold(word, table)
