@@ -21,8 +21,6 @@ _CHUNK = 1 << 18
 #: Members of a bucket compared in one unit; larger buckets become pairs of such parts.
 UNIT = 512
 PIVOTS = 32
-#: A name that no input column is expected to have.
-_KEY = "__tessaline_key"
 
 
 def simhash_bytes(text: bytes, shingle: int, seed: int = 42) -> int:
@@ -228,17 +226,6 @@ def near_duplicates(
     return prints.df.join(labels, "fp").select("key", "fp", "component")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 6) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest id stays.
-
-    Of rows that repeat the staying id one stays. Columns are unchanged.
-    """
-    groups = near_duplicates(docs, shingle, distance)
-    stay = groups.filter("key = component").select(F.col("key").alias(_KEY)).distinct()
-    kept = docs.withColumn(_KEY, id_key()).join(stay, _KEY, "left_semi")
-    return kept.dropDuplicates([_KEY]).drop(_KEY)
-
-
 def op5(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, with 4-word shingles."""
     found = near_duplicates(docs, shingle=4, distance=4)
@@ -249,4 +236,4 @@ def op5(docs: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["NULL_ID", "close_links", "fingerprints", "keep_one", "links_between", "near_duplicates", "op5", "simhash_bytes"]
+__all__ = ["NULL_ID", "close_links", "fingerprints", "links_between", "near_duplicates", "op5", "simhash_bytes"]
