@@ -47,3 +47,10 @@ def test_members_meet_beyond_the_hub(spark):
     for a, b in sorted(close):
         stay.discard(b)
     assert close and kept(spark, texts) == stay
+
+
+def test_texts_under_the_similarity_stay(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id IN (155, 192)").collect()}
+    prints = [simhash.simhash_bytes(t.encode(), 5) for t in texts.values()]
+    assert (prints[0] ^ prints[1]).bit_count() <= 6 and share(*texts.values()) < 0.8
+    assert kept(spark, texts) == {155, 192}
