@@ -56,10 +56,10 @@ def _template_shingles(spark: SparkSession, templates: Mapping[str, str]) -> lis
     return [tuple(r) for r in hashed.collect()]
 
 
-def _windows(pos: Column) -> Column:
-    """The numbers of the windows that a shingle at word `pos` lies within; window w starts at word w * STEP."""
-    last = F.floor(pos / STEP).cast("int")
-    first = F.greatest(F.lit(0), F.ceil((pos + SHINGLE - WINDOW) / STEP).cast("int"))
+def _windows(pos: Column, margin: Column | int = 0) -> Column:
+    """The numbers of the windows, widened by `margin`, that a shingle at word `pos` lies within; window w starts at word w * STEP."""
+    last = F.floor((pos + margin) / STEP).cast("int")
+    first = F.greatest(F.lit(0), F.ceil((pos + SHINGLE - WINDOW - margin) / STEP).cast("int"))
     return F.sequence(first, last)
 
 
@@ -74,12 +74,13 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame
     """License templates that occur in texts: key, license, containment, first_word, end_word.
 
     Words are runs of letters and digits, lower-cased; shingles have five words. Texts
-    are cut into windows of 64 words that overlap by half, and templates likewise. A
-    window's MinHash is taken over those of its shingles that any template has (others
-    only add noise). With 16 bands of one value, a window whose shingles agree with a
-    template's by 0.5 or more is retrieved with probability over 0.99998. A match is
+    are cut into windows of 64 words that overlap by half, each widened on both sides by
+    the template's length. For each template a window has a MinHash of its own, over the
+    template's shingles in it, which are compared with those of the whole template: other
+    notices in the window don't count. With 16 bands of one value, a window that holds
+    0.8 of a template is retrieved with probability 1 - 0.2**16 or more. A match is
     verified exactly: the share of the template's distinct shingles that occur in the
-    window, widened on both sides by the template's length, must be 0.8 or more.
+    widened window, one of them in the window itself, must be 0.8 or more.
 
     One row for each document and template, with the greatest containment and the words
     from the first to the last window's shingle found. Null and empty texts have none;
@@ -99,22 +100,27 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame
     )
     hits = Written(hits, "hits").df
     small = spark.createDataFrame(shingles, "license string, words int, pos int, h long")
-    wanted = _signature(small.withColumn("w", F.explode(_windows(F.col("pos")))), "license", "words", "w").drop("w").distinct()
-    seen = _signature(hits.withColumn("w", F.explode(_windows(F.col("pos")))), "key", "w")
-    candidates = seen.join(F.broadcast(wanted), ["band", "value"]).select("key", "w", "license", "words").distinct()
-    own = small.select(F.col("license").alias("l"), F.col("h").alias("t")).distinct()
+    own = small.select(F.col("license").alias("l"), "words", F.col("h").alias("t")).distinct()
     sizes = own.groupBy("l").agg(F.count("*").alias("size"))
-    near = (F.col("pos") >= F.col("w") * STEP - F.col("words")) & (F.col("pos") + SHINGLE <= F.col("w") * STEP + WINDOW + F.col("words"))
-    verified = (
+    wanted = _signature(own.withColumnRenamed("t", "h"), "l")
+    wide = (
         hits.join(F.broadcast(own), F.col("h") == F.col("t"))
-        .join(candidates.withColumnRenamed("license", "l"), ["key", "l"])
-        .filter(near)
+        .select("key", "l", "pos", "h", F.explode(_windows(F.col("pos"), F.col("words"))).alias("w"))
+        .withColumn("inside", F.array_contains(_windows(F.col("pos")), F.col("w")))
+    )
+    seen = _signature(wide, "key", "l", "w")
+    candidates = seen.join(F.broadcast(wanted), ["l", "band", "value"]).select("key", "l", "w").distinct()
+    verified = (
+        wide.join(candidates, ["key", "l", "w"])
         .groupBy("key", "l", "w")
-        .agg(F.countDistinct("h").alias("n"), F.min("pos").alias("first_word"), F.max(F.col("pos") + SHINGLE).alias("end_word"))
+        .agg(
+            F.countDistinct("h").alias("n"), F.min("pos").alias("first_word"), F.max(F.col("pos") + SHINGLE).alias("end_word"),
+            F.max("inside").alias("inside"),
+        )
         .join(F.broadcast(sizes), "l")
         .withColumn("containment", F.col("n") / F.col("size"))
-        .filter(F.col("containment") >= CONTAINMENT)
-    )
+        .filter((F.col("containment") >= CONTAINMENT) & F.col("inside"))
+    )
     return verified.groupBy("key", F.col("l").alias("license")).agg(
         F.max("containment").alias("containment"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word")
     )
