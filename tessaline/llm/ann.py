@@ -75,22 +75,18 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
     return vectors.filter(F.col(id_column).isNotNull() & fine).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
 
-def fit(rows: DataFrame, sample: int = 50_000, width: float = 4.0) -> tuple[Index | None, int]:
-    """An index for (id, v) rows, and the vectors' length: the commonest one (the longer of two).
+def fit(rows: DataFrame, size: int, sample: int = 50_000, width: float = 4.0) -> Index:
+    """An index for the (id, v) rows, all of them vectors of length `size`.
 
     The centre is the mean of about `sample` rows, picked by a hash of the id.
     """
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
-    if not sizes:
-        return None, 0
-    size, count = sizes[0].n, sizes[0].c
-    share = int(min(1.0, sample / count) * (1 << 20)) or 1
-    picked = rows.filter((F.size("v") == size) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share))
+    share = int(min(1.0, sample / max(1, rows.count())) * (1 << 20)) or 1
+    picked = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
     mean = picked.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).collect()
     centre = np.zeros(size)
     for r in mean:
         centre[r.i] = r.x
-    return Index.make(centre, width), size
+    return Index.make(centre, width)
 
 
 def _distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -147,23 +143,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, width: float = 4.0,
     """The `k` nearest rows of each query: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     Both tables are (id, v) as `usable` gives them; a row with a query's id is not its
-    candidate. Vectors of another length than the commonest take no part. Ties go to
-    smaller ids. All rows are coded and bounded for all queries: queries go in blocks of
+    candidate. Each length of the queries' vectors is searched on its own, among the rows
+    of that length. Ties go to smaller ids. All rows are coded and bounded for all queries: queries go in blocks of
     `block`, one pass over the rows each, and each task keeps its k best a query, so
     that at most k rows a query and task meet in the final ranking. Rows that repeat an
-    id are candidates each; queries that repeat an id count once (the first by vector).
+    id are candidates each; queries that repeat an id count once for each length (the
+    first by vector).
     """
     spark = rows.sparkSession
-    index, size = fit(rows, width=width)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if index is None:
-        return empty
-    rows = spread(rows.filter(F.size("v") == size))
-    wanted = queries.filter(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v"))
+    wanted = queries.groupBy(F.size("v").alias("size"), "id").agg(F.min("v").alias("v"))
     passes: list[DataFrame] = []
-    held: list = []
 
-    def one(found: list) -> DataFrame:
+    def one(rows: DataFrame, index: Index, size: int, found: list) -> DataFrame:
         ids = np.array([r.id for r in found], dtype=np.int64)
         vectors = np.array([r.v for r in found], dtype=np.float64).reshape(len(found), size)
         sent = spark.sparkContext.broadcast((ids, vectors))  # at most `block` vectors
@@ -179,13 +171,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, width: float = 4.0,
 
         return rows.mapInArrow(run, "query_id long, vec_id long, score double")
 
-    for row in wanted.orderBy("id").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            passes.append(one(held))
-            held = []
-    if held:
-        passes.append(one(held))
+    for size in sorted(r[0] for r in wanted.select("size").distinct().collect()):
+        same = rows.filter(F.size("v") == size)
+        index, same = fit(same, size, width=width), spread(same)
+        held: list = []
+        for row in wanted.filter(F.col("size") == size).orderBy("id").toLocalIterator():
+            held.append(row)
+            if len(held) == block:
+                passes.append(one(same, index, size, held))
+                held = []
+        if held:
+            passes.append(one(same, index, size, held))
     if not passes:
         return empty
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
