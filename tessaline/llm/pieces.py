@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import json
+import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -11,32 +13,46 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import bytes_estimate, id_back, id_key
+from tessaline.llm.common import Written, bytes_estimate, id_back, id_key, shuffle_partitions, spread, text_slices
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: A word: marks for spaces, then what is up to the next mark. No piece goes over a word's end.
 WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-#: Words over so many characters are folded outside the lattice, by the same recurrence.
-LONGEST_WORD = 48
-BLOCK_BYTES = 1 << 20
+#: Characters of the longest fragment that goes through the lattice as it is.
+LONGEST_FRAGMENT = 48
+#: Fragments whose ids every task holds, the most frequent ones; all others are joined.
+HELD_FRAGMENTS = 1 << 20
+#: Bytes of text that meet the ids of their rare fragments in one task.
+BLOCK_BYTES = 8 << 20
+#: Fragments that one task of the lattice solves, about.
+TASK_FRAGMENTS = 40_000
+#: Distinct fragments that a worker counts before it hands them on.
+_COUNTED = 1 << 19
 _UNKNOWN_PENALTY = 10.0
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """The piece table of a model file: ids and scores by text, the ids of single bytes, the longest piece."""
+    """The piece table of a model file: ids and scores by text, the ids of single bytes, the longest piece.
+
+    `within` tells which two characters lie side by side in some piece, by the numbers
+    that `number` gives to characters.
+    """
 
     ids: dict[str, int]
     scores: dict[str, float]
     bytes: list[int]
     texts: list[bytes]
     longest: int
+    number: np.ndarray
+    within: np.ndarray
 
     @property
     def unknown(self) -> float:
@@ -58,12 +74,19 @@ def load(path: str = MODEL) -> Pieces:
         else:
             ids[text], scores[text] = i, model.get_score(i)
             texts.append(text.replace(SPACE, " ").encode())
-    return Pieces(ids, scores, single, texts, max(map(len, ids)))
+    pairs = {p[k : k + 2] for p in ids for k in range(len(p) - 1)}
+    letters = sorted({c for p in pairs for c in p})
+    number = np.zeros(0x110000, dtype=np.int32)  # 0: in no pair
+    number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    within = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
+    for a, b in pairs:
+        within[number[ord(a)], number[ord(b)]] = True
+    return Pieces(ids, scores, single, texts, max(map(len, ids)), number, within)
 
 
-def normal(text: Column) -> Column:
+def normal(text: str | None) -> str:
     """Spaces as marks, one mark in front; an empty text stays empty."""
-    return F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))).otherwise("")
+    return SPACE + text.replace(" ", SPACE) if text else ""
 
 
 def fold(word: str, table: Pieces) -> list[int]:
@@ -85,37 +108,83 @@ def fold(word: str, table: Pieces) -> list[int]:
     return [i for part in reversed(out) for i in part]
 
 
+def cut_long(fragment: str, table: Pieces) -> list[str]:
+    """A long fragment cut wherever no piece of two characters or more of its lattice lies over the place.
+
+    Every path goes through such a place, so that the best path is that of the parts.
+    """
+    out, begin, reach = [], 0, 0
+    for at in range(len(fragment)):
+        if at and reach <= at:
+            out.append(fragment[begin:at])
+            begin = at
+        for end in range(min(len(fragment), at + table.longest), max(at + 1, reach), -1):
+            if fragment[at:end] in table.ids:
+                reach = end
+                break
+    return [*out, fragment[begin:]]
+
+
+def fragments(texts: list[str | None], table: Pieces) -> tuple[list[str], np.ndarray]:
+    """The fragments of all texts, and where each text's begin in the list (and the last's end).
+
+    A text is cut between any two characters that lie side by side in no piece, which
+    includes all ends of words: no piece, hence no edge of a lattice, goes over such a
+    place. Fragments over `LONGEST_FRAGMENT` are cut further by `cut_long`.
+    """
+    marked = [normal(t) for t in texts]
+    whole = "".join(marked)
+    ends = np.cumsum([len(t) for t in marked])
+    numbers = table.number[np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")]
+    cut = np.ones(len(numbers) + 1, dtype=bool)
+    if len(numbers):
+        cut[1:-1] = ~table.within.ravel()[numbers[:-1] * table.within.shape[1] + numbers[1:]]
+    cut[ends] = cut[0] = True
+    places = np.flatnonzero(cut)
+    starts = np.concatenate([[0], np.searchsorted(places, ends)])
+    at = places.tolist()
+    found = [whole[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+    sizes = np.diff(places)
+    if len(sizes) and sizes.max() > LONGEST_FRAGMENT:
+        parts = {int(i): cut_long(found[i], table) for i in np.flatnonzero(sizes > LONGEST_FRAGMENT)}
+        more = np.zeros(len(found) + 1, dtype=np.int64)
+        for i, part in parts.items():
+            more[i + 1] = len(part) - 1
+        starts = starts + np.cumsum(more)[starts]
+        found = [x for i, f in enumerate(found) for x in parts.get(i, (f,))]
+    return found, starts
+
+
 def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFrame:
-    """(block, word, ids) for the distinct (block, word) rows of `words`.
+    """(word, ids, ends) for the distinct rows of `words` (word): the best path, its pieces' ids and where they end.
 
     All substrings of up to the longest piece's length are exploded and joined to the
-    piece table by equality; single characters that no piece matches stay as unknown
-    edges. The edges of a word are grouped, ordered by end and start, and folded by
-    Viterbi's recurrence with a higher-order aggregate; a second one walks back. Words
-    are sorted first, and neither explode nor a broadcast join changes the order, so the
-    grouping is a window over rows that already lie together: edges are neither shuffled
-    nor put out of order (their sort finds them in order).
+    piece table by equality (by a hash of 64 bits that tells the table's pieces apart,
+    then of the text itself, as a hash of one long is probed five times faster than a
+    string); single characters that no piece matches stay as unknown edges, with id -1. The edges of a word are grouped, ordered by end and start, and
+    folded by Viterbi's recurrence with a higher-order aggregate; a second one walks
+    back. Words are dealt by hash before, so that grouping needs no shuffle of edges.
     """
     table = load(path)
-    listed = spark.createDataFrame([(t, i, table.scores[t]) for t, i in table.ids.items()], "piece string, id int, score double")
-    size = F.length("word")
-    ends = words.sortWithinPartitions("block", "word").select("block", "word", F.explode(F.sequence(F.lit(1), size)).alias("end"))
+    rows = [(t, i, table.scores[t]) for t, i in table.ids.items()]
+    listed = spark.createDataFrame(rows, "text string, id int, score double").withColumn("h", F.xxhash64("text"))
+    ends = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
     spans = ends.select(
-        "block", "word", "end", F.explode(F.sequence(F.greatest(F.col("end") - table.longest, F.lit(0)), F.col("end") - 1)).alias("start")
+        "word", "end", F.explode(F.sequence(F.greatest(F.col("end") - table.longest, F.lit(0)), F.col("end") - 1)).alias("start")
     )
     cut = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
+    same = F.col("piece") == F.col("text")
     edges = (
-        cut.join(F.broadcast(listed), "piece", "left")
+        cut.withColumn("h", F.xxhash64("piece"))
+        .join(F.broadcast(listed), "h", "left")
+        .select("word", "end", "start", F.when(same, F.col("score")).alias("score"), F.when(same, F.col("id")).alias("id"))
         .filter(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
         .select(
-            "block",
             "word",
             F.struct("end", "start", F.coalesce("score", F.lit(table.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id")).alias("edge"),
         )
     )
-    together = F.collect_list("edge").over(W.partitionBy("block", "word"))
-    first = (F.col("edge.start") == 0) & (F.col("edge.end") == 1)  # each word has this edge once
-    grouped = edges.withColumn("edges", together).filter(first).select("block", "word", F.sort_array("edges").alias("edges"))  # they come in order
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     step = "struct<score: double, start: int, id: int>"
     # best[e] is the best way to end e; edges come by end, so that their starts are settled
     begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-2).alias("id")).cast(step))
@@ -124,7 +193,7 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
         here = F.struct((F.get(best, e.start).score + e.score).alias("score"), e.start.alias("start"), e.id.alias("id"))
         last = F.get(best, e.end)
         return (
-            F.when(last.isNull(), F.array_append(best, here))
+            F.when(F.size(best) <= e.end, F.array_append(best, here))
             .when(here.score > last.score, F.array_append(F.slice(best, F.lit(1), e.end), here))
             .otherwise(best)
         )
@@ -132,91 +201,257 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
     def walk(acc: Column, _: Column) -> Column:
         top = F.get(F.col("best"), acc.end)
         return F.when(acc.end <= 0, acc).otherwise(
-            F.struct(top.start.alias("end"), F.array_prepend(acc.path, F.struct(top.start.alias("start"), acc.end.alias("end"), top.id.alias("id"))).alias("path"))
+            F.struct(
+                top.start.alias("end"),
+                F.array_prepend(acc.ids, top.id).alias("ids"),
+                F.array_prepend(acc.ends, acc.end).alias("ends"),
+            )
         )
 
-    solved = grouped.select("block", "word", F.aggregate("edges", begin, settle).alias("best"))
-    none = F.array().cast("array<struct<start: int, end: int, id: int>>")
+    solved = grouped.select("word", F.aggregate("edges", begin, settle).alias("best"))
+    none = F.array().cast("array<int>")
     back = F.aggregate(
-        F.sequence(F.lit(1), F.length("word")),
-        F.struct(F.length("word").alias("end"), none.alias("path")),
+        F.sequence(F.lit(1), F.size("best") - 1),
+        F.struct((F.size("best") - 1).alias("end"), none.alias("ids"), none.alias("ends")),
         walk,
-        lambda acc: acc.path,
     )
-    return solved.select("block", "word", back.alias("path")).select("block", "word", F.transform("path", lambda x: x.id).alias("ids"), F.transform("path", lambda x: x.end).alias("ends"))
+    return solved.select("word", back.alias("path")).select("word", "path.ids", "path.ends")
+
+
+def counted(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """(word, n): the distinct fragments of the texts of `docs` that the lattice solves, and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = load(path), Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for part in text_slices(batch):
+                found, _ = fragments(part.column("text").to_pylist(), table)
+                seen.update(found)
+                if len(seen) > _COUNTED:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    made = docs.select("text").mapInArrow(run, "word string, n long").filter(F.length("word") <= LONGEST_FRAGMENT)
+    return made.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def solve(words: DataFrame, path: str = MODEL) -> DataFrame:
+    """(word, n, ids) for the distinct rows of `words` (word, n); ids as little-endian 32-bit bytes.
+
+    Characters that are no piece become the pieces of their bytes.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = load(path)
+        for batch in batches:
+            out = []
+            for word, ids, ends in zip(*(batch.column(c).to_pylist() for c in ("word", "ids", "ends")), strict=True):
+                if -1 in ids:
+                    ids = [x for i, end in zip(ids, ends, strict=True) for x in ([i] if i >= 0 else [table.bytes[b] for b in word[end - 1].encode()])]
+                out.append(struct.pack(f"<{len(ids)}i", *ids))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.binary())], names=["word", "ids"])
+
+    spark = words.sparkSession
+    count = words.count()
+    dealt = words.select("word").repartition(max(shuffle_partitions(spark), -(-count // TASK_FRAGMENTS)), "word")
+    return lattice(dealt, spark, path).mapInArrow(pack, "word string, ids binary")
+
+
+def _frequent(words: DataFrame, most: int) -> int:
+    """The least n such that no more than `most` rows of `words` (word, n) have it or more."""
+    bucket = F.floor(F.log2("n") * 8).cast("int")
+    sizes = words.groupBy(bucket.alias("b")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("b")).collect()  # some hundreds
+    total, least = 0, 1 << 62
+    for row in sizes:
+        total += row.rows
+        if total > most:
+            break
+        least = row.n
+    return least
+
+
+class Coder:
+    """Ids of texts by the ids of their fragments; fragments over the lattice's length are folded by the same recurrence."""
+
+    def __init__(self, table: Pieces, known: dict[str, bytes]):
+        self.table, self.known = table, known
+
+    def ids(self, found: list[str], rare: dict[str, bytes]) -> bytes:
+        get = self.known.get
+        values = [get(f) for f in found]
+        if None in values:
+            values = [v if v is not None else self._other(f, rare) for f, v in zip(found, values, strict=True)]
+        return b"".join(values)
+
+    def _other(self, fragment: str, rare: dict[str, bytes]) -> bytes:
+        if len(fragment) > LONGEST_FRAGMENT:
+            ids = fold(fragment, self.table)
+            return struct.pack(f"<{len(ids)}i", *ids)
+        return rare[fragment]
+
 
+_held: dict[int, dict[str, bytes]] = {}
 
-def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def _known(sent) -> dict[str, bytes]:
+    """The broadcast fragments as a dictionary, made once in a worker."""
+    if sent.id not in _held:
+        _held.clear()
+        table = pa.ipc.open_stream(sent.value).read_all()
+        _held[sent.id] = dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
+    return _held[sent.id]
+
+
+class _Sent:
+    """A broadcast value with a number that workers know it by."""
+
+    def __init__(self, spark: SparkSession, table: pa.Table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self._value = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        self.id = self._value._jbroadcast.id()
+
+    @property
+    def value(self) -> bytes:
+        return self._value.value
+
+    def __getstate__(self):
+        return {"_value": self._value, "id": self.id}
+
+
+def _rows(keys: list[int], raw: list[bytes]) -> pa.RecordBatch:
+    flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
+    ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), flat)
+    crc = pa.array([zlib.crc32(r) for r in raw], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids, crc], names=["key", "ids", "ids_crc32"])
+
+
+_SCHEMA = "key long, ids array<int>, ids_crc32 long"
+
+
+def encode(docs: DataFrame, path: str = MODEL, held: int = HELD_FRAGMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, ids, ids_crc32): the piece ids of each text, as a unigram model with the file's scores gives them.
 
-    Documents are dealt into blocks of about `block_bytes` of text by a hash of id and
-    text. The distinct words of a block go through the lattice once; then each block's
-    texts are put together from its words. Texts are shuffled once, and the lattice
-    stays within its block. Whole texts; a null text is empty and has no ids. Characters
-    that are no piece become the pieces of their bytes.
+    One row for each row of `docs` (doc_id, text), repeated ids and texts included; an
+    empty table gives none. Whole texts; a null text is empty and has no ids.
+
+    Texts are cut into fragments that no piece goes over. The corpus's distinct
+    fragments go through the lattice once. The `held` most frequent ones are sent to all
+    tasks; texts go once through a shuffle to blocks of about `block_bytes`, compressed,
+    where they meet the ids of their block's other fragments, joined by the fragment. A
+    corpus without others isn't shuffled. What is still longer than `LONGEST_FRAGMENT`
+    where pieces overlap without end (a run of one letter, say) is no row of the lattice:
+    the worker that puts the text together folds it by the same recurrence, in space and
+    time linear in its length.
     """
     spark = docs.sparkSession
-    keyed = docs.select(id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = spread(docs.select(id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    words = Written(counted(keyed, path), "fragments")
+    least = _frequent(words.df, held)
+    solved = Written(solve(words.df, path).join(words.df, "word") if least > 1 else solve(words.df, path), "solved")
+    words.drop()
+    often = solved.df.filter(F.col("n") >= least).drop("n") if least > 1 else solved.df
+    sent = _Sent(spark, often.toArrow())  # `held` rows at most
+
+    if least <= 1:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = load(path)
+            coder = Coder(table, _known(sent))
+            for batch in batches:
+                for part in text_slices(batch):
+                    found, starts = fragments(part.column("text").to_pylist(), table)
+                    raw = [coder.ids(found[a:b], {}) for a, b in zip(starts, starts[1:])]  # noqa: B905
+                    yield _rows(part.column("key").to_pylist(), raw)
+
+        return keyed.mapInArrow(whole, _SCHEMA)
+
     total = bytes_estimate(keyed, "text")
-    blocks = max(1, -(-total // block_bytes), min(spark.sparkContext.defaultParallelism, total >> 18))
-    # one column holds id and text, so that both uses below read the same shuffle
-    row = F.concat(F.col("key").cast("string"), F.lit(":"), F.col("text")).alias("row")
+    blocks = max(1, -(-total // block_bytes))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known, press = load(path), _known(sent), zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in text_slices(batch):
+                texts = part.column("text").to_pylist()
+                found, starts = fragments(texts, table)
+                out = []
+                for key, text, a, b in zip(part.column("key").to_pylist(), texts, starts, starts[1:]):  # noqa: B905
+                    rare = [f for f in set(found[a:b]).difference(known) if len(f) <= LONGEST_FRAGMENT]
+                    pressed = press.compress(text.encode())
+                    out.append(struct.pack("<qI", key, len(pressed)) + pressed + json.dumps(sorted(rare), ensure_ascii=False).encode())
+                yield pa.RecordBatch.from_arrays([part.column("block"), pa.array(out, pa.binary())], names=["block", "row"])
+
     block = F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int").alias("block")
-    dealt = keyed.select(row, block).repartition(blocks, "block")
-    text = normal(F.col("row").substr(F.instr("row", ":") + 1, F.length("row")))
-    words = (
-        dealt.select("block", F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("word"))
-        .filter(F.length("word") <= LONGEST_WORD)
-        .groupBy("block", "word")
-        .agg(F.lit(1).alias("one"))
-        .select("block", "word")
-    )
-    solved = lattice(words, spark, path).withColumnRenamed("block", "of")
-    pattern = re.compile(WORD)
+    # id, text and rare fragments are one column, so that both uses below read the same shuffle
+    dealt = keyed.select("key", "text", block).mapInArrow(deal, "block int, row binary").repartition(blocks, "block")
+
+    def parts(row: bytes) -> tuple[int, bytes, list[str]]:
+        key, size = struct.unpack_from("<qI", row)
+        return key, row[12 : 12 + size], json.loads(row[12 + size :])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, str]] = set()
+        for batch in batches:
+            new = {(b, f) for b, row in zip(batch.column("block").to_pylist(), batch.column("row").to_pylist(), strict=True) for f in parts(row)[2]}
+            new -= seen
+            seen = seen | new if len(seen) < _COUNTED else new
+            columns = list(zip(*new, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string())], names=["of", "word"])
+
+    needed = dealt.mapInArrow(rare, "of int, word string").join(solved.df.filter(F.col("n") < least).drop("n"), "word")
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = load(path)
-        known: dict[str, list[int]] = {}
-        for word, ids, ends in zip(*(right.column(c).to_pylist() for c in ("word", "ids", "ends")), strict=True):
-            if -1 in ids:  # characters that are no piece become bytes
-                ids = [x for i, end in zip(ids, ends, strict=True) for x in ([i] if i >= 0 else [table.bytes[b] for b in word[end - 1].encode()])]
-            known[word] = ids
-        keys, out = [], []
-        for row in left.column("row").to_pylist():
-            key, _, text = row.partition(":")
-            keys.append(int(key))
-            ids: list[int] = []
-            for word in pattern.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-                found = known.get(word)
-                if found is None:
-                    found = known[word] = fold(word, table)
-                ids += found
-            out.append(np.array(ids, dtype="<i4"))
-        return pa.table(
-            {
-                "key": pa.array(keys, pa.int64()),
-                "ids": pa.array(out, pa.list_(pa.int32())),
-                "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in out], pa.int64()),
-            }
-        )
+        table, press = load(path), zstandard.ZstdDecompressor()
+        coder = Coder(table, _known(sent))
+        others = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
+        made = []
+        for batch in left.to_batches(256):
+            rows = [parts(r)[:2] for r in batch.column("row").to_pylist()]
+            found, starts = fragments([press.decompress(z).decode() for _, z in rows], table)
+            made.append(_rows([k for k, _ in rows], [coder.ids(found[a:b], others) for a, b in zip(starts, starts[1:])]))  # noqa: B905
+        return pa.Table.from_batches(made, schema=_rows([], []).schema)
+
+    return dealt.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(build, _SCHEMA)
 
-    pairs = dealt.groupBy("block").cogroup(solved.groupBy("of"))
-    return pairs.applyInArrow(build, "key long, ids array<int>, ids_crc32 long")
 
+def decode(rows: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame:
+    """`rows` with `text`: what the piece ids of `column` say; unknown and control ids give nothing.
+
+    Ids outside the file's range are an error. Null ids give a null text.
+    """
+    names = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = pa.array(load(path).texts, pa.large_binary())
+        for batch in batches:
+            ids = batch.column(column)
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            taken = texts.take(pc.list_flatten(ids))
+            marks = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(taken) + 1]
+            data = taken.buffers()[2].to_pybytes() if len(taken) else b""
+            ends = marks[np.cumsum(np.concatenate([[0], sizes]))].tolist()
+            out = [data[a + 1 : b] if data[a : a + 1] == b" " and b > a else data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+            made = pa.array([x.decode(errors="replace") if ok else None for x, ok in zip(out, ids.is_valid().to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, "text"])
 
-def decode(ids: Column, path: str = MODEL) -> Column:
-    """The text of an array of piece ids; unknown and control ids give nothing."""
-    table = F.split(F.lit(",".join(t.hex() for t in load(path).texts)), ",")
-    whole = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
-    return F.when(whole.startswith(" "), F.substring(whole, F.lit(2), F.length(whole))).otherwise(whole)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema]
+    return rows.select(*names).mapInArrow(run, ", ".join([*fields, "text string"]))
 
 
 def op8(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_ids, ids_crc32 (little-endian 32-bit ids), decoded_sha256."""
-    found = encode(docs.select("doc_id", "text"))
+    found = decode(encode(docs.select("doc_id", "text")))
     return found.select(
         id_back(F.col("key")).alias("doc_id"),
         F.size("ids").cast("long").alias("n_ids"),
         "ids_crc32",
-        F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2(F.col("text"), 256).alias("decoded_sha256"),
     )
