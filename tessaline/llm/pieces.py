@@ -28,13 +28,15 @@ WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 #: Characters of the longest fragment that goes through the lattice as it is.
 LONGEST_FRAGMENT = 48
 #: Fragments whose ids every task holds, the most frequent ones; all others are joined.
-HELD_FRAGMENTS = 1 << 20
+HELD_FRAGMENTS = 1 << 18
 #: Bytes of text that meet the ids of their rare fragments in one task.
 BLOCK_BYTES = 8 << 20
 #: Fragments that one task of the lattice solves, about.
 TASK_FRAGMENTS = 40_000
 #: Distinct fragments that a worker counts before it hands them on.
-_COUNTED = 1 << 19
+_COUNTED = 1 << 18
+#: Bytes of text that are in fragments at once; a fragment takes some 60 bytes as an object.
+_PART = 1 << 20
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -228,7 +230,7 @@ def counted(docs: DataFrame, path: str = MODEL) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=_PART):
                 found, _ = fragments(part.column("text").to_pylist(), table)
                 seen.update(found)
                 if len(seen) > _COUNTED:
@@ -366,7 +368,7 @@ def encode(docs: DataFrame, path: str = MODEL, held: int = HELD_FRAGMENTS, block
             table = load(path)
             coder = Coder(table, _known(sent))
             for batch in batches:
-                for part in text_slices(batch):
+                for part in text_slices(batch, limit=_PART):
                     found, starts = fragments(part.column("text").to_pylist(), table)
                     raw = [coder.ids(found[a:b], {}) for a, b in zip(starts, starts[1:])]  # noqa: B905
                     yield _rows(part.column("key").to_pylist(), raw)
@@ -379,7 +381,7 @@ def encode(docs: DataFrame, path: str = MODEL, held: int = HELD_FRAGMENTS, block
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, press = load(path), _known(sent), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=_PART):
                 texts = part.column("text").to_pylist()
                 found, starts = fragments(texts, table)
                 out = []
