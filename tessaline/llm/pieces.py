@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,15 +27,17 @@ WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 #: Characters of the longest fragment that goes through the lattice as it is.
 LONGEST_FRAGMENT = 48
 #: Fragments whose ids every task holds, the most frequent ones; all others are joined.
-HELD_FRAGMENTS = 1 << 18
+HELD_FRAGMENTS = 1 << 17
 #: Bytes of text that meet the ids of their rare fragments in one task.
 BLOCK_BYTES = 8 << 20
 #: Fragments that one task of the lattice solves, about.
 TASK_FRAGMENTS = 40_000
 #: Distinct fragments that a worker counts before it hands them on.
 _COUNTED = 1 << 18
-#: Bytes of text that are in fragments at once; a fragment takes some 60 bytes as an object.
-_PART = 1 << 20
+#: Chunks that a worker remembers.
+_REMEMBERED = 1 << 18
+#: Bytes of text cut into chunks at once.
+_PART = 16 << 20
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -127,16 +128,15 @@ def cut_long(fragment: str, table: Pieces) -> list[str]:
     return [*out, fragment[begin:]]
 
 
-def fragments(texts: list[str | None], table: Pieces) -> tuple[list[str], np.ndarray]:
-    """The fragments of all texts, and where each text's begin in the list (and the last's end).
+def fragments(marked: list[str], table: Pieces) -> tuple[list[str], np.ndarray]:
+    """The fragments of all `marked` texts, and where each text's begin in the list (and the last's end).
 
     A text is cut between any two characters that lie side by side in no piece, which
     includes all ends of words: no piece, hence no edge of a lattice, goes over such a
     place. Fragments over `LONGEST_FRAGMENT` are cut further by `cut_long`.
     """
-    marked = [normal(t) for t in texts]
     whole = "".join(marked)
-    ends = np.cumsum([len(t) for t in marked])
+    ends = np.cumsum([len(t) for t in marked], dtype=np.int64)
     numbers = table.number[np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")]
     cut = np.ones(len(numbers) + 1, dtype=bool)
     if len(numbers):
@@ -157,6 +157,43 @@ def fragments(texts: list[str | None], table: Pieces) -> tuple[list[str], np.nda
     return found, starts
 
 
+def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks of `texts`, each chunk of each text as an index to them, and where each text's begin.
+
+    A chunk lies between single spaces; with a mark in front, it is cut into fragments on
+    its own. Marks that stand together are in pieces together, so a text that has some
+    is one chunk. Null and empty texts have none.
+    """
+    texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # if_else fails on slices
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, SPACE))
+    if pc.any(odd).as_py():
+        texts = pc.if_else(pc.fill_null(odd, False), pc.replace_substring(texts, " ", SPACE), texts)
+    lists = pc.split_pattern(pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar(None, pa.large_string()), texts), " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return words, coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+class Lexicon:
+    """What `value` makes of the fragments of a chunk, worked out once and remembered; the memory is emptied when full."""
+
+    def __init__(self, table: Pieces, value):
+        self.table, self.value = table, value
+        self.known: dict[str, object] = {}
+
+    def read(self, words: list[str]) -> list:
+        """A value for each of the distinct chunks `words`."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > _REMEMBERED:
+            self.known.clear()
+            new = words
+        found, starts = fragments([SPACE + w for w in new], self.table)
+        at = starts.tolist()
+        self.known.update(zip(new, [self.value(found[a:b]) for a, b in zip(at, at[1:])], strict=True))  # noqa: B905
+        return [self.known[w] for w in words]
+
+
 def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFrame:
     """(word, ids, ends) for the distinct rows of `words` (word): the best path, its pieces' ids and where they end.
 
@@ -224,18 +261,28 @@ def counted(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(word, n): the distinct fragments of the texts of `docs` that the lattice solves, and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = load(path), Counter()
+        table, seen = load(path), {}
+        get = seen.get
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            words, counts = list(seen), list(seen.values())
+            sums: dict[str, int] = {}
+            total = sums.get
+            for begin in range(0, len(words), _REMEMBERED):
+                found, starts = fragments([SPACE + w for w in words[begin : begin + _REMEMBERED]], table)
+                times = np.repeat(counts[begin : begin + _REMEMBERED], np.diff(starts)).tolist()
+                for f, n in zip(found, times, strict=True):
+                    sums[f] = total(f, 0) + n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for part in text_slices(batch, limit=_PART):
-                found, _ = fragments(part.column("text").to_pylist(), table)
-                seen.update(found)
+                words, index, _ = chunks(part.column("text"))
+                for word, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
+                    seen[word] = get(word, 0) + n
                 if len(seen) > _COUNTED:
                     yield rows()
-                    seen.clear()
         yield rows()
 
     made = docs.select("text").mapInArrow(run, "word string, n long").filter(F.length("word") <= LONGEST_FRAGMENT)
@@ -280,21 +327,30 @@ def _frequent(words: DataFrame, most: int) -> int:
 class Coder:
     """Ids of texts by the ids of their fragments; fragments over the lattice's length are folded by the same recurrence."""
 
-    def __init__(self, table: Pieces, known: dict[str, bytes]):
-        self.table, self.known = table, known
+    def __init__(self, table: Pieces, held: dict[str, bytes]):
+        self.table, self.held, self.rare = table, held, {}
+        self.lexicon = Lexicon(table, self._value)
+
+    def texts(self, texts: pa.Array, rare: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin; `rare`: those of the fragments that aren't held."""
+        self.rare = rare
+        words, index, starts = chunks(texts)
+        values = self.lexicon.read(words)
+        sizes = np.array([len(v) // 4 for v in values], dtype=np.int64)
+        each = pa.LargeListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(np.frombuffer(b"".join(values), dtype="<i4"))
+        )
+        flat = pc.list_flatten(each.take(pa.array(index))).to_numpy()
+        return flat, np.concatenate([[0], np.cumsum(sizes[index])])[starts]
 
-    def ids(self, found: list[str], rare: dict[str, bytes]) -> bytes:
-        get = self.known.get
-        values = [get(f) for f in found]
-        if None in values:
-            values = [v if v is not None else self._other(f, rare) for f, v in zip(found, values, strict=True)]
-        return b"".join(values)
+    def _value(self, found: list[str]) -> bytes:
+        return b"".join([self.held.get(f) or self._other(f) for f in found])
 
-    def _other(self, fragment: str, rare: dict[str, bytes]) -> bytes:
+    def _other(self, fragment: str) -> bytes:
         if len(fragment) > LONGEST_FRAGMENT:
             ids = fold(fragment, self.table)
             return struct.pack(f"<{len(ids)}i", *ids)
-        return rare[fragment]
+        return self.rare[fragment]
 
 
 _held: dict[int, dict[str, bytes]] = {}
@@ -327,22 +383,57 @@ class _Sent:
         return {"_value": self._value, "id": self.id}
 
 
-def _rows(keys: list[int], raw: list[bytes]) -> pa.RecordBatch:
-    flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-    ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(ends), flat)
-    crc = pa.array([zlib.crc32(r) for r in raw], pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids, crc], names=["key", "ids", "ids_crc32"])
+_coders: dict[tuple, Coder] = {}
+
+
+def _coder(path: str, sent) -> Coder:
+    """A worker's coder, which remembers chunks over groups."""
+    if (path, sent.id) not in _coders:
+        _coders.clear()
+        _coders[path, sent.id] = Coder(load(path), _known(sent))
+    return _coders[path, sent.id]
+
+
+def _texts(flat: pa.Array, ends: np.ndarray, path: str) -> pa.Array:
+    """The texts that the ids between each two `ends` say, without the space in front."""
+    taken = pa.array(load(path).texts, pa.large_binary()).take(flat)
+    marks = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(taken.buffers()[2], dtype=np.uint8)[: marks[-1]] if len(taken) else np.zeros(0, dtype=np.uint8)
+    at = marks[ends]
+    first = at[:-1][at[1:] > at[:-1]]
+    first = first[data[first] == 0x20]
+    keep = np.ones(len(data), dtype=bool)
+    keep[first] = False
+    gone = np.searchsorted(first, at)
+    data, at = data[keep], at - gone
+    out = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+    try:
+        out.validate(full=True)
+        return out.cast(pa.string())
+    except pa.ArrowInvalid:  # ids of lone bytes
+        return pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(at, at[1:])], pa.string())  # noqa: B905
+
+
+def _rows(keys: pa.Array, flat: np.ndarray, ends: np.ndarray, back: str | None = None) -> pa.RecordBatch:
+    ids, raw, at = pa.array(flat, pa.int32()), memoryview(np.ascontiguousarray(flat, dtype="<i4")).cast("B"), (4 * ends).tolist()
+    crc = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])], pa.int64())  # noqa: B905
+    columns = [keys, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids), crc]
+    if back:
+        columns.append(_texts(ids, ends, back))
+    return pa.RecordBatch.from_arrays(columns, names=["key", "ids", "ids_crc32", "text"][: len(columns)])
 
 
 _SCHEMA = "key long, ids array<int>, ids_crc32 long"
 
 
-def encode(docs: DataFrame, path: str = MODEL, held: int = HELD_FRAGMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str = MODEL, held: int = HELD_FRAGMENTS, block_bytes: int = BLOCK_BYTES, decoded: bool = False
+) -> DataFrame:
     """(key, ids, ids_crc32): the piece ids of each text, as a unigram model with the file's scores gives them.
 
     One row for each row of `docs` (doc_id, text), repeated ids and texts included; an
-    empty table gives none. Whole texts; a null text is empty and has no ids.
+    empty table gives none. Whole texts; a null text is empty and has no ids. `decoded`:
+    with `text` too, decoded from the ids by the worker that made them.
 
     Texts are cut into fragments that no piece goes over. The corpus's distinct
     fragments go through the lattice once. The `held` most frequent ones are sent to all
@@ -353,7 +444,8 @@ def encode(docs: DataFrame, path: str = MODEL, held: int = HELD_FRAGMENTS, block
     the worker that puts the text together folds it by the same recurrence, in space and
     time linear in its length.
     """
-    spark = docs.sparkSession
+    spark, back = docs.sparkSession, path if decoded else None
+    schema = _SCHEMA + ", text string" * decoded
     keyed = spread(docs.select(id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     words = Written(counted(keyed, path), "fragments")
     least = _frequent(words.df, held)
@@ -365,30 +457,32 @@ def encode(docs: DataFrame, path: str = MODEL, held: int = HELD_FRAGMENTS, block
     if least <= 1:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = load(path)
-            coder = Coder(table, _known(sent))
+            coder = Coder(load(path), _known(sent))
             for batch in batches:
                 for part in text_slices(batch, limit=_PART):
-                    found, starts = fragments(part.column("text").to_pylist(), table)
-                    raw = [coder.ids(found[a:b], {}) for a, b in zip(starts, starts[1:])]  # noqa: B905
-                    yield _rows(part.column("key").to_pylist(), raw)
+                    yield _rows(part.column("key"), *coder.texts(part.column("text"), {}), back)
 
-        return keyed.mapInArrow(whole, _SCHEMA)
+        return keyed.mapInArrow(whole, schema)
 
     total = bytes_estimate(keyed, "text")
     blocks = max(1, -(-total // block_bytes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, press = load(path), _known(sent), zstandard.ZstdCompressor(level=3)
+        held, press = _known(sent), zstandard.ZstdCompressor(level=3)
+        lexicon = Lexicon(load(path), lambda found: tuple(f for f in found if f not in held and len(f) <= LONGEST_FRAGMENT))
         for batch in batches:
             for part in text_slices(batch, limit=_PART):
-                texts = part.column("text").to_pylist()
-                found, starts = fragments(texts, table)
+                words, index, starts = chunks(part.column("text"))
+                rare = lexicon.read(words)
+                some = np.array([bool(r) for r in rare], dtype=bool)
+                at = np.flatnonzero(some[index])
+                owned: list[set[str]] = [set() for _ in range(part.num_rows)]
+                for row, i in zip((np.searchsorted(starts, at, side="right") - 1).tolist(), index[at].tolist(), strict=True):
+                    owned[row].update(rare[i])
                 out = []
-                for key, text, a, b in zip(part.column("key").to_pylist(), texts, starts, starts[1:]):  # noqa: B905
-                    rare = [f for f in set(found[a:b]).difference(known) if len(f) <= LONGEST_FRAGMENT]
-                    pressed = press.compress(text.encode())
-                    out.append(struct.pack("<qI", key, len(pressed)) + pressed + json.dumps(sorted(rare), ensure_ascii=False).encode())
+                for key, text, has in zip(part.column("key").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), owned, strict=True):
+                    pressed = press.compress(text)
+                    out.append(struct.pack("<qI", key, len(pressed)) + pressed + json.dumps(sorted(has), ensure_ascii=False).encode())
                 yield pa.RecordBatch.from_arrays([part.column("block"), pa.array(out, pa.binary())], names=["block", "row"])
 
     block = F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int").alias("block")
@@ -411,17 +505,17 @@ def encode(docs: DataFrame, path: str = MODEL, held: int = HELD_FRAGMENTS, block
     needed = dealt.mapInArrow(rare, "of int, word string").join(solved.df.filter(F.col("n") < least).drop("n"), "word")
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, press = load(path), zstandard.ZstdDecompressor()
-        coder = Coder(table, _known(sent))
+        coder, press = _coder(path, sent), zstandard.ZstdDecompressor()
         others = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
         made = []
-        for batch in left.to_batches(256):
+        for batch in left.to_batches(1024):
             rows = [parts(r)[:2] for r in batch.column("row").to_pylist()]
-            found, starts = fragments([press.decompress(z).decode() for _, z in rows], table)
-            made.append(_rows([k for k, _ in rows], [coder.ids(found[a:b], others) for a, b in zip(starts, starts[1:])]))  # noqa: B905
-        return pa.Table.from_batches(made, schema=_rows([], []).schema)
+            texts = pa.array([press.decompress(z) for _, z in rows], pa.large_binary()).cast(pa.large_string())
+            made.append(_rows(pa.array([k for k, _ in rows], pa.int64()), *coder.texts(texts, others), back))
+        none = np.zeros(1, dtype=np.int64)
+        return pa.Table.from_batches(made, schema=_rows(pa.array([], pa.int64()), none[:0].astype("<i4"), none, back).schema)
 
-    return dealt.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(build, _SCHEMA)
+    return dealt.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(build, schema)
 
 
 def decode(rows: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame:
@@ -432,16 +526,11 @@ def decode(rows: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = pa.array(load(path).texts, pa.large_binary())
         for batch in batches:
             ids = batch.column(column)
             sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-            taken = texts.take(pc.list_flatten(ids))
-            marks = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(taken) + 1]
-            data = taken.buffers()[2].to_pybytes() if len(taken) else b""
-            ends = marks[np.cumsum(np.concatenate([[0], sizes]))].tolist()
-            out = [data[a + 1 : b] if data[a : a + 1] == b" " and b > a else data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
-            made = pa.array([x.decode(errors="replace") if ok else None for x, ok in zip(out, ids.is_valid().to_pylist(), strict=True)], pa.string())
+            found = _texts(pc.list_flatten(ids), np.cumsum(np.concatenate([[0], sizes])), path)
+            made = pc.if_else(ids.is_valid(), found, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, "text"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema]
@@ -450,7 +539,7 @@ def decode(rows: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame
 
 def op8(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_ids, ids_crc32 (little-endian 32-bit ids), decoded_sha256."""
-    found = decode(encode(docs.select("doc_id", "text")))
+    found = encode(docs.select("doc_id", "text"), decoded=True)
     return found.select(
         id_back(F.col("key")).alias("doc_id"),
         F.size("ids").cast("long").alias("n_ids"),

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,7 +22,7 @@ def plain(text):
 @settings(max_examples=150, deadline=None)
 def test_fragments_fold_to_the_word(text):
     table = pieces.load()
-    found, starts = pieces.fragments([text, None, text], table)
+    found, starts = pieces.fragments([pieces.normal(t) for t in (text, None, text)], table)
     assert "".join(found[: starts[1]]) == pieces.normal(text) and starts[1] == starts[2] and starts[3] == len(found)
     assert [x for f in found[: starts[1]] for x in pieces.fold(f, table)] == plain(text)
 
@@ -42,7 +43,7 @@ def test_every_fragment_is_found_whatever_tasks_hold(spark, held):
     theirs = sorted((k if k is not None else NULL_ID, plain(t)) for k, t in rows)
     assert sorted((r.key, r.ids) for r in out.collect()) == theirs
     back = {r.text for r in pieces.decode(out).collect()}
-    assert back == {t or "" for _, t in rows}
+    assert back == {t or "" for _, t in rows} == {r.text for r in pieces.encode(spark.createDataFrame(rows, SCHEMA), held=held, decoded=True).collect()}
 
 
 def test_a_long_text_without_spaces(spark):
@@ -55,4 +56,4 @@ def test_a_long_text_without_spaces(spark):
 
 def test_a_fragment_without_ids_is_an_error():
     with pytest.raises(KeyError):
-        pieces.Coder(pieces.load(), {}).ids(["missing"], {})
+        pieces.Coder(pieces.load(), {}).texts(pa.array(["missing"]), {})
