@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +30,12 @@ WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 LONGEST_FRAGMENT = 48
 #: Fragments whose ids every task holds, the most frequent ones; all others are joined.
 HELD_FRAGMENTS = 1 << 17
-#: Bytes of text that meet the ids of their rare fragments in one task.
+#: Bytes of text in a block; a longer text is one of its own.
 BLOCK_BYTES = 8 << 20
 #: Fragments that one task of the lattice solves, about.
 TASK_FRAGMENTS = 40_000
 #: Distinct fragments that a worker counts before it hands them on.
 _COUNTED = 1 << 18
-#: Chunks that a worker remembers.
-_REMEMBERED = 1 << 18
-#: Bytes of text cut into chunks at once.
-_PART = 16 << 20
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -175,23 +173,40 @@ def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
 
 
-class Lexicon:
-    """What `value` makes of the fragments of a chunk, worked out once and remembered; the memory is emptied when full."""
+@dataclass
+class Coded:
+    """Some texts by their distinct fragments.
 
-    def __init__(self, table: Pieces, value):
-        self.table, self.value = table, value
-        self.known: dict[str, object] = {}
+    Chunk c is the fragments `fragments[i] for i in code[begin[c]:begin[c + 1]]`; text t is
+    the chunks `index[starts[t]:starts[t + 1]]`.
+    """
+
+    fragments: list[str]
+    code: np.ndarray
+    begin: np.ndarray
+    index: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def make(cls, texts: pa.Array, table: Pieces) -> Coded:
+        words, index, starts = chunks(texts)
+        found, begin = fragments([SPACE + w for w in words], table)
+        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return cls(names, coded.indices.to_numpy(), begin.astype(np.int32), index, starts)
 
-    def read(self, words: list[str]) -> list:
-        """A value for each of the distinct chunks `words`."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known.clear()
-            new = words
-        found, starts = fragments([SPACE + w for w in new], self.table)
-        at = starts.tolist()
-        self.known.update(zip(new, [self.value(found[a:b]) for a, b in zip(at, at[1:])], strict=True))  # noqa: B905
-        return [self.known[w] for w in words]
+    def ids(self, known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin, from the ids of each fragment."""
+        sizes = np.array([len(v) // 4 for v in known], dtype=np.int64)
+        each = pa.LargeListArray.from_arrays(_ends(sizes), pa.array(np.frombuffer(b"".join(known), dtype="<i4")))
+        ends = _ends(sizes[self.code]).to_numpy()[self.begin]
+        words = pa.LargeListArray.from_arrays(pa.array(ends), pc.list_flatten(each.take(pa.array(self.code))))
+        flat = pc.list_flatten(words.take(pa.array(self.index))).to_numpy()
+        return flat, _ends(np.diff(ends)[self.index]).to_numpy()[self.starts]
+
+
+def _ends(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
 
 def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFrame:
@@ -200,40 +215,52 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
     All substrings of up to the longest piece's length are exploded and joined to the
     piece table by equality (by a hash of 64 bits that tells the table's pieces apart,
     then of the text itself, as a hash of one long is probed five times faster than a
-    string); single characters that no piece matches stay as unknown edges, with id -1. The edges of a word are grouped, ordered by end and start, and
+    string); single characters that no piece matches stay as unknown edges, with the id behind the last. The edges of a word are grouped, ordered by end and start, and
     folded by Viterbi's recurrence with a higher-order aggregate; a second one walks
     back. Words are dealt by hash before, so that grouping needs no shuffle of edges.
     """
     table = load(path)
-    rows = [(t, i, table.scores[t]) for t, i in table.ids.items()]
-    listed = spark.createDataFrame(rows, "text string, id int, score double").withColumn("h", F.xxhash64("text"))
+    listed = spark.createDataFrame(list(table.ids.items()), "text string, id int").withColumn("h", F.xxhash64("text"))
     ends = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
     spans = ends.select(
         "word", "end", F.explode(F.sequence(F.greatest(F.col("end") - table.longest, F.lit(0)), F.col("end") - 1)).alias("start")
     )
     cut = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
     same = F.col("piece") == F.col("text")
+    none = len(table.texts)  # stands for no piece
+    # one long an edge, end first, then start, then id: primitive values are sorted faster than structs
+    edge = (F.shiftleft(F.col("end").cast("long"), 48) + F.shiftleft(F.col("start").cast("long"), 32) + F.col("id")).alias("edge")
     edges = (
         cut.withColumn("h", F.xxhash64("piece"))
         .join(F.broadcast(listed), "h", "left")
-        .select("word", "end", "start", F.when(same, F.col("score")).alias("score"), F.when(same, F.col("id")).alias("id"))
-        .filter(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-        .select(
-            "word",
-            F.struct("end", "start", F.coalesce("score", F.lit(table.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id")).alias("edge"),
-        )
+        .select("word", "end", "start", F.coalesce(F.when(same, F.col("id")), F.lit(none)).alias("id"))
+        .filter((F.col("id") != none) | (F.col("end") == F.col("start") + 1))
+        .select("word", edge)
     )
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    listing = [0.0] * none + [table.unknown]
+    for text, i in table.ids.items():
+        listing[i] = table.scores[text]
+    scores = F.split(F.lit(",".join(map(repr, listing))), ",").cast("array<double>")  # a constant
+    parts = F.transform(
+        F.sort_array(F.collect_list("edge")),
+        lambda e: F.struct(
+            F.shiftright(e, 48).cast("int").alias("end"),
+            F.shiftright(e, 32).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("start"),
+            F.get(scores, e.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("score"),
+            e.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("id"),
+        ),
+    )
+    grouped = edges.groupBy("word").agg(parts.alias("edges"))
     step = "struct<score: double, start: int, id: int>"
     # best[e] is the best way to end e; edges come by end, so that their starts are settled
     begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-2).alias("id")).cast(step))
 
     def settle(best: Column, e: Column) -> Column:
-        here = F.struct((F.get(best, e.start).score + e.score).alias("score"), e.start.alias("start"), e.id.alias("id"))
-        last = F.get(best, e.end)
+        score = F.get(best, e.start).score + e.score
+        here = F.struct(score.alias("score"), e.start.alias("start"), e.id.alias("id"))
         return (
             F.when(F.size(best) <= e.end, F.array_append(best, here))
-            .when(here.score > last.score, F.array_append(F.slice(best, F.lit(1), e.end), here))
+            .when(score > F.get(best, e.end).score, F.array_append(F.slice(best, F.lit(1), e.end), here))
             .otherwise(best)
         )
 
@@ -248,10 +275,10 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
         )
 
     solved = grouped.select("word", F.aggregate("edges", begin, settle).alias("best"))
-    none = F.array().cast("array<int>")
+    empty = F.array().cast("array<int>")
     back = F.aggregate(
         F.sequence(F.lit(1), F.size("best") - 1),
-        F.struct((F.size("best") - 1).alias("end"), none.alias("ids"), none.alias("ends")),
+        F.struct((F.size("best") - 1).alias("end"), empty.alias("ids"), empty.alias("ends")),
         walk,
     )
     return solved.select("word", back.alias("path")).select("word", "path.ids", "path.ends")
@@ -268,16 +295,16 @@ def counted(docs: DataFrame, path: str = MODEL) -> DataFrame:
             words, counts = list(seen), list(seen.values())
             sums: dict[str, int] = {}
             total = sums.get
-            for begin in range(0, len(words), _REMEMBERED):
-                found, starts = fragments([SPACE + w for w in words[begin : begin + _REMEMBERED]], table)
-                times = np.repeat(counts[begin : begin + _REMEMBERED], np.diff(starts)).tolist()
+            for begin in range(0, len(words), _COUNTED):
+                found, starts = fragments([SPACE + w for w in words[begin : begin + _COUNTED]], table)
+                times = np.repeat(counts[begin : begin + _COUNTED], np.diff(starts)).tolist()
                 for f, n in zip(found, times, strict=True):
                     sums[f] = total(f, 0) + n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for part in text_slices(batch, limit=_PART):
+            for part in text_slices(batch, limit=BLOCK_BYTES):
                 words, index, _ = chunks(part.column("text"))
                 for word, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
                     seen[word] = get(word, 0) + n
@@ -290,25 +317,20 @@ def counted(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def solve(words: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word, n, ids) for the distinct rows of `words` (word, n); ids as little-endian 32-bit bytes.
+    """(word, ids) for the distinct rows of `words` (word); characters that are no piece become the pieces of their bytes."""
+    spark, table = words.sparkSession, load(path)
+    count, none = words.count(), len(table.texts)
+    dealt = words.select("word").repartition(max(shuffle_partitions(spark), -(-count // TASK_FRAGMENTS)), "word")
+    single = F.split(F.lit(",".join(map(str, table.bytes))), ",").cast("array<int>")  # a constant
 
-    Characters that are no piece become the pieces of their bytes.
-    """
+    def spelled(end: Column) -> Column:
+        code = F.hex(F.encode(F.substring(F.col("word"), end, F.lit(1)), "UTF-8"))
+        return F.transform(
+            F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.get(single, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int"))
+        )
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load(path)
-        for batch in batches:
-            out = []
-            for word, ids, ends in zip(*(batch.column(c).to_pylist() for c in ("word", "ids", "ends")), strict=True):
-                if -1 in ids:
-                    ids = [x for i, end in zip(ids, ends, strict=True) for x in ([i] if i >= 0 else [table.bytes[b] for b in word[end - 1].encode()])]
-                out.append(struct.pack(f"<{len(ids)}i", *ids))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.binary())], names=["word", "ids"])
-
-    spark = words.sparkSession
-    count = words.count()
-    dealt = words.select("word").repartition(max(shuffle_partitions(spark), -(-count // TASK_FRAGMENTS)), "word")
-    return lattice(dealt, spark, path).mapInArrow(pack, "word string, ids binary")
+    each = F.zip_with("ids", "ends", lambda i, end: F.when(i == none, spelled(end)).otherwise(F.array(i)))
+    return lattice(dealt, spark, path).select("word", F.when(F.array_contains("ids", none), F.flatten(each)).otherwise(F.col("ids")).alias("ids"))
 
 
 def _frequent(words: DataFrame, most: int) -> int:
@@ -324,33 +346,16 @@ def _frequent(words: DataFrame, most: int) -> int:
     return least
 
 
-class Coder:
-    """Ids of texts by the ids of their fragments; fragments over the lattice's length are folded by the same recurrence."""
+def known_ids(found: list[str], table: Pieces, held: dict[str, bytes], rare: dict[str, bytes]) -> list[bytes]:
+    """The ids of each fragment; one over the lattice's length is folded by the same recurrence, a missing one is an error."""
 
-    def __init__(self, table: Pieces, held: dict[str, bytes]):
-        self.table, self.held, self.rare = table, held, {}
-        self.lexicon = Lexicon(table, self._value)
-
-    def texts(self, texts: pa.Array, rare: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and where each text's begin; `rare`: those of the fragments that aren't held."""
-        self.rare = rare
-        words, index, starts = chunks(texts)
-        values = self.lexicon.read(words)
-        sizes = np.array([len(v) // 4 for v in values], dtype=np.int64)
-        each = pa.LargeListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(np.frombuffer(b"".join(values), dtype="<i4"))
-        )
-        flat = pc.list_flatten(each.take(pa.array(index))).to_numpy()
-        return flat, np.concatenate([[0], np.cumsum(sizes[index])])[starts]
-
-    def _value(self, found: list[str]) -> bytes:
-        return b"".join([self.held.get(f) or self._other(f) for f in found])
-
-    def _other(self, fragment: str) -> bytes:
+    def other(fragment: str) -> bytes:
         if len(fragment) > LONGEST_FRAGMENT:
-            ids = fold(fragment, self.table)
+            ids = fold(fragment, table)
             return struct.pack(f"<{len(ids)}i", *ids)
-        return self.rare[fragment]
+        return rare[fragment]
+
+    return [held.get(f) or other(f) for f in found]
 
 
 _held: dict[int, dict[str, bytes]] = {}
@@ -361,10 +366,20 @@ def _known(sent) -> dict[str, bytes]:
     if sent.id not in _held:
         _held.clear()
         table = pa.ipc.open_stream(sent.value).read_all()
-        _held[sent.id] = dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
+        _held[sent.id] = _listed(table.combine_chunks())
     return _held[sent.id]
 
 
+def _listed(table: pa.Table) -> dict[str, bytes]:
+    """The rows (word, ids) as a dictionary, ids as little-endian 32-bit bytes."""
+    if not table.num_rows:
+        return {}
+    ids = pa.concat_arrays(table.column("ids").chunks)
+    raw = pc.list_flatten(ids).to_numpy().astype("<i4").tobytes()
+    at = np.concatenate([[0], np.cumsum(4 * pc.list_value_length(ids).to_numpy().astype(np.int64))]).tolist()
+    return dict(zip(table.column("word").to_pylist(), [raw[a:b] for a, b in zip(at, at[1:])], strict=True))  # noqa: B905
+
+
 class _Sent:
     """A broadcast value with a number that workers know it by."""
 
@@ -383,17 +398,6 @@ class _Sent:
         return {"_value": self._value, "id": self.id}
 
 
-_coders: dict[tuple, Coder] = {}
-
-
-def _coder(path: str, sent) -> Coder:
-    """A worker's coder, which remembers chunks over groups."""
-    if (path, sent.id) not in _coders:
-        _coders.clear()
-        _coders[path, sent.id] = Coder(load(path), _known(sent))
-    return _coders[path, sent.id]
-
-
 def _texts(flat: pa.Array, ends: np.ndarray, path: str) -> pa.Array:
     """The texts that the ids between each two `ends` say, without the space in front."""
     taken = pa.array(load(path).texts, pa.large_binary()).take(flat)
@@ -437,9 +441,9 @@ def encode(
 
     Texts are cut into fragments that no piece goes over. The corpus's distinct
     fragments go through the lattice once. The `held` most frequent ones are sent to all
-    tasks; texts go once through a shuffle to blocks of about `block_bytes`, compressed,
-    where they meet the ids of their block's other fragments, joined by the fragment. A
-    corpus without others isn't shuffled. What is still longer than `LONGEST_FRAGMENT`
+    tasks; texts go once through a shuffle, in blocks of up to `block_bytes` coded by
+    their distinct fragments and compressed, and meet the ids of their block's other
+    fragments, which are joined by the fragment. A corpus without others isn't shuffled. What is still longer than `LONGEST_FRAGMENT`
     where pieces overlap without end (a run of one letter, say) is no row of the lattice:
     the worker that puts the text together folds it by the same recurrence, in space and
     time linear in its length.
@@ -457,10 +461,11 @@ def encode(
     if least <= 1:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder = Coder(load(path), _known(sent))
+            table, held = load(path), _known(sent)
             for batch in batches:
-                for part in text_slices(batch, limit=_PART):
-                    yield _rows(part.column("key"), *coder.texts(part.column("text"), {}), back)
+                for part in text_slices(batch, limit=block_bytes):
+                    coded = Coded.make(part.column("text"), table)
+                    yield _rows(part.column("key"), *coded.ids(known_ids(coded.fragments, table, held, {})), back)
 
         return keyed.mapInArrow(whole, schema)
 
@@ -468,50 +473,37 @@ def encode(
     blocks = max(1, -(-total // block_bytes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, press = _known(sent), zstandard.ZstdCompressor(level=3)
-        lexicon = Lexicon(load(path), lambda found: tuple(f for f in found if f not in held and len(f) <= LONGEST_FRAGMENT))
+        table, held, press = load(path), _known(sent), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in text_slices(batch, limit=_PART):
-                words, index, starts = chunks(part.column("text"))
-                rare = lexicon.read(words)
-                some = np.array([bool(r) for r in rare], dtype=bool)
-                at = np.flatnonzero(some[index])
-                owned: list[set[str]] = [set() for _ in range(part.num_rows)]
-                for row, i in zip((np.searchsorted(starts, at, side="right") - 1).tolist(), index[at].tolist(), strict=True):
-                    owned[row].update(rare[i])
-                out = []
-                for key, text, has in zip(part.column("key").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), owned, strict=True):
-                    pressed = press.compress(text)
-                    out.append(struct.pack("<qI", key, len(pressed)) + pressed + json.dumps(sorted(has), ensure_ascii=False).encode())
-                yield pa.RecordBatch.from_arrays([part.column("block"), pa.array(out, pa.binary())], names=["block", "row"])
-
-    block = F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int").alias("block")
-    # id, text and rare fragments are one column, so that both uses below read the same shuffle
-    dealt = keyed.select("key", "text", block).mapInArrow(deal, "block int, row binary").repartition(blocks, "block")
-
-    def parts(row: bytes) -> tuple[int, bytes, list[str]]:
-        key, size = struct.unpack_from("<qI", row)
-        return key, row[12 : 12 + size], json.loads(row[12 + size :])
+            for part in text_slices(batch, limit=block_bytes):
+                coded = Coded.make(part.column("text"), table)
+                pressed = press.compress(pickle.dumps((part.column("key").to_numpy(), coded)))
+                rare = [f for f in coded.fragments if f not in held and len(f) <= LONGEST_FRAGMENT]
+                row = struct.pack("<I", len(pressed)) + pressed + json.dumps(rare, ensure_ascii=False).encode()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([xxhash.xxh64_intdigest(pressed) >> 1], pa.int64()), pa.array([row], pa.binary())], names=["block", "row"]
+                )
+
+    # a block and its rare fragments are one column, so that both uses below read the same shuffle
+    dealt = keyed.mapInArrow(deal, "block long, row binary").repartition(blocks, "block")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, str]] = set()
         for batch in batches:
-            new = {(b, f) for b, row in zip(batch.column("block").to_pylist(), batch.column("row").to_pylist(), strict=True) for f in parts(row)[2]}
-            new -= seen
-            seen = seen | new if len(seen) < _COUNTED else new
-            columns = list(zip(*new, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string())], names=["of", "word"])
+            for block, row in zip(batch.column("block"), batch.column("row"), strict=True):
+                row = row.as_py()
+                words = pa.array(json.loads(row[4 + struct.unpack_from("<I", row)[0] :]), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block.as_py())), words], names=["of", "word"])
 
-    needed = dealt.mapInArrow(rare, "of int, word string").join(solved.df.filter(F.col("n") < least).drop("n"), "word")
+    needed = dealt.mapInArrow(rare, "of long, word string").join(solved.df.filter(F.col("n") < least).drop("n"), "word")
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
-        coder, press = _coder(path, sent), zstandard.ZstdDecompressor()
-        others = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
+        table, held, press = load(path), _known(sent), zstandard.ZstdDecompressor()
+        others = _listed(right)
         made = []
-        for batch in left.to_batches(1024):
-            rows = [parts(r)[:2] for r in batch.column("row").to_pylist()]
-            texts = pa.array([press.decompress(z) for _, z in rows], pa.large_binary()).cast(pa.large_string())
-            made.append(_rows(pa.array([k for k, _ in rows], pa.int64()), *coder.texts(texts, others), back))
+        for row in left.column("row"):
+            row = row.as_py()
+            keys, coded = pickle.loads(press.decompress(row[4 : 4 + struct.unpack_from("<I", row)[0]]))
+            made.append(_rows(pa.array(keys), *coded.ids(known_ids(coded.fragments, table, held, others)), back))
         none = np.zeros(1, dtype=np.int64)
         return pa.Table.from_batches(made, schema=_rows(pa.array([], pa.int64()), none[:0].astype("<i4"), none, back).schema)
 

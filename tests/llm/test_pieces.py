@@ -2,7 +2,6 @@
 
 import re
 
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,4 +55,4 @@ def test_a_long_text_without_spaces(spark):
 
 def test_a_fragment_without_ids_is_an_error():
     with pytest.raises(KeyError):
-        pieces.Coder(pieces.load(), {}).texts(pa.array(["missing"]), {})
+        pieces.known_ids(["missing"], pieces.load(), {}, {})
