@@ -29,13 +29,13 @@ WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 #: Characters of the longest fragment that goes through the lattice as it is.
 LONGEST_FRAGMENT = 48
 #: Fragments whose ids every task holds, the most frequent ones; all others are joined.
-HELD_FRAGMENTS = 1 << 17
+HELD_FRAGMENTS = 1 << 16
 #: Bytes of text in a block; a longer text is one of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Fragments that one task of the lattice solves, about.
 TASK_FRAGMENTS = 40_000
 #: Distinct fragments that a worker counts before it hands them on.
-_COUNTED = 1 << 18
+_COUNTED = 1 << 17
 _UNKNOWN_PENALTY = 10.0
 
 
