@@ -29,7 +29,7 @@ WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 #: Characters of the longest fragment that goes through the lattice as it is.
 LONGEST_FRAGMENT = 48
 #: Fragments whose ids every task holds, the most frequent ones; all others are joined.
-HELD_FRAGMENTS = 1 << 16
+HELD_FRAGMENTS = 1 << 18
 #: Bytes of text in a block; a longer text is one of its own.
 BLOCK_BYTES = 4 << 20
 #: Fragments that one task of the lattice solves, about.
@@ -177,11 +177,11 @@ def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 class Coded:
     """Some texts by their distinct fragments.
 
-    Chunk c is the fragments `fragments[i] for i in code[begin[c]:begin[c + 1]]`; text t is
-    the chunks `index[starts[t]:starts[t + 1]]`.
+    Chunk c is the fragments numbered `code[begin[c]:begin[c + 1]]`; text t is the chunks
+    numbered `index[starts[t]:starts[t + 1]]`.
     """
 
-    fragments: list[str]
+    fragments: pa.Array
     code: np.ndarray
     begin: np.ndarray
     index: np.ndarray
@@ -191,20 +191,50 @@ class Coded:
     def make(cls, texts: pa.Array, table: Pieces) -> Coded:
         words, index, starts = chunks(texts)
         found, begin = fragments([SPACE + w for w in words], table)
-        coded = pa.array(found, pa.large_string()).dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        return cls(names, coded.indices.to_numpy(), begin.astype(np.int32), index, starts)
-
-    def ids(self, known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and where each text's begin, from the ids of each fragment."""
-        sizes = np.array([len(v) // 4 for v in known], dtype=np.int64)
-        each = pa.LargeListArray.from_arrays(_ends(sizes), pa.array(np.frombuffer(b"".join(known), dtype="<i4")))
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        return cls(coded.dictionary, coded.indices.to_numpy(), begin, index, starts)
+
+    def pack(self) -> bytes:
+        """As bytes: frequent fragments and chunks get small numbers, which go in halves, as these press well."""
+        names, code, _ = _by_frequency(self.code, len(self.fragments))
+        order, index, _ = _by_frequency(self.index, len(self.begin) - 1)
+        sizes = np.diff(self.begin)
+        taken = _gather(self.begin[:-1][order], sizes[order])  # the chunks in their new order
+        parts = [json.dumps(self.fragments.take(pa.array(names)).to_numpy(zero_copy_only=False).tolist(), ensure_ascii=False).encode()]
+        for values in (code[taken], sizes[order], index, np.diff(self.starts)):
+            parts += [(values & 0xFFFF).astype("<u2").tobytes(), (values >> 16).astype("<u2").tobytes()]
+        return pickle.dumps([zstandard.compress(x) for x in parts])
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Coded:
+        names, *halves = [zstandard.decompress(x) for x in pickle.loads(raw)]
+        values = [np.frombuffer(lo, "<u2").astype(np.int64) | (np.frombuffer(hi, "<u2").astype(np.int64) << 16) for lo, hi in zip(halves[::2], halves[1::2], strict=True)]
+        ends = lambda x: _ends(x).to_numpy()
+        return cls(pa.array(json.loads(names), pa.string()), values[0], ends(values[1]), values[2], ends(values[3]))
+
+    def ids(self, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin, from the list of ids of each fragment."""
+        sizes = pc.list_value_length(known).to_numpy().astype(np.int64)
         ends = _ends(sizes[self.code]).to_numpy()[self.begin]
-        words = pa.LargeListArray.from_arrays(pa.array(ends), pc.list_flatten(each.take(pa.array(self.code))))
+        words = pa.LargeListArray.from_arrays(pa.array(ends), pc.list_flatten(known.take(pa.array(self.code))))
         flat = pc.list_flatten(words.take(pa.array(self.index))).to_numpy()
         return flat, _ends(np.diff(ends)[self.index]).to_numpy()[self.starts]
 
 
+def _by_frequency(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the numbers below `size` by how often they are in `values`, `values` renumbered so, and the new numbers."""
+    order = np.argsort(-np.bincount(values, minlength=size), kind="stable")
+    rank = np.empty(size, dtype=np.int64)
+    rank[order] = np.arange(size)
+    return order, rank[values], rank
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs of `sizes` from `starts`, one run behind the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def _ends(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
@@ -346,40 +376,41 @@ def _frequent(words: DataFrame, most: int) -> int:
     return least
 
 
-def known_ids(found: list[str], table: Pieces, held: dict[str, bytes], rare: dict[str, bytes]) -> list[bytes]:
-    """The ids of each fragment; one over the lattice's length is folded by the same recurrence, a missing one is an error."""
-
-    def other(fragment: str) -> bytes:
-        if len(fragment) > LONGEST_FRAGMENT:
-            ids = fold(fragment, table)
-            return struct.pack(f"<{len(ids)}i", *ids)
-        return rare[fragment]
+def known_ids(found: pa.Array, table: Pieces, held: pa.Table, rare: pa.Table) -> pa.Array:
+    """The list of ids of each fragment, from `held` or `rare` (word, ids).
 
-    return [held.get(f) or other(f) for f in found]
-
-
-_held: dict[int, dict[str, bytes]] = {}
-
-
-def _known(sent) -> dict[str, bytes]:
-    """The broadcast fragments as a dictionary, made once in a worker."""
+    One over the lattice's length is folded by the same recurrence; a missing one is an error.
+    """
+    at = pc.index_in(found, held.column("word"))
+    open_ = at.is_null()
+    others = found.filter(open_)
+    sources, place = [*held.column("ids").chunks], at.to_numpy(zero_copy_only=False).copy()
+    if len(others):
+        long = pc.greater(pc.utf8_length(others), LONGEST_FRAGMENT)
+        folded = [fold(f, table) for f in others.filter(long).to_pylist()]
+        where = pc.index_in(others, rare.column("word")).to_numpy(zero_copy_only=False).astype(np.float64) + held.num_rows
+        longs = long.to_numpy(zero_copy_only=False)
+        where[longs] = held.num_rows + rare.num_rows + np.arange(len(folded))
+        if np.isnan(where).any():
+            raise KeyError(f"fragments without ids: {others.filter(pa.array(np.isnan(where)))[:3]}")
+        place[open_.to_numpy(zero_copy_only=False)] = where
+        sources += [*rare.column("ids").chunks, pa.array(folded, pa.list_(pa.int32()))]
+    sources = [x.cast(pa.large_list(pa.int32())) for x in sources] or [pa.array([], pa.large_list(pa.int32()))]
+    return pa.concat_arrays(sources).take(pa.array(place.astype(np.int64)))
+
+
+_WORDS = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
+_held: dict[int, pa.Table] = {}
+
+
+def _known(sent) -> pa.Table:
+    """The broadcast fragments, read once in a worker."""
     if sent.id not in _held:
         _held.clear()
-        table = pa.ipc.open_stream(sent.value).read_all()
-        _held[sent.id] = _listed(table.combine_chunks())
+        _held[sent.id] = pa.ipc.open_stream(sent.value).read_all()
     return _held[sent.id]
 
 
-def _listed(table: pa.Table) -> dict[str, bytes]:
-    """The rows (word, ids) as a dictionary, ids as little-endian 32-bit bytes."""
-    if not table.num_rows:
-        return {}
-    ids = pa.concat_arrays(table.column("ids").chunks)
-    raw = pc.list_flatten(ids).to_numpy().astype("<i4").tobytes()
-    at = np.concatenate([[0], np.cumsum(4 * pc.list_value_length(ids).to_numpy().astype(np.int64))]).tolist()
-    return dict(zip(table.column("word").to_pylist(), [raw[a:b] for a, b in zip(at, at[1:])], strict=True))  # noqa: B905
-
-
 class _Sent:
     """A broadcast value with a number that workers know it by."""
 
@@ -465,7 +496,7 @@ def encode(
             for batch in batches:
                 for part in text_slices(batch, limit=block_bytes):
                     coded = Coded.make(part.column("text"), table)
-                    yield _rows(part.column("key"), *coded.ids(known_ids(coded.fragments, table, held, {})), back)
+                    yield _rows(part.column("key"), *coded.ids(known_ids(coded.fragments, table, held, _WORDS.empty_table())), back)
 
         return keyed.mapInArrow(whole, schema)
 
@@ -473,37 +504,33 @@ def encode(
     blocks = max(1, -(-total // block_bytes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, press = load(path), _known(sent), zstandard.ZstdCompressor(level=3)
+        table = load(path)
         for batch in batches:
             for part in text_slices(batch, limit=block_bytes):
-                coded = Coded.make(part.column("text"), table)
-                pressed = press.compress(pickle.dumps((part.column("key").to_numpy(), coded)))
-                rare = [f for f in coded.fragments if f not in held and len(f) <= LONGEST_FRAGMENT]
-                row = struct.pack("<I", len(pressed)) + pressed + json.dumps(rare, ensure_ascii=False).encode()
+                row = pickle.dumps((part.column("key").to_numpy(), Coded.make(part.column("text"), table).pack()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh64_intdigest(pressed) >> 1], pa.int64()), pa.array([row], pa.binary())], names=["block", "row"]
+                    [pa.array([xxhash.xxh64_intdigest(row) >> 1], pa.int64()), pa.array([row], pa.binary())], names=["block", "row"]
                 )
 
-    # a block and its rare fragments are one column, so that both uses below read the same shuffle
+    # a block is one column, so that both uses below read the same shuffle
     dealt = keyed.mapInArrow(deal, "block long, row binary").repartition(blocks, "block")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _known(sent)
         for batch in batches:
             for block, row in zip(batch.column("block"), batch.column("row"), strict=True):
-                row = row.as_py()
-                words = pa.array(json.loads(row[4 + struct.unpack_from("<I", row)[0] :]), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block.as_py())), words], names=["of", "word"])
+                found = Coded.unpack(pickle.loads(row.as_py())[1]).fragments
+                few = found.filter(pc.and_(pc.index_in(found, held.column("word")).is_null(), pc.less_equal(pc.utf8_length(found), LONGEST_FRAGMENT)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(few), block.as_py())), few], names=["of", "word"])
 
     needed = dealt.mapInArrow(rare, "of long, word string").join(solved.df.filter(F.col("n") < least).drop("n"), "word")
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, held, press = load(path), _known(sent), zstandard.ZstdDecompressor()
-        others = _listed(right)
-        made = []
+        table, held, made = load(path), _known(sent), []
         for row in left.column("row"):
-            row = row.as_py()
-            keys, coded = pickle.loads(press.decompress(row[4 : 4 + struct.unpack_from("<I", row)[0]]))
-            made.append(_rows(pa.array(keys), *coded.ids(known_ids(coded.fragments, table, held, others)), back))
+            keys, raw = pickle.loads(row.as_py())
+            coded = Coded.unpack(raw)
+            made.append(_rows(pa.array(keys), *coded.ids(known_ids(coded.fragments, table, held, right)), back))
         none = np.zeros(1, dtype=np.int64)
         return pa.Table.from_batches(made, schema=_rows(pa.array([], pa.int64()), none[:0].astype("<i4"), none, back).schema)
 

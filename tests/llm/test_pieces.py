@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,5 +55,6 @@ def test_a_long_text_without_spaces(spark):
 
 
 def test_a_fragment_without_ids_is_an_error():
+    none = pieces._WORDS.empty_table()
     with pytest.raises(KeyError):
-        pieces.known_ids(["missing"], pieces.load(), {}, {})
+        pieces.known_ids(pa.array(["missing"]), pieces.load(), none, none)
