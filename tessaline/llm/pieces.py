@@ -29,7 +29,7 @@ WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 #: Characters of the longest fragment that goes through the lattice as it is.
 LONGEST_FRAGMENT = 48
 #: Fragments whose ids every task holds, the most frequent ones; all others are joined.
-HELD_FRAGMENTS = 1 << 18
+HELD_FRAGMENTS = 3 << 17
 #: Bytes of text in a block; a longer text is one of its own.
 BLOCK_BYTES = 4 << 20
 #: Fragments that one task of the lattice solves, about.
@@ -508,9 +508,8 @@ def encode(
         for batch in batches:
             for part in text_slices(batch, limit=block_bytes):
                 row = pickle.dumps((part.column("key").to_numpy(), Coded.make(part.column("text"), table).pack()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh64_intdigest(row) >> 1], pa.int64()), pa.array([row], pa.binary())], names=["block", "row"]
-                )
+                number = xxhash.xxh64_intdigest(row) % (8 * blocks)  # small, so that it presses well; blocks may share one
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([row], pa.binary())], names=["block", "row"])
 
     # a block is one column, so that both uses below read the same shuffle
     dealt = keyed.mapInArrow(deal, "block long, row binary").repartition(blocks, "block")
