@@ -65,7 +65,7 @@ class Written:
     def __init__(self, df: DataFrame, what: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/tessaline-{uuid.uuid4().hex}/{what}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
