@@ -240,7 +240,7 @@ def _ends(sizes: np.ndarray) -> pa.Array:
 
 
 def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFrame:
-    """(word, ids, ends) for the distinct rows of `words` (word): the best path, its pieces' ids and where they end.
+    """`words` (word, distinct, and other columns) with ids and ends: the best path, its pieces' ids and where they end.
 
     All substrings of up to the longest piece's length are exploded and joined to the
     piece table by equality (by a hash of 64 bits that tells the table's pieces apart,
@@ -249,11 +249,11 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
     folded by Viterbi's recurrence with a higher-order aggregate; a second one walks
     back. Words are dealt by hash before, so that grouping needs no shuffle of edges.
     """
-    table = load(path)
+    table, keys = load(path), words.columns
     listed = spark.createDataFrame(list(table.ids.items()), "text string, id int").withColumn("h", F.xxhash64("text"))
-    ends = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
+    ends = words.select(*keys, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
     spans = ends.select(
-        "word", "end", F.explode(F.sequence(F.greatest(F.col("end") - table.longest, F.lit(0)), F.col("end") - 1)).alias("start")
+        *keys, "end", F.explode(F.sequence(F.greatest(F.col("end") - table.longest, F.lit(0)), F.col("end") - 1)).alias("start")
     )
     cut = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
     same = F.col("piece") == F.col("text")
@@ -263,9 +263,9 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
     edges = (
         cut.withColumn("h", F.xxhash64("piece"))
         .join(F.broadcast(listed), "h", "left")
-        .select("word", "end", "start", F.coalesce(F.when(same, F.col("id")), F.lit(none)).alias("id"))
+        .select(*keys, "end", "start", F.coalesce(F.when(same, F.col("id")), F.lit(none)).alias("id"))
         .filter((F.col("id") != none) | (F.col("end") == F.col("start") + 1))
-        .select("word", edge)
+        .select(*keys, edge)
     )
     listing = [0.0] * none + [table.unknown]
     for text, i in table.ids.items():
@@ -280,7 +280,7 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
             e.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("id"),
         ),
     )
-    grouped = edges.groupBy("word").agg(parts.alias("edges"))
+    grouped = edges.groupBy(*keys).agg(parts.alias("edges"))
     step = "struct<score: double, start: int, id: int>"
     # best[e] is the best way to end e; edges come by end, so that their starts are settled
     begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-2).alias("id")).cast(step))
@@ -304,14 +304,14 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL) -> DataFra
             )
         )
 
-    solved = grouped.select("word", F.aggregate("edges", begin, settle).alias("best"))
+    solved = grouped.select(*keys, F.aggregate("edges", begin, settle).alias("best"))
     empty = F.array().cast("array<int>")
     back = F.aggregate(
         F.sequence(F.lit(1), F.size("best") - 1),
         F.struct((F.size("best") - 1).alias("end"), empty.alias("ids"), empty.alias("ends")),
         walk,
     )
-    return solved.select("word", back.alias("path")).select("word", "path.ids", "path.ends")
+    return solved.select(*keys, back.alias("path")).select(*keys, "path.ids", "path.ends")
 
 
 def counted(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -347,10 +347,10 @@ def counted(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def solve(words: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word, ids) for the distinct rows of `words` (word); characters that are no piece become the pieces of their bytes."""
+    """(word, n, ids) for the distinct rows of `words` (word, n); characters that are no piece become the pieces of their bytes."""
     spark, table = words.sparkSession, load(path)
     count, none = words.count(), len(table.texts)
-    dealt = words.select("word").repartition(max(shuffle_partitions(spark), -(-count // TASK_FRAGMENTS)), "word")
+    dealt = words.select("word", "n").repartition(max(shuffle_partitions(spark), -(-count // TASK_FRAGMENTS)), "word")
     single = F.split(F.lit(",".join(map(str, table.bytes))), ",").cast("array<int>")  # a constant
 
     def spelled(end: Column) -> Column:
@@ -360,7 +360,7 @@ def solve(words: DataFrame, path: str = MODEL) -> DataFrame:
         )
 
     each = F.zip_with("ids", "ends", lambda i, end: F.when(i == none, spelled(end)).otherwise(F.array(i)))
-    return lattice(dealt, spark, path).select("word", F.when(F.array_contains("ids", none), F.flatten(each)).otherwise(F.col("ids")).alias("ids"))
+    return lattice(dealt, spark, path).select("word", "n", F.when(F.array_contains("ids", none), F.flatten(each)).otherwise(F.col("ids")).alias("ids"))
 
 
 def _frequent(words: DataFrame, most: int) -> int:
@@ -484,9 +484,9 @@ def encode(
     keyed = spread(docs.select(id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     words = Written(counted(keyed, path), "fragments")
     least = _frequent(words.df, held)
-    solved = Written(solve(words.df, path).join(words.df, "word") if least > 1 else solve(words.df, path), "solved")
+    solved = Written(solve(words.df, path), "solved")
     words.drop()
-    often = solved.df.filter(F.col("n") >= least).drop("n") if least > 1 else solved.df
+    often = solved.df.filter(F.col("n") >= least).drop("n")
     sent = _Sent(spark, often.toArrow())  # `held` rows at most
 
     if least <= 1:
