@@ -360,7 +360,14 @@ def solve(words: DataFrame, path: str = MODEL) -> DataFrame:
         )
 
     each = F.zip_with("ids", "ends", lambda i, end: F.when(i == none, spelled(end)).otherwise(F.array(i)))
-    return lattice(dealt, spark, path).select("word", "n", F.when(F.array_contains("ids", none), F.flatten(each)).otherwise(F.col("ids")).alias("ids"))
+    return lattice(dealt, spark, path).select(
+        "word", "n", F.when(F.array_contains("ids", none), F.flatten(each)).otherwise(F.col("ids")).cast(f"array<{_width(table)}>").alias("ids")
+    )
+
+
+def _width(table: Pieces) -> str:
+    """The type that shuffled ids take."""
+    return "smallint" if len(table.texts) < 1 << 15 else "int"
 
 
 def _frequent(words: DataFrame, most: int) -> int:
