@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessaline.sources.shared import shared_folder
+from tessaline.sources.tables import spread, table
+
 #: Stands for a null document id wherever ids are compared; it sorts first.
 NULL_ID = -(2**63)
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
@@ -28,35 +30,38 @@ def id_back(column: Column) -> Column:
     return F.when(column != F.lit(NULL_ID), column)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal `df` over all cores where its files give fewer partitions than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    sc = spark.sparkContext
-    conf = sc.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    current = sc.getCheckpointDir()
-    if current is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessaline-"))
-        current = sc.getCheckpointDir()
-    return current.rstrip("/")
+def chance(*parts: Column | str) -> Column:
+    """A number from 0 up to 1 fixed by a hash of `parts`; 53 bits, so that the smallest shares keep their rows."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with as many `_` behind as no column of `taken` (names compared without case) has."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def join_unequal(rows: DataFrame, small: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """`rows` joined to `small` (one row a key, `n`: how many of `rows` have it) by `keys`.
+
+    A key that more than one in 4,096 of the `total` rows have doesn't go to one task:
+    there are at most 4,096 such keys, whose rows of `small` are broadcast; all others
+    are joined by a shuffle. Without `n` in the result.
+    """
+    limit = max(16, -(-total // 4096))
+    hot = F.broadcast(small.filter(F.col("n") > limit).drop("n"))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(small.filter(F.col("n") <= limit).drop("n"), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 class Written:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import NULL_ID, Written, id_back, id_key, shuffle_partitions, spread, text_slices
+from tessaline.llm.common import NULL_ID, Written, id_back, id_key, join_unequal, shuffle_partitions, spread, text_slices
 from tessaline.llm.components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -20,7 +20,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 18
 #: Members of a bucket compared in one unit; larger buckets become pairs of such parts.
 UNIT = 512
-PIVOTS = 32
+#: Reference fingerprints; their distances take a byte each in one long.
+PIVOTS = 8
 
 
 def simhash_bytes(text: bytes, shingle: int, seed: int = 42) -> int:
@@ -66,16 +67,23 @@ def _pivots(count: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20).integers(0, 2**64, size=count, dtype=np.uint64, endpoint=False)
 
 
-def close_links(fp: np.ndarray, unit: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def pivot_table(fp: Column) -> Column:
+    """The Hamming distances of a fingerprint to all pivots, a byte each, as one long."""
+    table = F.lit(0).cast("long")
+    for i, pivot in enumerate(_pivots().view(np.int64).tolist()):
+        table = table.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(pivot))).cast("long"), 8 * i))
+    return table
+
+
+def close_links(fp: np.ndarray, table: np.ndarray, unit: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs at `distance` or fewer bits within the same unit; rows are sorted by unit, then side.
 
     Side 0 and 2 are the two parts of a unit that compares part against part, side 1 is
-    a part compared with itself. The pivot table (the distances of every row to the
-    reference fingerprints) is computed once; by the triangle inequality a pair is out
-    as soon as one coordinate differs by more than `distance`. Survivors are verified.
+    a part compared with itself. `table`: the distances to the pivots, as `pivot_table`
+    made them once for each class; by the triangle inequality a pair is out as soon as
+    one coordinate differs by more than `distance`. Survivors are verified.
     """
-    pivots = _pivots()
-    table = np.stack([np.bitwise_count(fp ^ p).view(np.int8) for p in pivots])
+    table = np.ascontiguousarray(table.astype("<i8").view(np.int8).reshape(-1, PIVOTS).T)
     left, right = [], []
     last = np.searchsorted(unit, unit, side="right")
     index = np.arange(len(fp))
@@ -148,7 +156,7 @@ def links_between(classes: DataFrame, distance: int = 4) -> DataFrame:
     unit of its own, so that no task holds a whole bucket.
     """
     fp, spare = F.col("fp"), spare_blocks(distance, classes.count())
-    keyed = classes.select("rep", "fp", F.explode(_keys(fp, distance, spare)).alias("k")).select("rep", "fp", "k.t", "k.v")
+    keyed = classes.select("rep", "fp", pivot_table(fp).alias("far"), F.explode(_keys(fp, distance, spare)).alias("k")).select("rep", "fp", "far", "k.t", "k.v")
     sizes = keyed.groupBy("t", "v").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(UNIT)).cast("int")
     part = F.pmod(F.xxhash64("rep", "t"), F.col("p")).cast("int")
@@ -162,10 +170,10 @@ def links_between(classes: DataFrame, distance: int = 4) -> DataFrame:
     )
     units = (
         keyed.join(sizes, ["t", "v"])
-        .select("rep", "fp", "t", "v", parts.alias("p"))
-        .select("rep", "fp", "t", "v", "p", part.alias("c"))
-        .select("rep", "fp", "t", "v", F.explode(others).alias("o"))
-        .select("rep", "fp", F.col("o.side").cast("int").alias("side"), "t", "v", "o.i", "o.j")
+        .select("rep", "fp", "far", "t", "v", parts.alias("p"))
+        .select("rep", "fp", "far", "t", "v", "p", part.alias("c"))
+        .select("rep", "fp", "far", "t", "v", F.explode(others).alias("o"))
+        .select("rep", "fp", "far", F.col("o.side").cast("int").alias("side"), "t", "v", "o.i", "o.j")
         .repartition(shuffle_partitions(classes.sparkSession), "t", "v", "i", "j")
         .sortWithinPartitions("t", "v", "i", "j", "side")
     )
@@ -177,7 +185,7 @@ def links_between(classes: DataFrame, distance: int = 4) -> DataFrame:
             values = col(name)
             new[1:] |= values[1:] != values[:-1]
         rep = col("rep")
-        a, b = close_links(col("fp").view(np.uint64), np.cumsum(new), col("side"), distance)
+        a, b = close_links(col("fp").view(np.uint64), col("far"), np.cumsum(new), col("side"), distance)
         far, near = stars(a, b, rep) if len(a) else (rep[:0], rep[:0])
         return pa.RecordBatch.from_arrays([pa.array(far), pa.array(near)], names=["a", "b"])
 
@@ -214,16 +222,17 @@ def near_duplicates(
     which are thereby one. Null ids share one key, which sorts first.
     """
     prints = Written(fingerprints(docs, shingle, id_column, text_column), "prints")
-    classes = Written(prints.df.groupBy("fp").agg(F.min("key").alias("rep")), "classes")
+    classes = Written(prints.df.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "classes")
     many = prints.df.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("key")
     repeated = prints.df.join(many, "key")  # ids with several texts; by id first, as copies may share one fingerprint
-    shared = repeated.join(classes.df, "fp").filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    links = links_between(classes.df, distance).unionAll(shared)
+    shared = repeated.join(classes.df.select("fp", "rep"), "fp").filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    links = links_between(classes.df.select("rep", "fp"), distance).unionAll(shared)
     components = connected_components(links)
     labels = classes.df.join(components, F.col("rep") == F.col("vertex"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component")
+        "fp", "n", F.coalesce("component", "rep").alias("component")
     )
-    return prints.df.join(labels, "fp").select("key", "fp", "component")
+    # a fingerprint can have a third of all rows
+    return join_unequal(prints.df, Written(labels, "labels").df, ["fp"], prints.df.count()).select("key", "fp", "component")
 
 
 def op5(docs: DataFrame) -> DataFrame:
