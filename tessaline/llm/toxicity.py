@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import Written, spread, text_slices
+from tessaline.llm.common import Written, chance, free_name, spread, text_slices
 from tessaline.llm.language import fold
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -211,15 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, max_chars:
 
     The classifier is fitted on a sample of about `sample_docs` documents of each label,
     picked by a hash of the id, and of these on at most `max_chars` characters (whole
-    documents, in the order of the hash). Of several labels for an id the greatest
+    documents in the order of the hash, up to the first that goes beyond). Of several labels for an id the greatest
     counts. Without both labels nothing is learned and every score is close to 0.
     """
     marked = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    near = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20))
+    near = chance("doc_id", F.lit("toxicity"))
     picked = None
     for label, n in sizes.items():
-        part = marked.filter((F.col("toxic") == label) & (near < int(min(1.0, sample_docs / n) * (1 << 20))))
+        part = marked.filter((F.col("toxic") == label) & (near < sample_docs / n))
         picked = part if picked is None else picked.unionAll(part)
     if picked is None:
         return Model()
@@ -228,61 +228,75 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, max_chars:
     rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     room, use = max_chars, []
     for r in sorted(rows.select("doc_id", F.length("text").alias("chars"), near.alias("h")).collect(), key=lambda r: (r.h, r.doc_id)):
-        if r.chars <= room:
-            use.append((r.doc_id,))
-            room -= r.chars
+        if use and r.chars > room:
+            break  # short texts behind it must not take its place
+        use.append((r.doc_id,))
+        room -= r.chars
     if not use:
         return Model()
     kept = rows.join(F.broadcast(spark.createDataFrame(use, "doc_id long").distinct()), "doc_id").select("text", "toxic")
     return train(spread(Written(kept, "sample").df))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Add `toxicity` (0 to 1) to each row of `docs`; whole texts, 0 for a null text or one without words."""
-    names = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
+def offending(scorer: Scorer, text: str | None, least: float) -> list[tuple[int, int, float]]:
+    """Start, end (code points) and score of each sentence that alone scores `least` or more."""
+    if not text:
+        return []
+    p = 1 / (1 + np.exp(-scorer.logits(text)))
+    return [(a, b, float(x)) for (a, b), x in zip(sentences(text), p, strict=True) if x >= least]
+
+
+def score(
+    docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "toxicity", spans: str | None = None, least: float = 0.5
+) -> DataFrame:
+    """Add `name` (0 to 1) to each row of `docs`; whole texts, 0 for a null text or one without words.
+
+    `spans`: the name of a column for the sentences that score `least` or more, of texts
+    that do so as a whole: structs of first, end and score. Where a kept column has one of
+    the names, the new column gets a `_` more.
+    """
+    names = list(docs.columns if keep is None else keep)
+    made = [free_name(x, names) for x in (name, spans) if x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
             for part in text_slices(batch):
-                found = pa.array([scorer.score(t) for t in part.column("text").to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), found], names=[*names, "toxicity"])
+                texts = part.column("text").to_pylist()
+                found = [scorer.score(t) for t in texts]
+                columns = [*(part.column(c) for c in names), pa.array(found, pa.float64())]
+                if spans:
+                    lists = [offending(scorer, t, least) if x >= least else [] for t, x in zip(texts, found, strict=True)]
+                    columns.append(pa.array([[dict(zip(("first", "end", "score"), s, strict=True)) for s in x] for x in lists], kind))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
-    return spread(docs.select(*dict.fromkeys([*names, "text"]))).mapInArrow(run, ", ".join([*fields, "toxicity double"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + [f"`{made[0]}` double"]
+    if spans:
+        fields.append(f"`{made[1]}` array<struct<first: long, end: long, score: double>>")
+    return spread(docs.select(*dict.fromkeys([*names, "text"]))).mapInArrow(run, ", ".join(fields))
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The offending sentences: doc_id, first, end (code points), score of the sentence, its text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in batches:
-            for part in text_slices(batch):
-                out = []
-                for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if not text or scorer.score(text) < least:
-                        continue
-                    p = 1 / (1 + np.exp(-scorer.logits(text)))
-                    out += [(i, a, b, float(x), text[a:b]) for (a, b), x in zip(sentences(text), p, strict=True) if x >= least]
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "first", "end", "score", "sentence"]
-                )
-
     used = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return spread(used).mapInArrow(run, "doc_id long, first long, end long, score double, sentence string")
+    found = score(used, model, spans="found", least=least).select("doc_id", "text", F.explode("found").alias("x"))
+    sentence = F.substring("text", (F.col("x.first") + 1).cast("int"), (F.col("x.end") - F.col("x.first")).cast("int"))
+    return found.select("doc_id", "x.first", "x.end", "x.score", sentence.alias("sentence"))
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted. Learns outside the held-out third only."""
+    """One row per document: doc_id, held_out, score, predicted, and the sentences that alone score 0.5 or more
+    where the document does (`first:end` in code points, comma-joined). Learns outside the held-out third only.
+    """
     third = fold("doc_id", 3)
     model = fit(docs.select("doc_id", "text"), labels.filter(third != 1).select("doc_id", "toxic"))
-    found = score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    found = score(docs.select("doc_id", "text"), model, keep=["doc_id"], spans="spans")
+    sentence = F.transform("spans", lambda x: F.concat_ws(":", x.first.cast("string"), x.end.cast("string")))
     return found.select(
         "doc_id",
         F.coalesce(third == 1, F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+        F.concat_ws(",", sentence).alias("sentences"),
     )
