@@ -71,7 +71,7 @@ def _signature(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """License templates that occur in texts: key, license, containment, first_word, end_word.
+    """License templates that occur in texts: key, text_hash, license, containment, first_word, end_word.
 
     Words are runs of letters and digits, lower-cased; shingles have five words. Texts
     are cut into windows of 64 words that overlap by half, each widened on both sides by
@@ -83,14 +83,16 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame
     widened window, one of them in the window itself, must be 0.8 or more.
 
     One row for each document and template, with the greatest containment and the words
-    from the first to the last window's shingle found. Null and empty texts have none;
-    rows of one id count as one document, whose texts share word numbers. The templates
+    from the first to the last window's shingle found. Null and empty texts have none.
+    Rows that share an id, or have none, are matched each by its own text; rows equal in
+    id and text count once. The templates
     are given with the call and checked to be small; only they are broadcast.
     """
     spark = docs.sparkSession
     shingles = _template_shingles(spark, templates)
     known = sorted({h for _, _, _, h in shingles})
-    listed = docs.select(id_key().alias("key"), F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
+    # a row is told by its id and a hash of its text; rows equal in both have the same matches
+    listed = docs.select(F.struct(id_key().alias("id"), F.xxhash64("text").alias("of")).alias("key"), F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
     starts = F.when(F.size("words") >= SHINGLE, F.sequence(F.lit(0), F.size("words") - SHINGLE))
     hits = (
         spread(listed)
@@ -98,7 +100,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame
         .select("key", "pos", F.xxhash64(*[F.get("words", F.col("pos") + k) for k in range(SHINGLE)]).alias("h"))
         .filter(F.col("h").isin(known))
     )
-    hits = Written(hits, "hits").df
+    hits = Written(hits.dropDuplicates(["key", "pos"]), "hits").df
     small = spark.createDataFrame(shingles, "license string, words int, pos int, h long")
     own = small.select(F.col("license").alias("l"), "words", F.col("h").alias("t")).distinct()
     sizes = own.groupBy("l").agg(F.count("*").alias("size"))
@@ -121,9 +123,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame
         .withColumn("containment", F.col("n") / F.col("size"))
         .filter((F.col("containment") >= CONTAINMENT) & F.col("inside"))
     )
-    return verified.groupBy("key", F.col("l").alias("license")).agg(
+    found = verified.groupBy("key", F.col("l").alias("license")).agg(
         F.max("containment").alias("containment"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word")
     )
+    return found.select(F.col("key.id").alias("key"), F.col("key.of").alias("text_hash"), "license", "containment", "first_word", "end_word")
 
 
 def op7(docs: DataFrame) -> DataFrame:
