@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessaline.llm.common import (
     SLICE_BYTES,
     bytes_estimate,
+    free_name,
     hash_words,
     id_back,
     id_key,
@@ -106,8 +107,12 @@ def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Add `fingerprint` to each row of `docs`; a null text is empty. `keep`: other columns to return (all)."""
-    names = [c for c in (docs.columns if keep is None else keep) if c != "fingerprint"]
+    """Add `fingerprint` to each row of `docs`; a null text is empty. `keep`: other columns to return (all).
+
+    Where one of these has the name, the new column gets a `_` more.
+    """
+    names = list(docs.columns if keep is None else keep)
+    made = free_name("fingerprint", names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +120,10 @@ def fingerprint(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             for rows in _groups([len(x) for x in map(_bytes, raw)]):
                 part = batch.slice(rows.start, len(rows))
                 found = Prints([_bytes(x) for x in raw[rows.start : rows.stop]]).hex()
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found)], names=[*names, "fingerprint"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found)], names=[*names, made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, ", ".join([*fields, "fingerprint string"]))
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, ", ".join([*fields, f"`{made}` string"]))
 
 
 def _bytes(value: pa.Scalar) -> bytes:

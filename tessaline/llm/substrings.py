@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessaline.llm.common import (
     Written,
+    free_name,
     hash_words,
     id_key,
     join_hash,
@@ -31,6 +32,7 @@ _KEY, _FLAGS, _OPEN = "__tessaline_key", "__tessaline_flags", "__tessaline_open"
 #: Rows that a task holds to combine equal windows before the shuffle.
 _HELD = 1 << 20
 _ROW = np.uint64(0xD6E8FEB86659FD93)
+_SECOND = 0x5851F42D4C957F2D
 
 
 class Level:
@@ -53,6 +55,7 @@ class Level:
         self.at = valid
         if not len(valid):
             self.window = self.value = self.run = np.zeros(0, dtype=np.uint64)
+            self.run_row = np.zeros(0, dtype=np.int64)
             self.of = np.zeros(0, dtype=np.int64)
             return
         self.window = join_hash(short[:n], short[base : base + n])[valid]
@@ -67,6 +70,11 @@ class Level:
         self.run = join_hash(join_hash(self.value, self.window[begin]), self.window[end] + span * _ROW)
         self.run_row = self.rows[valid[begin]]
 
+    def second(self) -> np.ndarray:
+        """Hashes of the long windows that don't depend on `window`: with both, equality rests on 128 bits."""
+        other = window_hashes(hash_words(self.data, self.starts, self.lengths, seed=_SECOND), self.length)
+        return other[self.at]
+
     @staticmethod
     def _least(values: np.ndarray, width: int) -> np.ndarray:
         """For each start, the index of the leftmost minimum among the next `width` values."""
@@ -142,8 +150,9 @@ def later_windows(docs: DataFrame, window: int = 20) -> DataFrame:
 
     `docs` has `_KEY` (long, not null) and text. Level one: windows of half the length,
     thinned to stand-ins; those alone in the corpus go. Level two: what repeats is
-    extended to the full length. Runs whose words agree in every place are settled as
-    one; only where neighbours differ are windows compared one by one.
+    extended to the full length; where nothing repeats, there is no second level. Runs
+    whose words agree in every place are settled as one; only where neighbours differ are
+    windows compared one by one. Both comparisons rest on two hashes of 64 bits each.
     """
     base = window // 2
     if window < 4 or window % 2:
@@ -169,8 +178,7 @@ def later_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                     take = _member(level.run_row, level.value, part.column(_OPEN))
                     take &= ~_member(level.run_row, level.run, part.column(_FLAGS))
                     take = take[level.of]
-                    found = level.window[take]
-                    yield found, found, part.column(_KEY).to_numpy()[level.rows[level.at[take]]]
+                    yield level.second()[take], level.window[take], part.column(_KEY).to_numpy()[level.rows[level.at[take]]]
 
         yield from _held(parts())
 
@@ -181,9 +189,11 @@ def later_windows(docs: DataFrame, window: int = 20) -> DataFrame:
         F.collect_list(F.when(F.col("open"), F.col("hash"))).alias(_OPEN),
     )
     marks = Written(marks, "marks").df
+    if marks.isEmpty():  # no candidate survives
+        return marks.select(F.col("key").alias(_KEY), _FLAGS)
     # all columns of `docs` go along, so that this join and the caller's read one shuffle of the texts
     mixed = docs.join(marks.filter(F.size(_OPEN) > 0).withColumnRenamed("key", _KEY), _KEY)
-    second = _settle(mixed.mapInArrow(windows, schema))
+    second = _settle(mixed.mapInArrow(windows, schema)).filter("NOT open")
     flags = marks.select("key", F.explode(_FLAGS).alias("hash")).unionAll(second.select("key", "hash"))
     return flags.groupBy(F.col("key").alias(_KEY)).agg(F.collect_list("hash").alias(_FLAGS))
 
@@ -208,15 +218,17 @@ def drop_repeats(docs: DataFrame, window: int = 20, joined: bool = False) -> Dat
     Earlier is a smaller doc_id, or an earlier place in the same text. All windows are
     judged on the input. Returns the columns of `docs` (one row for each input row; the
     text with its repeats cut, other columns as they were) and n_words, n_removed, spans
-    (removed runs as structs of first and end word). `joined`: the kept words joined by
+    (removed runs as structs of first and end word); where `docs` has one of these names,
+    the new column gets a `_` more. `joined`: the kept words joined by
     one space; else what lies between kept words stays, and an untouched text is
     unchanged. A null text counts as no words (and stays null, or becomes empty if
     `joined`). Null ids come first; rows of one id are each judged against other ids
     and themselves only. An empty table gives an empty result.
     """
     base = window // 2
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "spans")]
-    keyed = docs.select(*names).withColumn(_KEY, id_key())
+    names = docs.columns
+    made_names = [free_name(c, names) for c in ("n_words", "n_removed", "spans")]
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn(_KEY, id_key())
     flagged = keyed.join(later_windows(keyed, window), _KEY, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +273,12 @@ def drop_repeats(docs: DataFrame, window: int = 20, joined: bool = False) -> Dat
                 pa.array(n_gone.astype(np.int64)),
                 pa.array(spans, type=pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
             ],
-            names=[*names, "n_words", "n_removed", "spans"],
+            names=[*names, *made_names],
         )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return flagged.mapInArrow(cut, f"{fields}, n_words long, n_removed long, spans array<struct<first: long, end: long>>")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*names).schema]
+    kinds = ("long", "long", "array<struct<first: long, end: long>>")
+    return flagged.mapInArrow(cut, ", ".join([*fields, *(f"`{n}` {k}" for n, k in zip(made_names, kinds, strict=True))]))
 
 
 def op4(docs: DataFrame) -> DataFrame:
