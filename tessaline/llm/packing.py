@@ -10,6 +10,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -21,7 +22,9 @@ from tessaline.llm.common import Written, spread, text_slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
-OPEN_BINS = 16384
+OPEN_BINS = 256
+#: Pieces that are looked ahead: within a run of so many the long ones are placed first.
+RUN = 1024
 #: Sequences that one task packs, about.
 TASK_SEQUENCES = 8192
 
@@ -114,6 +117,8 @@ class BestFit:
 
     def place(self, length: int) -> tuple[int, int]:
         """The bin and the offset of a piece: the fullest open bin it fits, or else a new one."""
+        if not 1 <= length <= self.capacity:
+            raise ValueError(f"a piece of {length}, which must be 1 to {self.capacity} long")
         fits = self.bits >> length
         if fits:
             free = length + (fits & -fits).bit_length() - 1
@@ -132,34 +137,50 @@ class BestFit:
         return bin_, self.capacity - free
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, task_sequences: int = TASK_SEQUENCES) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, run: int = RUN, task_sequences: int = TASK_SEQUENCES) -> DataFrame:
     """Give each piece of `found` (doc_id, piece, length and any columns) a sequence_id and an offset.
 
     Pieces are dealt over tasks by a hash, as many tasks as sequences of `capacity` need
-    at `task_sequences` each; each task packs its share, long pieces first, with
-    `open_bins` open bins, so its memory doesn't grow with the input. Only the bins left
-    open at a task's end stay partly empty. The order within a task is fixed, so that a
-    task that runs again gives the same places. Pieces must be 1 to `capacity` long.
+    at `task_sequences` each; each task packs its share online, as the pieces come in the
+    order of a hash, with `open_bins` open bins, fewer than its sequences, and a look
+    ahead of `run` pieces, of which the long ones go first. Its memory doesn't grow with
+    the input. Where no open bin has room and all may be open,
+    the fullest closes first. The order is fixed, so that a task that runs again gives the
+    same places. Repeated rows are pieces each; an empty table gives none. A piece that
+    isn't 1 to `capacity` long is an error.
     """
     stored = Written(found, "pieces").df
     total = stored.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // (capacity * task_sequences)))
     names = stored.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
+
+        def placed(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.take(np.argsort(-rows.column("length").to_numpy(), kind="stable")).combine_chunks()
+            places = [bins.place(n) for n in rows.column("length").to_pylist()]
+            columns = [rows.column(c).combine_chunks() for c in names]
+            made = [pa.array([base + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *made], names=[*names, "sequence_id", "offset"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            places = [bins.place(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array([base + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())],
-                names=[*names, "sequence_id", "offset"],
-            )
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= run:
+                rows = pa.Table.from_batches(held)
+                full = rows.num_rows - rows.num_rows % run
+                for begin in range(0, full, run):
+                    yield placed(rows.slice(begin, run))
+                held = rows.slice(full).to_batches()
+        if sum(b.num_rows for b in held):
+            yield placed(pa.Table.from_batches(held))
 
     mixed = F.xxhash64("doc_id", "piece", "start")
-    dealt = stored.repartition(tasks, F.pmod(mixed, F.lit(tasks))) if tasks > 1 else stored.coalesce(1)
-    ordered = dealt.sortWithinPartitions(F.desc("length"), mixed, "doc_id", "piece", "start", "ids_crc32")
+    dealt = stored.repartitionById(tasks, F.pmod(mixed, F.lit(tasks)).cast("int")) if tasks > 1 else stored.coalesce(1)
+    ordered = dealt.sortWithinPartitions(mixed, "doc_id", "piece", "start", "length", "ids_crc32")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    return ordered.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return ordered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -160,6 +160,45 @@ def test_best_fit_places(lengths, open_bins):
         assert used[bin_] <= 50 and bins.open <= open_bins
 
 
+def plain_best_fit(lengths, capacity, open_bins):
+    """Bins as (number, used) in a list; the fullest that fits, the fullest closes first."""
+    bins, places, count = [], [], 0
+    for n in lengths:
+        fits = [b for b in bins if b[1] + n <= capacity]
+        if fits:
+            best = max(b[1] for b in fits)
+            chosen = [b for b in fits if b[1] == best][-1]
+            bins.remove(chosen)
+        else:
+            if len(bins) >= open_bins:
+                full = max(b[1] for b in bins)
+                bins.remove([b for b in bins if b[1] == full][-1])
+            chosen, count = (count, 0), count + 1
+        places.append(chosen)
+        if chosen[1] + n < capacity:
+            bins.append((chosen[0], chosen[1] + n))
+    return places
+
+
+@given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 20))
+@settings(max_examples=100, deadline=None)
+def test_best_fit_is_the_fullest_that_fits(lengths, open_bins):
+    bins = packing.BestFit(50, open_bins)
+    assert [bins.place(n) for n in lengths] == plain_best_fit(lengths, 50, open_bins)
+
+
+def test_packing_is_online_with_a_look_ahead(spark):
+    rng = random.Random(8)
+    rows = [(i, 0, 0, rng.randrange(1, 101)) for i in range(500)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long").withColumn("ids_crc32", F.lit(0).cast("long"))
+    placed = packing.pack(found, capacity=100, open_bins=5, run=20).collect()
+    order = [r.length for r in found.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id", "piece", "start")).collect()]
+    runs = [n for i in range(0, 500, 20) for n in sorted(order[i : i + 20], reverse=True)]
+    assert [(r.sequence_id & 0xFFFF, r.offset, r.length) for r in placed] == [(b, o, n) for (b, o), n in zip(plain_best_fit(runs, 100, 5), runs, strict=True)]
+    with pytest.raises(Exception, match="must be 1 to 100"):
+        packing.pack(found.withColumn("length", F.lit(101).cast("long")), capacity=100).count()
+
+
 @given(st.lists(st.text(alphabet="abc \té", max_size=12), max_size=8), st.lists(st.text(alphabet="abc ", max_size=12), min_size=1, max_size=4))
 @settings(max_examples=60, deadline=None)
 def test_fingerprints_add_up(first, second):
@@ -315,13 +354,61 @@ def test_toxicity_from_document_labels(spark):
     assert all(any(b in r.sentence for b in bad) for r in spans) and len(spans) >= 140
 
 
+def similar(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(x & y) / len(x | y) >= 0.8
+
+
+def plain_cut(text, gone):
+    """`text` without the words numbered in `gone`; what lies between kept words that were neighbours stays."""
+    spots = [m.span() for m in WORD.finditer(text)]
+    if not gone:
+        return text
+    out, last = [], None
+    for i, (a, b) in enumerate(spots):
+        if i not in gone:
+            first = spots[i - 1][1] if last is not None and i else a
+            out.append(text[first:b])
+            last = i
+    return "".join(out)
+
+
+def plain_gone(rows, window=20):
+    first, out = set(), {}
+    for i, text in sorted(rows.items()):
+        words = WORD.findall(text)
+        out[i] = set()
+        for s in range(len(words) - window + 1):
+            w = tuple(words[s : s + window])
+            if w in first:
+                out[i].update(range(s, s + window))
+            first.add(w)
+    return out
+
+
+def plain_redacted(text):
+    found = sorted((m.start(), i, k, m.end()) for i, (k, p, g, n) in enumerate(RULES) for m in p.finditer(text) if len(m[g]) >= n)
+    out, at = "", 0
+    for start, _, kind, end in found:
+        if start >= at:
+            out += f"{text[at:start]}[{kind}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
 def test_pipeline_against_its_parts(spark, texts):
+    """Similarity as the copies' rule (0.8 or more of five-word shingles), then every stage's texts, to the pieces."""
     rows = corpus_pipeline.run(spark, SF).collect()
-    prints = {i: simhash.simhash_bytes(t.encode(), 5) for i, t in texts.items()}
     told = {r.doc_id for r in corpus_pipeline.known_language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
     assert len(told) >= 0.98 * len(texts)
-    ids = sorted(told)
-    close = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 6]
-    stay = {i for i, c in union(close, ids).items() if i == c}
-    words = plain_kept({i: texts[i] for i in stay}, 20)
-    assert {r.doc_id for r in rows} == {i for i in stay if words[i][0] > words[i][1]}
+    ids, words = sorted(told), {i: WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for i, t in texts.items()}
+    close = [(a, b) for a in ids for b in ids if a < b and similar(words[a], words[b])]
+    stay = {i: texts[i] for i, c in union(close, ids).items() if i == c}
+    gone = plain_gone(stay)
+    cut = {i: plain_cut(t, gone[i]) for i, t in stay.items() if len(WORD.findall(t)) > len(gone[i])}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids_of = {i: tokenizer.encode(plain_redacted(t), add_special_tokens=False).ids + [0] for i, t in cut.items()}
+    assert {r.doc_id for r in rows} == set(cut)
+    for r in rows:
+        assert zlib.crc32(np.array(ids_of[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes()) == r.ids_crc32
+    assert sum(r.length for r in rows) == sum(map(len, ids_of.values()))
