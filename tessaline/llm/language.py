@@ -18,6 +18,8 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 #: Resolved chunks that a Python worker remembers; the memory is emptied when full.
 _REMEMBERED = 200_000
+#: Languages whose sampling shares are broadcast; those of more are joined by a shuffle.
+_MOST_SENT = 5_000
 
 
 def fold(column: str, parts: int) -> Column:
@@ -193,7 +195,10 @@ def fit(
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     languages = max(1, sizes.count())
     share = F.lit(float(max(least_docs, sample_docs // languages))) / F.col("n")
-    picked = rows.join(sizes.withColumn("share", share).select("lang", "share"), "lang").filter("chance < share AND text IS NOT NULL").select("lang", "text")
+    shares = sizes.select("lang", share.alias("share"))
+    if languages <= _MOST_SENT:  # a few thousand names
+        shares = F.broadcast(shares)
+    picked = rows.join(shares, "lang").filter("chance < share AND text IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
