@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that separates words.
 SPACE = r"[ \t\n\x0B\f\r]+"
-#: Normalisation constants where no corpus statistics are given.
+# Normalisation constants where no corpus statistics are given.
 DEFAULT_NORM = {"doc_length": 300.0, "sent_length": 30.0, "punct_density": 0.12}
-#: Words at the start of a text that variety and repetition are measured on.
+# Fixed value: words at the start of a text that variety and repetition are measured on.
 SAMPLE_WORDS = 60
 # The access-control terms that the keyword signal looks for.
 KEYWORDS = [
@@ -33,6 +33,8 @@ SIGNALS = [
     "sent_unif", "ttr_signal", "repeat_rate", "kw_density", "doc_length_signal", "avg_sent_len_signal", "punct_signal",
     "content_ttr_signal",
 ]
+#: The signals of a document's vector, where it has one.
+VECTOR_SIGNALS = ["topic_drift", "cluster_coh"]
 
 
 def words(text: Column) -> Column:
@@ -71,20 +73,30 @@ def base_columns(text: Column) -> list[Column]:
     ]
 
 
+def with_base(docs: DataFrame) -> DataFrame:
+    """`docs` (text) with what the signals build on.
+
+    `sent_mean` and `grams` are columns of their own, as lambdas would work out an
+    expression anew for every element.
+    """
+    based = docs.select("*", *base_columns(F.col("text")))
+    return based.select("*", mean(F.col("sent_words")).alias("sent_mean"), grams().alias("grams"))
+
+
 def raw_columns(text: Column) -> list[Column]:
     """From `words` and `sent_words`: counts and densities before normalisation."""
     n = F.size("words")
     return [
         n.cast("long").alias("n_words"),
         F.size("sent_words").cast("long").alias("n_sentences"),
-        F.coalesce(mean(F.col("sent_words")), F.greatest(n, F.lit(1)).cast("double")).alias("mean_sent_words"),
+        F.coalesce("sent_mean", F.greatest(n, F.lit(1)).cast("double")).alias("mean_sent_words"),
         (F.length(text) - F.length(F.translate(text, PUNCTUATION, ""))).cast("long").alias("punct_count"),
     ]
 
 
 def sentence_uniformity() -> Column:
     """1 / (1 + deviation of the sentence lengths); 0.5 with fewer than two sentences."""
-    spread = stddev_pop(F.col("sent_words"), mean(F.col("sent_words")))
+    spread = stddev_pop(F.col("sent_words"), F.col("sent_mean"))
     return F.when(F.size("sent_words") >= 2, 1 / (1 + spread)).otherwise(0.5)
 
 
@@ -94,12 +106,16 @@ def variety_loss() -> Column:
     return 1 - F.size(F.array_distinct(sample)) / F.greatest(F.size(sample), F.lit(1))
 
 
+def grams() -> Column:
+    """The trigrams of the first words."""
+    n = F.least(F.size("words"), F.lit(SAMPLE_WORDS))
+    return F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, 3)))
+
+
 def repeat_rate() -> Column:
     """Distinct repeated trigrams over all trigrams among the first words; 0 with fewer than three."""
-    n = F.least(F.size("words"), F.lit(SAMPLE_WORDS))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, 3)))
-    again = F.array_distinct(F.filter(grams, lambda x, i: F.array_position(grams, x) <= i))
-    return F.when(n >= 3, F.size(again) / F.size(grams)).otherwise(0.0)
+    again = F.array_distinct(F.filter("grams", lambda x, i: F.array_position("grams", x) <= i))
+    return F.when(F.size("words") >= 3, F.size(again) / F.size("grams")).otherwise(0.0)
 
 
 def keyword_density(text: Column, keywords: list[str] = KEYWORDS) -> Column:

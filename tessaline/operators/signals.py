@@ -22,7 +22,7 @@ def raw_features(docs: DataFrame) -> DataFrame:
     """`docs` (text and other columns) with counts, densities and the signals that need no corpus constants."""
     others = [c for c in docs.columns if c != "text"]
     text = F.col("text")
-    base = docs.select(*others, "text", *T.base_columns(text))
+    base = T.with_base(docs.select(*others, "text"))
     return base.select(
         *others,
         *T.raw_columns(text),

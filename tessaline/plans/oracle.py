@@ -90,8 +90,15 @@ def long() -> str:
     return f"""{raw(LABELLED, ", is_poisoned")},
 {NORM},
 sig AS (SELECT *, {NORMALISED} FROM raw, norm),
-wide AS (SELECT doc_id, is_poisoned, {listed} FROM sig),
-long AS (UNPIVOT wide ON {", ".join(T.SIGNALS)} INTO NAME signal VALUE value)"""
+{VECTORS},
+{CENTRE},
+{top(5, "near")},
+{coherence("near_coh", "near")},
+drift AS (SELECT id, round(1 - list_inner_product(v, c), 9) AS topic_drift FROM vecs, centre),
+wide AS (
+  SELECT doc_id, is_poisoned, {listed}, topic_drift, round(cluster_coh, 9) AS cluster_coh
+  FROM sig LEFT JOIN drift ON drift.id = doc_id LEFT JOIN near_coh ON query_id = doc_id),
+long AS (UNPIVOT wide ON {", ".join(T.SIGNALS + T.VECTOR_SIGNALS)} INTO NAME signal VALUE value)"""
 
 
 STATS = """stats AS (
@@ -122,12 +129,12 @@ scores AS (
   FROM long JOIN weights USING (signal) GROUP BY ALL)"""
 
 
-def tau(source: str, name: str = "taus") -> str:
+def tau(source: str, name: str = "taus", target: float = 0.05) -> str:
     return f"""{name} AS (
   SELECT layer, max(score) AS tau
   FROM (SELECT layer, score, row_number() OVER (PARTITION BY layer ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY layer) AS n
         FROM {source} WHERE NOT is_poisoned)
-  WHERE r >= floor(n * 0.05) + 1 AND n >= 10 GROUP BY layer)"""
+  WHERE r >= floor(n * {target}) + 1 AND n >= 10 GROUP BY layer)"""
 
 
 def top(k: int, name: str = "top", where: str = "TRUE", source: str = "vecs") -> str:
@@ -139,10 +146,10 @@ def top(k: int, name: str = "top", where: str = "TRUE", source: str = "vecs") ->
   WHERE rank <= {k})"""
 
 
-def coherence(name: str = "coh") -> str:
+def coherence(name: str = "coh", near: str = "top") -> str:
     return f"""{name} AS (
   SELECT t.query_id, coalesce(avg(list_inner_product(x.v, y.v)), 0.5) AS cluster_coh
-  FROM top t LEFT JOIN top u ON t.query_id = u.query_id AND t.rank < u.rank
+  FROM {near} t LEFT JOIN {near} u ON t.query_id = u.query_id AND t.rank < u.rank
   LEFT JOIN vecs x ON x.id = t.id AND u.id IS NOT NULL LEFT JOIN vecs y ON y.id = u.id GROUP BY t.query_id)"""
 
 
@@ -171,7 +178,6 @@ def hash_order(column: str, seed: int = SEED) -> str:
 
 
 ENCOUNTERS = f"""{scores()},
-{VECTORS},
 rows AS (SELECT id, v, is_poisoned FROM vecs JOIN docs ON id = doc_id),
 {top(5, "met", source="rows")},
 benign AS (
@@ -342,7 +348,13 @@ SELECT doc_id, {r6(*T.SIGNALS)} FROM (SELECT *, {NORMALISED} FROM raw, norm)""",
 SELECT signal, {r6("clean_mean", "clean_std", "poison_mean", "poison_std", "gap", "snr")} FROM stats""",
         "snr_unpivot": f"WITH {long()} SELECT doc_id, is_poisoned, signal, {r6('value')} FROM long",
         "layer_weights": f"WITH {long()}, {STATS}, {weights('stats', 0.0)} SELECT * FROM weights",
+        "layer_weights_gated": f"WITH {long()}, {STATS}, {weights('stats', 0.5)} SELECT * FROM weights",
         "composite_scores": f"WITH {scores()} SELECT doc_id, is_poisoned, layer, {r6('score')} FROM scores",
+        "calibrate_tau_strict": f"""WITH {scores()}, {tau("scores", target=0.0069)}
+SELECT layer, {r6("tau", "fpr", "tpr")} FROM (
+  SELECT layer, tau, avg(CAST(score > tau AS DOUBLE)) FILTER (NOT is_poisoned) AS fpr,
+         avg(CAST(score > tau AS DOUBLE)) FILTER (is_poisoned) AS tpr
+  FROM scores JOIN taus USING (layer) GROUP BY ALL)""",
         "calibrate_tau": f"""WITH {scores()}, {tau("scores")}
 SELECT layer, {r6("tau", "fpr", "tpr")} FROM (
   SELECT layer, tau, avg(CAST(score > tau AS DOUBLE)) FILTER (NOT is_poisoned) AS fpr,
@@ -378,7 +390,7 @@ SELECT x.label = y.label AS same_label, count(*) AS n, round(avg({sims}), 6) AS
 FROM vecs x JOIN vecs y ON x.id < y.id GROUP BY 1""",
         "query_sample_similarity": f"""WITH {VECTORS}
 SELECT x.id AS query_id, round(min({sims}), 6) AS min_sim, round(avg({sims}), 6) AS mean_sim, round(max({sims}), 6) AS max_sim
-FROM vecs x, vecs y WHERE x.id < 25 AND y.id % 10 = 0 GROUP BY 1""",
+FROM vecs x, vecs y WHERE x.id < 25 GROUP BY 1""",
         "retrieved_deviation": f"WITH {DEVIATION} SELECT query_id, id, {r6('geo', 'attn', 'a_score')} FROM dev",
         "second_vector_delta": f"""WITH {VECTORS}
 SELECT id, round(list_distance(v, list_transform(v, lambda x: round(x, 1))), 6) AS delta FROM vecs""",
@@ -433,13 +445,15 @@ SELECT CAST(base AS INTEGER) AS base, CAST(var AS INTEGER) AS var, t AS text FRO
 SELECT * FROM (SELECT doc_id, is_poisoned FROM docs WHERE NOT is_poisoned ORDER BY {hash_order("doc_id", 99)}, doc_id LIMIT 500)
 UNION ALL SELECT doc_id, is_poisoned FROM docs WHERE is_poisoned""",
         "quality_gate": f"""WITH {VECTORS}, p AS (SELECT avg({sims}) AS pair_sim FROM vecs x JOIN vecs y ON x.id < y.id),
-q AS (SELECT avg(m) AS query_sim FROM (SELECT avg({sims}) AS m FROM vecs x, vecs y WHERE x.id < 25 AND y.id % 10 = 0 GROUP BY x.id))
+q AS (SELECT avg(m) AS query_sim FROM (SELECT avg({sims}) AS m FROM vecs x, vecs y WHERE x.id < 25 GROUP BY x.id))
 SELECT round(pair_sim, 5) + 0.0 AS pair_sim, round(query_sim, 5) + 0.0 AS query_sim,
        pair_sim BETWEEN 0.70 AND 0.95 AND query_sim >= 0.58 AS passed FROM p, q""",
         "latency_profile": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95
 FROM events GROUP BY event_type""",
         "smoke_gate": f"""WITH {CONFUSION}
 SELECT layer, attempts > 0 AND {percent("successes", "attempts")} < 50 AND {percent("fp_docs", "clean_seen")} < 5 AS passed FROM tot""",
+        "smoke_gate_strict": f"""WITH {CONFUSION}
+SELECT layer, attempts > 100 AND {percent("successes", "attempts")} < 50 AND {percent("fp_docs", "clean_seen")} < 5 AS passed FROM tot""",
         "against_constants": f"""WITH {RESULTS}, m AS (SELECT layer, avg(asr) AS asr FROM results GROUP BY layer)
 SELECT layer, name, asr < other AS lower FROM m, {values(list(golden.ELSEWHERE.items()), "name, other")}""",
         "signal_tier_pivot": f"SELECT * FROM {snrs}",

@@ -39,7 +39,7 @@ def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_tokens_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = IO.documents(spark, sf_dir).select("doc_id", "text", *T.base_columns(F.col("text")))
+    base = T.with_base(IO.documents(spark, sf_dir))
     return rounded(base.select("doc_id", *T.raw_columns(F.col("text"))))
 
 
@@ -52,10 +52,16 @@ def norm_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signals of labelled documents, one row each; worked out once and stored, as later steps read them again."""
-    docs = IO.labelled(spark, sf_dir)
+    """The signals of labelled documents, one row each; worked out once and stored, as later steps read them again.
+
+    Topic drift and cluster coherence are of the document's vector; a document without
+    one has no rows for them.
+    """
+    docs, vectors = IO.labelled(spark, sf_dir), IO.vectors(spark, sf_dir)
     wide = rounded(S.signals(S.raw_features(docs), S.norm_config(docs)).select("doc_id", "is_poisoned", *T.SIGNALS), 9)
-    return S.unpivot(stored(wide))
+    near = N.coherence(_top(spark, sf_dir, 5), vectors).withColumnRenamed("query_id", "id")
+    of_vector = rounded(N.topic_drift(vectors).join(near, "id", "left"), 9).withColumnRenamed("id", "doc_id")
+    return S.unpivot(stored(wide.join(of_vector, "doc_id", "left")), T.SIGNALS + T.VECTOR_SIGNALS).filter("value IS NOT NULL")
 
 
 def class_signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +72,19 @@ def snr_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_long(spark, sf_dir))
 
 
-def _weights(long: DataFrame) -> DataFrame:
-    return S.layer_weights(rounded(S.class_stats(long), 9), least=NO_GATE)
+def _weights(long: DataFrame, least: float = NO_GATE) -> DataFrame:
+    return S.layer_weights(rounded(S.class_stats(long), 9), least=least)
 
 
 def layer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(_long(spark, sf_dir))
 
 
+def layer_weights_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the gate on the signal-to-noise ratio; no row where no signal passes it."""
+    return _weights(_long(spark, sf_dir), S.LEAST_SNR)
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _long(spark, sf_dir)
     return stored(S.composite_scores(long, _weights(long)))
@@ -88,6 +99,12 @@ def calibrate_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.calibration_rates(scores, D.calibrate(scores, target=0.05)))
 
 
+def calibrate_tau_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the false-positive target of the published runs."""
+    scores = _scores(spark, sf_dir)
+    return rounded(D.calibration_rates(scores, D.calibrate(scores)))
+
+
 def doc_sha_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sha_registry(IO.documents(spark, sf_dir))
 
@@ -163,7 +180,7 @@ def intra_inter_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_sample_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = IO.vectors(spark, sf_dir)
     queries = rows.filter("id < 25").select(F.col("id").alias("query_id"), F.col("v").alias("q"))  # the 25 fixed queries
-    pairs = rows.filter("id % 10 = 0").crossJoin(F.broadcast(queries)).select("query_id", V.dot(F.col("v"), F.col("q")).alias("sim"))
+    pairs = rows.crossJoin(F.broadcast(queries)).select("query_id", V.dot(F.col("v"), F.col("q")).alias("sim"))
     return rounded(pairs.groupBy("query_id").agg(F.min("sim").alias("min_sim"), F.avg("sim").alias("mean_sim"), F.max("sim").alias("max_sim")))
 
 
@@ -264,7 +281,7 @@ def youden_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_grid(spark: SparkSession) -> DataFrame:
-    """67 settings: relative with a floor, absolute, and both."""
+    """67 settings: relative with a floor, absolute, and both. Fixed values."""
     rows: list[tuple] = [(n, m, None) for n in (0.5, 0.8, 1.0, 1.2, 1.5, 2.0) for m in (0.0, 0.35, 0.38, 0.40)]
     rows += [(None, None, t) for t in (0.44, 0.46, 0.48, 0.50, 0.52, 0.54, 0.56)]
     rows += [(n, m, h) for n in (1.0, 1.2, 1.5) for m in (0.38, 0.40, 0.42) for h in (0.48, 0.50, 0.52, 0.55)]
@@ -372,6 +389,11 @@ def smoke_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.smoke_gate(confusion_by_layer(spark, sf_dir), attempts=0)
 
 
+def smoke_gate_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the number of attempts asked for in published runs."""
+    return R.smoke_gate(confusion_by_layer(spark, sf_dir))
+
+
 def against_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.against_constants(golden.results(spark), golden.ELSEWHERE)
 
@@ -386,7 +408,7 @@ def queries() -> dict[str, Query]:
         confusion_by_layer, relative_threshold_flags, absolute_threshold_flags, threshold_sweep, youden_best, hybrid_grid,
         best_candidates, midpoint_eval, quantile_profile, injection_overwrite, template_fallback, variant_cross_product,
         framed_documents, topic_histogram, cyclic_queries, snr_sample, quality_gate, latency_profile, smoke_gate,
-        against_constants, perturb_until_apart, signal_tier_pivot, golden_weights, adaptive_vs_baseline,
+        layer_weights_gated, calibrate_tau_strict, smoke_gate_strict, against_constants, perturb_until_apart, signal_tier_pivot, golden_weights, adaptive_vs_baseline,
     ]
     found: dict[str, Query] = {f.__name__: f for f in plain}
     found |= {

@@ -10,7 +10,10 @@ from tessaline.plans import oracle, queries
 from tessaline.sources import tables as IO
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["text_signals", "layer_weights", "calibrate_tau", "confusion_by_layer", "knn_topk", "synonym_swap", "variant_cross_product"]
+CHECKED = [
+    "text_signals", "text_tokens_sentences", "class_signal_stats", "layer_weights", "layer_weights_gated", "calibrate_tau_strict",
+    "smoke_gate_strict", "query_sample_similarity", "quality_gate", "calibrate_tau", "confusion_by_layer", "knn_topk", "synonym_swap", "variant_cross_product",
+]
 
 
 def plain(rows):
@@ -33,7 +36,7 @@ def test_every_sql_has_a_query():
 
 
 def test_entry(spark):
-    assert entry_module.entry(spark).count() == 8
+    assert entry_module.entry(spark).count() == 10
 
 
 def test_sources_and_sinks(spark, tmp_path):
