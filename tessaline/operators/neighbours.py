@@ -46,18 +46,16 @@ def _blocks(rows: DataFrame, side: str, block: int, total: int) -> DataFrame:
     return made.select(*[F.col(c).alias(f"{side}_{c}") for c in made.columns])
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, fetch: int = 0, exclude_self: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """(query_id, id, sim, rank): the `k` rows of the greatest inner product with each query.
 
     Both tables are (id, v). Similarities are rounded to 9 digits; ties go to smaller
     ids. Exact: each block of queries meets each block of rows once, as a matrix
-    product, and only the best of a pair of blocks go to the final ranking. `fetch`:
-    take so many first and rank again among them (as an approximate index would need).
+    product, and only the best of a pair of blocks go to the final ranking.
     """
     n_queries, n_rows = queries.count(), rows.count()
     left = _blocks(queries, "q", BLOCK, n_queries)
     right = _blocks(rows, "r", BLOCK, n_rows)
-    keep = max(k, fetch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +68,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, fetch: int = 0, exclude_s
                     sims = np.where(q_ids[:, None] == r_ids[None, :], -np.inf, sims)
                 out_q, out_r, out_s = [], [], []
                 for j, row in enumerate(sims):
-                    best = np.lexsort((r_ids, -row))[:keep]
+                    best = np.lexsort((r_ids, -row))[:k]
                     best = best[row[best] > -np.inf]
                     out_q.append(np.full(len(best), q_ids[j]))
                     out_r.append(r_ids[best])
@@ -90,6 +88,18 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, fetch: int = 0, exclude_s
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def rerank(fetched: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """`top_k`'s columns: of each query's `fetched` rows (query_id, id) the best `k` by the vectors given here."""
+    both = (
+        fetched.select("query_id", "id")
+        .join(rows.select("id", "v"), "id")
+        .join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    )
+    scored = both.select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 9).alias("sim"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def coherence(neighbours: DataFrame, rows: DataFrame, default: float = 0.5) -> DataFrame:
     """(query_id, cluster_coh): the mean inner product among a query's neighbours; `default` with fewer than two.
 

@@ -10,6 +10,8 @@ from tessaline.plans import golden
 
 SPACE = T.SPACE
 SEED = 42
+SEEDS = [42, 7, 123]
+TIER_BOUNDS = {"quarter": "4", "half": "8", "all": "g"}
 
 
 def quote(text: str) -> str:
@@ -328,6 +330,30 @@ def synonym_sql() -> str:
     return f"WITH {', '.join(steps)} SELECT doc_id, length(text) AS n_chars, sha256(text) AS sha FROM {last}"
 
 
+CONFUSED = f"""SELECT *, attempts - successes AS tp, successes AS fn, fp_docs AS fp, clean_seen - fp_docs AS tn,
+       round({percent("successes", "attempts")}, 6) AS asr, round({percent("fp_docs", "clean_seen")}, 6) AS doc_fpr,
+       round({percent("fp_queries", "(SELECT count(*) FROM queries WHERE side = 'eval' AND NOT adv)")}, 6) AS query_fpr
+FROM tot"""
+RATES_OF_CAL = f"""cal_rates AS (
+  SELECT layer, tau, (SELECT avg(CAST(score > tau AS DOUBLE)) FROM cal c WHERE NOT c.is_poisoned AND c.layer = taus.layer) AS cal_fpr,
+         (SELECT avg(CAST(score > tau AS DOUBLE)) FROM scores s WHERE s.is_poisoned AND s.layer = taus.layer) AS cal_tpr
+  FROM taus)"""
+
+
+def runs() -> str:
+    """A CTE with the confusion of every tier and seed."""
+    parts = []
+    for tier, bound in TIER_BOUNDS.items():
+        kept = LABELLED[:-1] + f" AND (toxic = 0 OR {hash_order('d.doc_id', 99)} < '{bound}'))"
+        for seed in SEEDS:
+            made = CONFUSION.replace(LABELLED, kept).replace(hash_order("id"), hash_order("id", seed))
+            parts.append(
+                f"SELECT '{tier}' AS tier, {seed} AS seed, * FROM (WITH {made}, {RATES_OF_CAL}, con AS ({CONFUSED}) "
+                "SELECT * FROM con JOIN cal_rates USING (layer))"
+            )
+    return "runs AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     sims = "list_inner_product(x.v, y.v)"
     pieces = f"list_filter(list_transform(string_split(text, '.'), lambda s: {strip('s')}), lambda s: length(s) > 40)"
@@ -365,6 +391,9 @@ SELECT layer, {r6("tau", "fpr", "tpr")} FROM (
 reg AS (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS sha FROM docs WHERE doc_id % 17 <> 0)
 SELECT doc_id, sha256(text) <> coalesce(sha, '') AS tampered FROM docs LEFT JOIN reg USING (doc_id)""",
         "benign_query_text": f"WITH {DOCS} SELECT doc_id, coalesce({pieces}[1] || '.', substring(text, 1, 100)) AS q FROM docs",
+        "benign_query_sample": f"""WITH {LABELLED}
+SELECT doc_id, coalesce({pieces}[1] || '.', substring(text, 1, 100)) AS q
+FROM docs WHERE NOT is_poisoned ORDER BY {hash_order("doc_id")}, doc_id LIMIT 2000""",
         "word_entropy": f"""WITH {DOCS}, w AS (SELECT doc_id, unnest({words("text")}) AS word FROM docs),
 c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
 e AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM c GROUP BY doc_id)
@@ -376,8 +405,12 @@ FROM lineitem GROUP BY 1""",
         "corpus_centroid": f"WITH {VECTORS}, {CENTRE} SELECT CAST(i AS INTEGER) AS i, {r6('x')} FROM (SELECT unnest(c) AS x, unnest(range(len(c))) AS i FROM centre)",
         "topic_drift": f"WITH {VECTORS}, {CENTRE} SELECT id, round(1 - list_inner_product(v, c), 6) + 0.0 AS topic_drift FROM vecs, centre",
         "knn_topk": f"WITH {VECTORS}, {top(5)} SELECT query_id, id, {r6('sim')}, rank FROM top",
-        "overfetch_rerank": f"""WITH {VECTORS}, {top(20, "fetched")},
-top AS (SELECT query_id, id, sim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM fetched)
+        "overfetch_rerank": f"""WITH {VECTORS},
+coarse AS (SELECT id, list_transform(v, lambda x: round(x, 1)) AS v FROM vecs), {top(20, "fetched", source="coarse")},
+s AS (
+  SELECT query_id, f.id, round(list_inner_product(q.v, r.v), 9) AS sim
+  FROM fetched f JOIN vecs q ON q.id = query_id JOIN vecs r ON r.id = f.id),
+top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM s)
 SELECT query_id, id, {r6("sim")}, rank FROM top WHERE rank <= 5""",
         "cluster_coherence": f"WITH {VECTORS}, {top(5)}, {coherence()} SELECT query_id, {r6('cluster_coh')} FROM coh",
         "coherence_distribution": f"""WITH {VECTORS}, {top(5)}, {coherence()}
@@ -398,11 +431,44 @@ SELECT id, round(list_distance(v, list_transform(v, lambda x: round(x, 1))), 6)
 hits AS (SELECT query_id, count(*) FILTER (label = 0) AS n FROM top JOIN vecs USING (id) GROUP BY query_id)
 SELECT label = 0 AS adv, count(*) AS queries, round(avg(n), 6) AS mean_hits FROM hits JOIN vecs ON id = query_id GROUP BY 1""",
         "encounter_flags": f"WITH {ENCOUNTERS} SELECT * FROM flags",
-        "confusion_by_layer": f"""WITH {CONFUSION}
-SELECT *, attempts - successes AS tp, successes AS fn, fp_docs AS fp, clean_seen - fp_docs AS tn,
-       round({percent("successes", "attempts")}, 6) AS asr, round({percent("fp_docs", "clean_seen")}, 6) AS doc_fpr,
-       round({percent("fp_queries", "(SELECT count(*) FROM queries WHERE side = 'eval' AND NOT adv)")}, 6) AS query_fpr
-FROM tot""",
+        "confusion_by_layer": f"WITH {CONFUSION} {CONFUSED}",
+        "seed_tier_runs": f"WITH {runs()} SELECT * REPLACE (round(tau, 6) AS tau, round(cal_fpr, 6) AS cal_fpr, round(cal_tpr, 6) AS cal_tpr) FROM runs",
+        "seed_tier_summary": f"""WITH {runs()}
+SELECT layer, tier, count(*) AS seeds, round(avg(asr), 5) AS asr_mean, round(stddev_pop(asr), 5) AS asr_std_pop,
+       round(stddev_samp(asr), 5) AS asr_std, round(max(asr), 5) AS asr_max, round(avg(doc_fpr), 5) AS doc_fpr_mean,
+       round(stddev_pop(doc_fpr), 5) AS doc_fpr_std_pop, round(stddev_samp(doc_fpr), 5) AS doc_fpr_std,
+       round(max(doc_fpr), 5) AS doc_fpr_max FROM runs GROUP BY ALL""",
+        "hard_stops": f"""WITH {runs()},
+w AS (
+  SELECT seed, tier, max(asr) FILTER (layer = 'L1') AS a1, max(asr) FILTER (layer = 'L2') AS a2, max(asr) FILTER (layer = 'L3') AS a3,
+         max(doc_fpr) AS f, max(cal_tpr) FILTER (layer = 'L3') AS tpr FROM runs GROUP BY ALL),
+r AS (
+  SELECT seed, tier, list_position([{", ".join(map(quote, TIER_BOUNDS))}], tier) AS place,
+         CASE WHEN a1 > 1 THEN 'L1 asr' WHEN a2 > 15 THEN 'L2 asr' WHEN a3 > 50 THEN 'L3 asr' WHEN f > 5 THEN 'fpr'
+              WHEN tier = {quote(list(TIER_BOUNDS)[-1])} AND a3 = 0 AND tpr >= 1 THEN 'saturated' END AS reason FROM w)
+SELECT seed, tier, reason, NOT EXISTS (SELECT 1 FROM r e WHERE e.seed = r.seed AND e.place < r.place AND e.reason IS NOT NULL) AS reached FROM r""",
+        "older_gate": f"""WITH {ENCOUNTERS}, {RATES_OF_CAL},
+g AS (
+  SELECT (SELECT snr < 0 FROM stats WHERE signal = 'punct_signal') AS p, (SELECT snr < 0 FROM stats WHERE signal = 'content_ttr_signal') AS c,
+         (SELECT cal_tpr FROM cal_rates WHERE layer = 'L3') AS t)
+SELECT coalesce(p, FALSE) AS punct_inverted, coalesce(c, FALSE) AS content_inverted, round(t, 6) AS tpr,
+       CASE WHEN p AND c OR coalesce(t, 0) < 0.5 THEN 'failed' WHEN NOT p AND NOT c AND t >= 0.6 THEN 'passed' ELSE 'adapted' END AS verdict
+FROM g""",
+        "calibration_checkpoint": f"""WITH {ENCOUNTERS}, {RATES_OF_CAL},
+w AS (
+  SELECT layer, string_agg(signal || ':' || CAST(CAST(round(weight * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY signal) AS weights,
+         coalesce(string_agg(signal, ',' ORDER BY signal) FILTER (flipped), '') AS flipped FROM weights GROUP BY layer)
+SELECT layer, {r6("tau", "cal_fpr", "cal_tpr")}, CAST(0.05 AS DOUBLE) AS target_fpr, {SEED} AS cal_seed, w.weights, w.flipped,
+       (SELECT count(*) FROM stats) AS n_signals, {r6("doc_length", "sent_length", "punct_density")}
+FROM cal_rates JOIN w USING (layer), norm""",
+        "calibration_ids": f"WITH {ENCOUNTERS} SELECT doc_id FROM used",
+        "result_document": f"""WITH {CONFUSION}, con AS ({CONFUSED}),
+d AS (SELECT count(*) AS corpus, count(*) FILTER (is_poisoned) AS poisoned FROM docs),
+b AS (SELECT count(*) AS benign_q FROM queries WHERE side = 'eval' AND NOT adv)
+SELECT corpus, poisoned, round(poisoned / corpus, 6) AS poison_ratio, CAST({SEED} AS BIGINT) AS cal_seed, benign_q, layer, asr, doc_fpr,
+       query_fpr, round(tau, 6) AS tau, TRUE AS weighted, tp AS "TP", fn AS "FN", fp AS "FP", tn AS "TN",
+       attempts AS poison_encounters, clean_seen, hash_catches, score_catches
+FROM con JOIN taus USING (layer), d, b""",
         "relative_threshold_flags": f"""WITH {RECORDS},
 s AS (SELECT *, avg(score) OVER (PARTITION BY query_id) AS mu, stddev_pop(score) OVER (PARTITION BY query_id) AS sd FROM records)
 SELECT query_id, adv, id, is_poisoned, {r6("score")},

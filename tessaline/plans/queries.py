@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,19 @@ from tessaline.operators import reports as R
 from tessaline.operators import signals as S
 from tessaline.plans import golden
 from tessaline.sources import tables as IO
-from tessaline.sources.shared import stored
+from tessaline.sources.shared import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Weights in queries count every signal, so that they give rows on tables whose classes hardly differ.
 NO_GATE = 0.0
 SEED = 42
+#: Seeds that the benign queries are split by.
+SEEDS = [42, 7, 123]
+#: Tier: bound of the hash below which a poisoned document stays (a quarter, a half, all of them).
+TIER_BOUNDS = {"quarter": "4", "half": "8", "all": "g"}
+#: Number of benign queries drawn; fewer where there are fewer clean documents.
+BENIGN_QUERIES = 2000
+QUERY_TARGET = 0.05
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -51,16 +59,22 @@ def norm_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.norm_config(IO.labelled(spark, sf_dir)))
 
 
-def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, topic_drift, cluster_coh) of every vector."""
+    vectors = IO.vectors(spark, sf_dir)
+    near = N.coherence(_top(spark, sf_dir, 5), vectors).withColumnRenamed("query_id", "id")
+    return rounded(N.topic_drift(vectors).join(near, "id", "left"), 9).withColumnRenamed("id", "doc_id")
+
+
+def _long(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, of_vector: DataFrame | None = None) -> DataFrame:
     """The signals of labelled documents, one row each; worked out once and stored, as later steps read them again.
 
     Topic drift and cluster coherence are of the document's vector; a document without
     one has no rows for them.
     """
-    docs, vectors = IO.labelled(spark, sf_dir), IO.vectors(spark, sf_dir)
+    docs = IO.labelled(spark, sf_dir) if docs is None else docs
+    of_vector = _vector_signals(spark, sf_dir) if of_vector is None else of_vector
     wide = rounded(S.signals(S.raw_features(docs), S.norm_config(docs)).select("doc_id", "is_poisoned", *T.SIGNALS), 9)
-    near = N.coherence(_top(spark, sf_dir, 5), vectors).withColumnRenamed("query_id", "id")
-    of_vector = rounded(N.topic_drift(vectors).join(near, "id", "left"), 9).withColumnRenamed("id", "doc_id")
     return S.unpivot(stored(wide.join(of_vector, "doc_id", "left")), T.SIGNALS + T.VECTOR_SIGNALS).filter("value IS NOT NULL")
 
 
@@ -119,6 +133,21 @@ def benign_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.documents(spark, sf_dir).select("doc_id", T.query_text(F.col("text")).alias("q"))
 
 
+def benign_query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benign queries: a sample of the clean documents, the same for all seeds of the split."""
+    clean = IO.labelled(spark, sf_dir).filter(~F.col("is_poisoned")).select("doc_id", "text")
+    return S.sample(clean, BENIGN_QUERIES, SEED).select("doc_id", T.query_text(F.col("text")).alias("q"))
+
+
+def encoded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All queries, benign and attacks, encoded in one pass: the components that aren't zero."""
+    texts = benign_query_sample(spark, sf_dir).select(F.concat(F.lit("b"), "doc_id").alias("doc_id"), "q").unionByName(
+        cyclic_queries(spark, sf_dir).select(F.concat(F.lit("a"), "query_id").alias("doc_id"), "q")
+    )
+    parts = E.encode(texts.withColumnRenamed("q", "text")).select("id", F.posexplode("v").alias("i", "x"))
+    return rounded(parts.filter("x <> 0"))
+
+
 def word_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.word_entropy(IO.documents(spark, sf_dir)))
 
@@ -147,9 +176,9 @@ def topic_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.topic_drift(IO.vectors(spark, sf_dir)))
 
 
-def _top(spark: SparkSession, sf_dir: str, k: int, fetch: int = 0) -> DataFrame:
+def _top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     rows = IO.vectors(spark, sf_dir)
-    return N.top_k(rows, rows, k, fetch)
+    return N.top_k(rows, rows, k)
 
 
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +186,10 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overfetch_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_top(spark, sf_dir, 5, fetch=20))
+    """20 by coarse vectors (one decimal), of them the best 5 by the exact ones."""
+    rows = IO.vectors(spark, sf_dir).select("id", "v")
+    coarse = rows.select("id", F.transform("v", lambda x: F.round(x, 1)).alias("v"))
+    return rounded(N.rerank(N.top_k(coarse, coarse, 20), rows, rows, 5))
 
 
 def cluster_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,49 +246,160 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deviation.join(label, "id").join(own, "query_id").select("query_id", "adv", "id", "is_poisoned", F.round("a_score", 9).alias("score"))
 
 
-def _encounters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Encounters of the documents with label and vector, thresholds from the calibration part, and all queries.
+def _meetings(spark: SparkSession, sf_dir: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, is_poisoned) of the documents with label and vector, and (query_id, doc_id) of the five nearest of each."""
+    rows = IO.vectors(spark, sf_dir).select("id", "v").join(docs.select(F.col("doc_id").alias("id"), "is_poisoned"), "id")
+    near = N.top_k(rows.select("id", "v"), rows.select("id", "v"), 5)
+    return rows.select("id", "is_poisoned"), stored(near.select("query_id", F.col("id").alias("doc_id")))
+
+
+class Evaluation:
+    """Encounters, thresholds and queries of one split.
 
     Query: a document's own vector; an attack if its document is poisoned. 60 % of the
     benign queries calibrate, the rest and all attacks evaluate.
     """
-    scores = _scores(spark, sf_dir)
-    marked = IO.labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), "is_poisoned")
-    rows = IO.vectors(spark, sf_dir).select("id", "v").join(marked, "id")
-    met = stored(N.top_k(rows.select("id", "v"), rows.select("id", "v"), 5).select("query_id", F.col("id").alias("doc_id")))
-    benign = S.split(rows.filter(~F.col("is_poisoned")).select(F.col("id").alias("doc_id")), SEED)
-    queries = benign.select(F.col("doc_id").alias("query_id"), F.lit(False).alias("adv"), "side").unionByName(
-        rows.filter("is_poisoned").select(F.col("id").alias("query_id"), F.lit(True).alias("adv"), F.lit("eval").alias("side"))
-    )
-    all_met = met.join(queries, "query_id")
-    calibration = all_met.filter("side = 'cal'")
-    enough = calibration.groupBy("query_id").agg(F.count("*").alias("n")).filter("n >= 2").select("query_id")
-    taus = D.calibrate(calibration.join(enough, "query_id").join(scores, "doc_id"), target=0.05)
-    used = calibration.select("doc_id").distinct().withColumn("in_calibration", F.lit(True))
-    encounters = (
-        all_met.filter("side = 'eval'")
-        .join(used, "doc_id", "left")
-        .join(scores, "doc_id")
-        .select(
-            "query_id", "adv", "doc_id", "is_poisoned", F.coalesce("in_calibration", F.lit(False)).alias("in_calibration"),
-            (F.col("doc_id") % 37 == 0).alias("tampered"), "layer", "score",
+
+    def __init__(self, scores: DataFrame, rows: DataFrame, met: DataFrame, seed: int = SEED):
+        benign = S.split(rows.filter(~F.col("is_poisoned")).select(F.col("id").alias("doc_id")), seed)
+        queries = benign.select(F.col("doc_id").alias("query_id"), F.lit(False).alias("adv"), "side").unionByName(
+            rows.filter("is_poisoned").select(F.col("id").alias("query_id"), F.lit(True).alias("adv"), F.lit("eval").alias("side"))
         )
-    )
-    return encounters, taus, queries.filter("side = 'eval'")
+        all_met = met.join(queries, "query_id")
+        calibration = all_met.filter("side = 'cal'")
+        enough = calibration.groupBy("query_id").agg(F.count("*").alias("n")).filter("n >= 2").select("query_id")
+        calibrating = calibration.join(enough, "query_id").join(scores, "doc_id")
+        used = calibration.select("doc_id").distinct()
+        self.taus = D.calibrate(calibrating, target=QUERY_TARGET)
+        self.queries = queries.filter("side = 'eval'")
+        self.calibration_ids = used
+        #: FPR of the calibration encounters, TPR of all poisoned documents.
+        columns = ["layer", "score", "is_poisoned"]
+        both = calibrating.filter(~F.col("is_poisoned")).select(columns).unionByName(scores.filter("is_poisoned").select(columns))
+        self.rates = D.calibration_rates(both, self.taus)
+        self.encounters = (
+            all_met.filter("side = 'eval'")
+            .join(used.withColumn("in_calibration", F.lit(True)), "doc_id", "left")
+            .join(scores, "doc_id")
+            .select(
+                "query_id", "adv", "doc_id", "is_poisoned", F.coalesce("in_calibration", F.lit(False)).alias("in_calibration"),
+                (F.col("doc_id") % 37 == 0).alias("tampered"), "layer", "score",
+            )
+        )
+
+    def confusion(self) -> DataFrame:
+        benign = self.queries.filter("NOT adv").agg(F.count("*").alias("benign"))
+        found = D.confusion(D.flags(self.encounters, self.taus), F.lit(1))
+        rate = D.percent(F.col("fp_queries"), F.col("benign"))
+        return found.crossJoin(F.broadcast(benign)).withColumn("query_fpr", rate).drop("benign")  # one row
+
+
+def _evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
+    return Evaluation(_scores(spark, sf_dir), *_meetings(spark, sf_dir, IO.labelled(spark, sf_dir)))
 
 
 def encounter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encounters, taus, _ = _encounters(spark, sf_dir)
-    return D.flags(encounters, taus)
+    found = _evaluation(spark, sf_dir)
+    return D.flags(found.encounters, found.taus)
 
 
 def confusion_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encounters, taus, queries = _encounters(spark, sf_dir)
-    benign = queries.filter("NOT adv").agg(F.count("*").alias("benign"))
-    counted = D.flags(encounters, taus)
-    found = D.confusion(counted, F.lit(1))
-    rate = D.percent(F.col("fp_queries"), F.col("benign"))
-    return rounded(found.crossJoin(F.broadcast(benign)).withColumn("query_fpr", rate).drop("benign"))
+    return rounded(_evaluation(spark, sf_dir).confusion())
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion by layer, with threshold and calibration rates, of every tier and seed.
+
+    A tier keeps the poisoned documents whose hash is below its bound. Signals of
+    vectors are worked out once, scores and encounters once a tier; only the split
+    and what follows is made for each seed.
+    """
+    of_vector, runs = stored(_vector_signals(spark, sf_dir)), []
+    for tier, bound in TIER_BOUNDS.items():
+        docs = stored(IO.labelled(spark, sf_dir).filter(~F.col("is_poisoned") | (S.hash_order(99) < bound)))
+        long = _long(spark, sf_dir, docs, of_vector)
+        scores, (rows, met) = stored(S.composite_scores(long, _weights(long))), _meetings(spark, sf_dir, docs)
+        rows = stored(rows)
+        for seed in SEEDS:
+            found = Evaluation(scores, rows, met, seed)
+            rates = found.rates.select("layer", "tau", F.col("fpr").alias("cal_fpr"), F.col("tpr").alias("cal_tpr"))
+            named = found.confusion().join(F.broadcast(rates), "layer")
+            runs.append(named.select(F.lit(tier).alias("tier"), F.lit(seed).alias("seed"), "*"))
+    return stored(rounded(reduce(DataFrame.unionByName, runs)))
+
+
+def seed_tier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir)
+
+
+def seed_tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means, deviations and greatest values over the seeds of this engine's own runs."""
+    return rounded(R.multi_seed(_runs(spark, sf_dir)), 5)
+
+
+def hard_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hard_stops(_runs(spark, sf_dir), list(TIER_BOUNDS))
+
+
+def older_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _long(spark, sf_dir)
+    scores = stored(S.composite_scores(long, _weights(long)))
+    found = Evaluation(scores, *_meetings(spark, sf_dir, IO.labelled(spark, sf_dir)))
+    return rounded(R.older_gate(S.class_stats(long), found.rates))
+
+
+def _checkpoint(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The calibration written to the shared folder and read again: a row a layer, and the calibration documents."""
+    docs = stored(IO.labelled(spark, sf_dir))
+    long = _long(spark, sf_dir, docs)
+    stats = stored(rounded(S.class_stats(long), 9))
+    weights = stored(S.layer_weights(stats, least=NO_GATE))
+    found = Evaluation(stored(S.composite_scores(long, weights)), *_meetings(spark, sf_dir, docs))
+    path = new_path(spark)
+    model = IO.checkpoint_model(found.rates, weights, stats, S.norm_config(docs), QUERY_TARGET, SEED)
+    IO.write_checkpoint(model, found.calibration_ids, path)
+    return IO.read_checkpoint(spark, path)
+
+
+def calibration_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _ = _checkpoint(spark, sf_dir)
+    shown = F.transform("weights", lambda w: F.concat_ws(":", w.signal, F.round(w.weight * 1e6).cast("long").cast("string")))
+    flipped = F.transform(F.filter("weights", lambda w: w.flipped), lambda w: w.signal)
+    return rounded(
+        model.select(
+            "layer", "tau", "cal_fpr", "cal_tpr", "target_fpr", "cal_seed", F.array_join(shown, ",").alias("weights"),
+            F.array_join(flipped, ",").alias("flipped"), F.size("stats").cast("long").alias("n_signals"), "norm.*",
+        )
+    )
+
+
+def calibration_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checkpoint(spark, sf_dir)[1]
+
+
+def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result document of a run, written as JSON and read again, its layers as rows."""
+    docs = stored(IO.labelled(spark, sf_dir))
+    long = _long(spark, sf_dir, docs)
+    stats = stored(rounded(S.class_stats(long), 9))
+    weights = stored(S.layer_weights(stats, least=NO_GATE))
+    found = Evaluation(stored(S.composite_scores(long, weights)), *_meetings(spark, sf_dir, docs))
+    model = IO.checkpoint_model(found.rates, weights, stats, S.norm_config(docs), QUERY_TARGET, SEED)
+    corpus = docs.agg(F.count("*").alias("corpus"), F.count_if("is_poisoned").alias("poisoned"))
+    benign = found.queries.agg(F.count_if(~F.col("adv")).alias("benign_q"))
+    path = new_path(spark)
+    IO.write_results(IO.result_document(corpus.crossJoin(benign), model, rounded(found.confusion())), path)
+    read = IO.read_results(spark, path, path + "-missing")
+    layers = F.explode(F.map_entries(F.create_map(*[c for k in IO.LAYERS for c in (F.lit(k), F.col(k))])))
+    flat = read.select("corpus", "poisoned", "poison_ratio", "cal_seed", "benign_q", layers.alias("e")).filter("e.value IS NOT NULL")
+    flat = flat.select(*flat.columns[:-1], F.col("e.key").alias("layer"), "e.value.*")
+    return rounded(
+        flat.select(
+            "corpus", "poisoned", "poison_ratio", "cal_seed", "benign_q", "layer", "asr", "doc_fpr", "query_fpr", "tau",
+            F.map_values("weights")[0].isNotNull().alias("weighted"), "counts.*", F.col("catches.hash").alias("hash_catches"),
+            F.col("catches.ml").alias("score_catches"),
+        )
+    )
 
 
 def relative_threshold_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +551,8 @@ def queries() -> dict[str, Query]:
         confusion_by_layer, relative_threshold_flags, absolute_threshold_flags, threshold_sweep, youden_best, hybrid_grid,
         best_candidates, midpoint_eval, quantile_profile, injection_overwrite, template_fallback, variant_cross_product,
         framed_documents, topic_histogram, cyclic_queries, snr_sample, quality_gate, latency_profile, smoke_gate,
-        layer_weights_gated, calibrate_tau_strict, smoke_gate_strict, against_constants, perturb_until_apart, signal_tier_pivot, golden_weights, adaptive_vs_baseline,
+        seed_tier_runs, seed_tier_summary, hard_stops, older_gate, calibration_checkpoint, calibration_ids, result_document,
+        benign_query_sample, encoded_queries, layer_weights_gated, calibrate_tau_strict, smoke_gate_strict, against_constants, perturb_until_apart, signal_tier_pivot, golden_weights, adaptive_vs_baseline,
     ]
     found: dict[str, Query] = {f.__name__: f for f in plain}
     found |= {

@@ -20,8 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark)}/tessaline-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession)}/tessaline-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

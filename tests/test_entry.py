@@ -12,7 +12,8 @@ from tessaline.sources import tables as IO
 SF = "/root/testdata/sf0.001"
 CHECKED = [
     "text_signals", "text_tokens_sentences", "class_signal_stats", "layer_weights", "layer_weights_gated", "calibrate_tau_strict",
-    "smoke_gate_strict", "query_sample_similarity", "quality_gate", "calibrate_tau", "confusion_by_layer", "knn_topk", "synonym_swap", "variant_cross_product",
+    "smoke_gate_strict", "query_sample_similarity", "quality_gate", "calibrate_tau", "confusion_by_layer", "knn_topk", "overfetch_rerank", "seed_tier_runs",
+    "older_gate", "calibration_checkpoint", "calibration_ids", "result_document", "benign_query_sample", "synonym_swap", "variant_cross_product",
 ]
 
 
@@ -47,13 +48,30 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "Error" in IO.markdown_summary(spark.createDataFrame([(None, 1.0)], "a string, b double"))
 
 
+def test_encoded_queries(spark):
+    """One pass over all queries gives unit vectors, the same as for a query alone."""
+    from tessaline.operators import encode
+
+    found = queries.encoded_queries(spark, SF).collect()
+    lengths = {}
+    for r in found:
+        lengths[r.id] = lengths.get(r.id, 0) + r.x**2
+    assert lengths and all(abs(v - 1) < 1e-4 for v in lengths.values())
+    one = queries.cyclic_queries(spark, SF).filter("query_id = 3").withColumnRenamed("q", "text")
+    alone = encode.encode(one, id_column="query_id").first().v
+    assert {i: round(x, 6) for i, x in enumerate(alone) if x} == {r.i: r.x for r in found if r.id == "a3"}
+
+
 def test_stream_scoring(spark, tmp_path):
-    from tessaline.streaming.scoring import score_batch, score_stream
-
-    weights = queries.layer_weights(spark, SF)
-    taus = queries.calibrate_tau(spark, SF).select("layer", "tau")
-    IO.documents(spark, SF).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
-    score_stream(stream, weights, taus, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    whole = score_batch(IO.documents(spark, SF), weights, taus).count()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == whole > 0
+    """A stream scored with the stored calibration has the scores of the corpus it was made from."""
+    from tessaline.streaming.scoring import frozen, score_stream
+
+    parts = frozen(queries._checkpoint(spark, SF)[0])
+    docs = IO.labelled(spark, SF).drop("is_poisoned").join(queries._vector_signals(spark, SF), "doc_id", "left")
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    score_stream(stream, *parts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    made = {(r.doc_id, r.layer): r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    theirs = {(r.doc_id, r.layer): r.score for r in queries.composite_scores(spark, SF).collect()}
+    assert made.keys() == theirs.keys() and made
+    assert all(abs(v - theirs[k]) < 1e-6 for k, v in made.items())
