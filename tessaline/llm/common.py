@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessaline.sources.shared import shared_folder
@@ -80,6 +81,27 @@ class Written:
         path.getFileSystem(conf).delete(path.getParent(), True)
 
 
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows` (tree and others) with `i`, the place in the tree by `order`, and `n`, the rows of the tree.
+
+    Rows are dealt by ranges of (tree, order), so that a tree with most of the rows is
+    spread over many tasks. Places follow from the number of a row in its range and the
+    rows of the tree in earlier ranges; that table has a row for each range, and one
+    more for each tree.
+    """
+    dealt = rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
+    held = Written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked").df
+    part = F.shiftright("_at", 33).alias("_part")
+    runs = held.groupBy("tree", part).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    tree = W.partitionBy("tree")
+    before = runs.select(
+        "tree", "_part", "_first", F.sum("_rows").over(tree).alias("n"),
+        (F.sum("_rows").over(tree.orderBy("_part")) - F.col("_rows")).alias("_before"),
+    )
+    place = F.col("_at") - F.col("_first") + F.col("_before")
+    return held.select("*", part).join(before, ["tree", "_part"]).select(*rows.columns, place.alias("i"), "n")
+
+
 # -- texts as numpy arrays ---------------------------------------------------
 
 _SEPARATOR = np.zeros(256, dtype=bool)

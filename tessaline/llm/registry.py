@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.llm import ann, fingerprint, language, licenses, packing, pieces, secrets, simhash, substrings, toxicity
+from tessaline.llm import ann, centroids, chat, fingerprint, language, licenses, merkle, packing, pieces, secrets, simhash, substrings, toxicity
 from tessaline.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": lambda spark, sf_dir: pieces.op8(documents(spark, sf_dir)),
         "op9_nearest_neighbours": lambda spark, sf_dir: ann.op9(table(spark, sf_dir, "embeddings")),
         "op10_language_id": lambda spark, sf_dir: language.op10(documents(spark, sf_dir)),
+        "op11_merkle_manifest": lambda spark, sf_dir: merkle.op11(documents(spark, sf_dir)),
+        "op12_centroid_clustering": lambda spark, sf_dir: centroids.op12(table(spark, sf_dir, "embeddings")),
+        "op13_chat_formatting": lambda spark, sf_dir: chat.op13(spark, table(spark, sf_dir, "conversations")),
     }
 
 
@@ -111,6 +114,99 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, concat('=', source) AS k, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         list_reduce(
+           list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))),
+           4294967295) AS crc,
+         list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+                        lambda v: CASE WHEN v IS NULL THEN '-' ELSE concat(strlen(v), ':', v) END) AS head
+  FROM documents),
+leaf AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE k END AS tree, crc,
+         sha256(concat(array_to_string(head, ''), CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END)) AS h,
+         sha256(concat(array_to_string(head, ''), CASE WHEN low IS NULL THEN '-' ELSE concat(strlen(low), ':', low) END)) AS changed
+  FROM d),
+up(tree, level, hs) AS (
+  SELECT tree, 0, list(h ORDER BY doc_id, h) FROM leaf GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, len(hs), 16), lambda i: sha256(array_to_string(hs[i + 1:i + 16], ''))) FROM up WHERE len(hs) > 1),
+sub AS (SELECT tree, hs[1] AS h FROM up WHERE len(hs) = 1),
+top(level, hs) AS (
+  SELECT 0, list(h ORDER BY encode(tree)) FROM sub
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(hs), 16), lambda i: sha256(array_to_string(hs[i + 1:i + 16], ''))) FROM top WHERE len(hs) > 1),
+place AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h) - 1 AS i FROM leaf),
+mine(tree, doc_id, h, changed, crc, level, i, proof, folded) AS (
+  SELECT tree, doc_id, h, changed, crc, 0, i, '', CASE WHEN (4294967295 - crc) % 5 = 0 THEN changed ELSE h END FROM place
+  UNION ALL
+  SELECT m.tree, doc_id, h, changed, crc, m.level + 1, i // 16,
+         concat(proof, array_to_string(hs[i // 16 * 16 + 1:i], ''), array_to_string(hs[i + 2:i // 16 * 16 + 16], '')),
+         sha256(concat(array_to_string(hs[i // 16 * 16 + 1:i], ''), folded, array_to_string(hs[i + 2:i // 16 * 16 + 16], '')))
+  FROM mine m JOIN up u ON u.tree = m.tree AND u.level = m.level AND len(hs) > 1),
+low AS (SELECT m.* FROM mine m JOIN up u ON u.tree = m.tree AND u.level = m.level AND len(hs) = 1),
+rank AS (SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS i FROM sub),
+high(doc_id, h, subroot, level, i, proof, folded) AS (
+  SELECT doc_id, low.h, rank.h, 0, rank.i, proof, folded FROM low JOIN rank USING (tree)
+  UNION ALL
+  SELECT doc_id, h, subroot, m.level + 1, i // 16,
+         concat(proof, array_to_string(hs[i // 16 * 16 + 1:i], ''), array_to_string(hs[i + 2:i // 16 * 16 + 16], '')),
+         sha256(concat(array_to_string(hs[i // 16 * 16 + 1:i], ''), folded, array_to_string(hs[i + 2:i // 16 * 16 + 16], '')))
+  FROM high m JOIN top u ON u.level = m.level AND len(hs) > 1)
+SELECT doc_id, h AS leaf, subroot, hs[1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = hs[1] AS verified
+FROM high m JOIN top u ON u.level = m.level AND len(hs) = 1
+"""
+
+
+def _op12_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """The rounds one behind the other; components as rows."""
+    parts = [f"""
+WITH q AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, unnest(range({size})) AS i, unnest(q) AS x FROM q),
+s AS (SELECT r, row_number() OVER (ORDER BY sha256(concat('3:', vec_id)), q) - 1 AS n FROM q),
+c0 AS MATERIALIZED (SELECT n, i, x AS c FROM s JOIN x USING (r) WHERE n < {k})"""]
+    for at in range(rounds + 1):
+        parts.append(f"""
+a{at} AS MATERIALIZED (
+  SELECT r, min([d, n])[2] AS n, min(d) AS d
+  FROM (SELECT r, n, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{at} USING (i) GROUP BY r, n) GROUP BY r)""")
+        if at < rounds:
+            parts.append(f"""
+c{at + 1} AS MATERIALIZED (
+  SELECT n, i, CASE WHEN m IS NULL THEN c ELSE (t - ((t % m) + m) % m) // m END AS c
+  FROM c{at} LEFT JOIN (SELECT n, i, sum(x) AS t, count(*) AS m FROM x JOIN a{at} USING (r) GROUP BY n, i) USING (n, i))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(n AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN q USING (r) JOIN (SELECT n, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY n) USING (n)
+"""
+
+
+OP13_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+         length(regexp_replace(role, '([<\[])(\\*)(s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')) AS r,
+         length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')) AS t
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(7 + r + t + CASE WHEN role = 'assistant' THEN 7 ELSE 6 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op6_secret_scan": OP6_SQL, "op7_license_scan": OP7_SQL, "op9_nearest_neighbours": OP9_SQL}
+    return {
+        "op4_substring_dedup": OP4_SQL, "op6_secret_scan": OP6_SQL, "op7_license_scan": OP7_SQL, "op9_nearest_neighbours": OP9_SQL,
+        "op11_merkle_manifest": OP11_SQL, "op12_centroid_clustering": _op12_sql(), "op13_chat_formatting": OP13_SQL,
+    }
