@@ -126,8 +126,9 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     ranked = leaves.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= best)
     rows = ranked.select("tree", "branch", (F.col("depth") - 1).alias("pos"), "id")
     for k in reversed(range(len(steps))):  # each row stands for the 2^k messages down to it, until all are there
-        further = rows.join(steps[k], ["tree", "id"]).select("tree", "branch", (F.col("pos") - (1 << k)).alias("pos"), F.col("up").alias("id"))
-        rows = rows.unionByName(further)
+        further = F.struct((F.col("pos") - (1 << k)).alias("pos"), F.col("up").alias("id"))
+        both = F.when(F.col("up").isNull(), F.array(F.struct("pos", "id"))).otherwise(F.array(F.struct("pos", "id"), further))
+        rows = rows.join(steps[k], ["tree", "id"], "left").select("tree", "branch", F.inline(both))
     return rows
 
 
