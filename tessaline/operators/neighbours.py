@@ -1,4 +1,4 @@
-"""Exact nearest neighbours in blocks, and what is measured on them."""
+"""Exact nearest neighbours over cells of vectors, and what is measured on them."""
 
 from __future__ import annotations
 
@@ -6,21 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessaline.functions import vectors as V
+from tessaline.operators.arrays import by_group, matrix, sum_arrays
+from tessaline.operators.cells import Cells, write_cells
+from tessaline.sources.shared import stored
 
-#: Vectors in a block; a task compares two blocks at a time.
-BLOCK = 1024
+_FOUND = "query_id long, id long, sim double"
 
 
 def centroid(rows: DataFrame) -> DataFrame:
     """One row: the normalised mean of `v`."""
-    means = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s.x)  # as many as a vector is long
-    return means.agg(ordered.alias("m")).select(V.unit(F.col("m")).alias("centroid"))
+    counted = rows.filter("v IS NOT NULL").select(F.lit(0).alias("g"), F.concat(F.array(F.lit(1.0)), "v").alias("v"))
+    n = F.col("sums")[0]
+    return sum_arrays(counted, "g", "v").select(V.unit(F.transform(F.slice("sums", 2, F.size("sums")), lambda x: x / n)).alias("centroid"))
 
 
 def topic_drift(rows: DataFrame) -> DataFrame:
@@ -28,34 +30,25 @@ def topic_drift(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(centroid(rows))).select("id", (1 - V.dot(F.col("v"), F.col("centroid"))).alias("topic_drift"))
 
 
-def _blocks(rows: DataFrame, side: str, block: int, total: int) -> DataFrame:
-    """One row for about `block` vectors: number, ids and the matrix as bytes."""
-    count = max(1, -(-total // block))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, block):
-                part = batch.slice(begin, block)
-                flat = part.column("v").flatten().to_numpy().astype("<f8")
-                numbers = pa.array([part.column("b")[0].as_py()], pa.int32())
-                ids = part.column("id").to_numpy().astype("<i8")
-                yield pa.RecordBatch.from_arrays([numbers, pa.array([ids.tobytes()]), pa.array([flat.tobytes()])], names=["b", "ids", "m"])
-
-    numbered = rows.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("b"), "id", "v")
-    made = numbered.repartition(min(count, 4096), "b").sortWithinPartitions("b", "id").mapInArrow(run, "b int, ids binary, m binary")
-    return made.select(*[F.col(c).alias(f"{side}_{c}") for c in made.columns])
+def _best(
+    q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int, exclude_self: bool, least: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and similarity of the k best rows of each query, of `least` at least; ties go to smaller ids."""
+    sims = np.round(q @ r.T, 9)
+    if exclude_self:
+        sims[q_ids[:, None] == r_ids[None, :]] = -np.inf
+    if len(r_ids) > k:
+        least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
+    at, to = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+    order = np.lexsort((r_ids[to], -sims[at, to], at))
+    at, to = at[order], to[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    at, to = at[place < k], to[place < k]
+    return q_ids[at], r_ids[to], sims[at, to]
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, sim, rank): the `k` rows of the greatest inner product with each query.
-
-    Both tables are (id, v). Similarities are rounded to 9 digits; ties go to smaller
-    ids. Exact: each block of queries meets each block of rows once, as a matrix
-    product, and only the best of a pair of blocks go to the final ranking.
-    """
-    n_queries, n_rows = queries.count(), rows.count()
-    left = _blocks(queries, "q", BLOCK, n_queries)
-    right = _blocks(rows, "r", BLOCK, n_rows)
+def _compare(pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(query_id, id, sim) from pairs of blocks: q_ids, q_m, least (bytes of doubles, or null) with r_ids, r_m."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,110 +56,208 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = True
                 get = lambda c, t: np.frombuffer(batch.column(c)[i].as_py(), dtype=t)  # noqa: E731, B023
                 q_ids, r_ids = get("q_ids", "<i8"), get("r_ids", "<i8")
                 q, r = get("q_m", "<f8").reshape(len(q_ids), -1), get("r_m", "<f8").reshape(len(r_ids), -1)
-                sims = np.round(q @ r.T, 9)
-                if exclude_self:
-                    sims = np.where(q_ids[:, None] == r_ids[None, :], -np.inf, sims)
-                out_q, out_r, out_s = [], [], []
-                for j, row in enumerate(sims):
-                    best = np.lexsort((r_ids, -row))[:k]
-                    best = best[row[best] > -np.inf]
-                    out_q.append(np.full(len(best), q_ids[j]))
-                    out_r.append(r_ids[best])
-                    out_s.append(row[best])
-                cols = [np.concatenate(x) if x else np.zeros(0) for x in (out_q, out_r, out_s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))],
-                    names=["query_id", "id", "sim"],
-                )
+                least = get("least", "<f8") if batch.column("least")[i].is_valid else np.full(len(q_ids), -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(q_ids, q, r_ids, r, k, exclude_self, least)], names=["query_id", "id", "sim"])
 
-    pairs = left.crossJoin(right)  # blocks, not rows: every pair of blocks is wanted
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    found = pairs.repartition(max(cores, min(20_000, (n_queries // BLOCK + 1) * (n_rows // BLOCK + 1)))).mapInArrow(
-        run, "query_id long, id long, sim double"
-    )
+    return pairs.select("q_ids", "q_m", "least", "r_ids", "r_m").mapInArrow(run, _FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+class Search:
+    """The `k` rows of the greatest inner product with each query, over `rows` stored as cells.
+
+    First each query meets the rows of its own cell; the k-th similarity so far goes
+    with it. A row of a cell with centre c and radius r has a product of at most
+    q.c + |q| r with a query q, so that of the other cells only those are visited where
+    this isn't below the query's k-th similarity. `visits` says which: a row for each block of queries
+    and cell, with the queries that need it. Vectors without structure visit all cells.
+    """
+
+    def __init__(self, queries: Cells, rows: Cells, spark: SparkSession, k: int, exclude_self: bool = True):
+        self.queries, self.rows, self.k, self.exclude_self, self.spark = queries, rows, k, exclude_self, spark
+        there = [(int(c), b) for b, c in enumerate(rows.of_bucket) if rows.radii[c] >= 0]
+        self.places = spark.createDataFrame(there, "cell int, bucket int")  # a row a bucket
+        self.blocks = rows.read(spark).select("bucket", F.col("ids").alias("r_ids"), F.col("m").alias("r_m"))
+        self.asked = queries.read(spark).select("cell", F.col("bucket").alias("q_bucket"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+
+    def own_cells(self) -> DataFrame:
+        """What each query finds in its own cell."""
+        pairs = self.asked.withColumn("least", F.lit(None).cast("binary")).join(self.places, "cell").join(self.blocks, "bucket")
+        return _ranked(_compare(pairs, self.k, self.exclude_self), self.k)
+
+    def visits(self, first: DataFrame) -> DataFrame:
+        """(cell, q_ids, q_m, least): the other cells that can change what the queries have in `first`."""
+        k, centres, radii = self.k, self.rows.centres, self.rows.radii
+        sent = self.spark.sparkContext.broadcast((centres, radii))  # a vector a cell
+        kth = first.filter(F.col("rank") == k).select("query_id", F.col("sim").alias("least"))
+
+        def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids = np.frombuffer(batch.column("q_ids")[i].as_py(), dtype="<i8")
+                    buckets = np.full(len(ids), batch.column("q_bucket")[i].as_py(), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ids)], names=["q_bucket", "query_id"])
+
+        asked = self.asked.select("q_bucket", "q_ids").mapInArrow(ids_of, "q_bucket int, query_id long")
+        limits = asked.join(kth, "query_id").groupBy("q_bucket").agg(F.collect_list(F.struct("query_id", "least")).alias("limits"))  # a bucket's
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, radii = sent.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids = np.frombuffer(batch.column("q_ids")[i].as_py(), dtype="<i8")
+                    q = np.frombuffer(batch.column("q_m")[i].as_py(), dtype="<f8").reshape(len(ids), -1)
+                    least = np.full(len(ids), -np.inf)
+                    known = batch.column("limits")[i].as_py() or []
+                    if known:
+                        names = np.array([x["query_id"] for x in known], dtype=np.int64)
+                        order = np.argsort(names)
+                        values = np.array([x["least"] for x in known])[order]
+                        at = np.minimum(np.searchsorted(names[order], ids), len(names) - 1)
+                        least = np.where(names[order][at] == ids, values[at], -np.inf)
+                    size = np.sqrt((q * q).sum(axis=1))[:, None]
+                    most = q @ centres.T + size * np.maximum(radii, 0)[None, :]
+                    slack = 2e-9 + 1e-12 * size * (np.sqrt((centres * centres).sum(axis=1)) + radii)[None, :]
+                    need = (most + slack >= least[:, None]) & (radii >= 0)[None, :]
+                    need[:, batch.column("cell")[i].as_py()] = False
+                    cells = np.flatnonzero(need.any(axis=0))
+                    columns = [[x[need[:, c]].tobytes() for c in cells] for x in (ids, q, least)]
+                    arrays = [pa.array(cells.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["cell", "q_ids", "q_m", "least"])
+
+        joined = self.asked.join(limits, "q_bucket", "left").select("cell", "q_ids", "q_m", "limits")
+        return joined.mapInArrow(run, "cell int, q_ids binary, q_m binary, least binary")
+
+    def result(self) -> DataFrame:
+        """(query_id, id, sim, rank)."""
+        if len(self.rows.radii) == 1:
+            return self.own_cells()
+        first = stored(self.own_cells())
+        pairs = self.visits(first).join(self.places, "cell").join(self.blocks, "bucket")
+        return _ranked(first.drop("rank").unionByName(_compare(pairs, self.k, self.exclude_self)), self.k)
+
+
+def top_k(queries: DataFrame | Cells, rows: DataFrame | Cells, k: int, exclude_self: bool = True, cells: int | None = None) -> DataFrame:
+    """(query_id, id, sim, rank): the `k` rows of the greatest inner product with each query.
+
+    Both are (id, v), or stored cells (of the same centres). Similarities are rounded to 9 digits; ties go
+    to smaller ids. Exact: see `Search`. Rows without a vector take no part.
+    """
+    frame = rows if isinstance(rows, DataFrame) else queries if isinstance(queries, DataFrame) else None
+    spark = frame.sparkSession if frame is not None else SparkSession.active()
+    usable = lambda df: df.select(F.col("id").cast("long").alias("id"), "v").filter("id IS NOT NULL AND v IS NOT NULL")
+    there = rows if isinstance(rows, Cells) else write_cells(usable(rows), cells=cells)
+    if queries is rows:
+        return Search(there, there, spark, k, exclude_self).result()
+    asked = queries if isinstance(queries, Cells) else write_cells(usable(queries), like=there)
+    return Search(asked, there, spark, k, exclude_self).result()
+
+
 def rerank(fetched: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """`top_k`'s columns: of each query's `fetched` rows (query_id, id) the best `k` by the vectors given here."""
-    both = (
-        fetched.select("query_id", "id")
-        .join(rows.select("id", "v"), "id")
-        .join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    )
-    scored = both.select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 9).alias("sim"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        v, rank = matrix(table.column("v")), table.column("rank").to_numpy()
+        own = np.repeat(starts, np.diff([*starts, len(rank)]))
+        hits = (rank > 0) & (rank[own] == 0)
+        sims = np.round((v[hits] * v[own[hits]]).sum(axis=1), 9)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(table.column("query_id").to_numpy()[hits]), pa.array(table.column("id").to_numpy()[hits]), pa.array(sims)], names=["query_id", "id", "sim"]
+        )
+
+    both = _with_query(fetched.withColumn("rank", F.lit(1)), queries, rows)
+    return _ranked(by_group(both, "query_id", ["rank", "id"], run, _FOUND), k)
+
+
+def _with_query(neighbours: DataFrame, queries: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """(query_id, rank, id, v): the neighbours with their vectors, and each query's own vector at rank 0."""
+    members = neighbours.select("query_id", "rank", "id").join(rows.select("id", "v"), "id").select("query_id", "rank", "id", "v")
+    if queries is None:
+        return members
+    return members.unionByName(queries.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id"), "v").filter("v IS NOT NULL"))
 
 
 def coherence(neighbours: DataFrame, rows: DataFrame, default: float = 0.5) -> DataFrame:
     """(query_id, cluster_coh): the mean inner product among a query's neighbours; `default` with fewer than two.
 
-    By the closed form (|sum|^2 - sum of |e|^2) / (k (k - 1)), from sums by component.
+    By the closed form (|sum|^2 - sum of |e|^2) / (k (k - 1)).
     """
-    joined = neighbours.join(rows.select("id", "v"), "id")
-    own = joined.select("query_id", V.dot(F.col("v"), F.col("v")).alias("own"), F.posexplode("v").alias("i", "x"))
-    sums = own.groupBy("query_id", "i").agg(
-        F.sum("x").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("i") == 0, F.col("own"))).alias("own")
-    )
-    k = F.max("k").cast("double")
-    value = F.try_divide(F.sum(F.col("s") * F.col("s")) - F.max("own"), k * (k - 1))
-    return sums.groupBy("query_id").agg(F.coalesce(value, F.lit(default)).alias("cluster_coh"))
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        v = matrix(table.column("v"))
+        k = np.diff([*starts, len(v)])
+        total, own = np.add.reduceat(v, starts, axis=0), np.add.reduceat((v * v).sum(axis=1), starts)
+        value = np.where(k > 1, ((total * total).sum(axis=1) - own) / np.maximum(k * (k - 1), 1), default)
+        return pa.RecordBatch.from_arrays([pa.array(table.column("query_id").to_numpy()[starts]), pa.array(value)], names=["query_id", "cluster_coh"])
+
+    return by_group(_with_query(neighbours, None, rows), "query_id", ["rank"], run, "query_id long, cluster_coh double")
 
 
 def retrieved_deviation(neighbours: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, id, geo, attn, a_score): distance to the centre of what the query retrieved, 1 minus the
     product with the query, and 0.6 and 0.4 of them."""
-    joined = neighbours.join(rows.select("id", "v"), "id").join(
-        queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id"
-    )
-    means = (
-        joined.select("query_id", F.posexplode("v").alias("i", "x"))
-        .groupBy("query_id", "i")
-        .agg(F.avg("x").alias("x"))
-        .groupBy("query_id")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("m"))
-    )
-    geo = V.distance(F.col("v"), V.unit(F.col("m")))
-    attn = 1 - V.dot(F.col("v"), F.col("q"))
-    return joined.join(means, "query_id").select(
-        "query_id", "id", geo.alias("geo"), attn.alias("attn"), (0.6 * geo + 0.4 * attn).alias("a_score")
-    )
 
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        v, rank = matrix(table.column("v")), table.column("rank").to_numpy()
+        sizes = np.diff([*starts, len(v)])
+        own = np.repeat(starts, sizes)
+        hits = rank > 0
+        means = np.add.reduceat(v * hits[:, None], starts, axis=0) / np.maximum(np.add.reduceat(hits.astype(np.int64), starts), 1)[:, None]
+        norms = np.sqrt((means * means).sum(axis=1))
+        means = means / np.where(norms > 1e-9, norms, 1.0)[:, None]
+        step = v - np.repeat(means, sizes, axis=0)
+        geo, attn = np.sqrt((step * step).sum(axis=1)), 1 - (v * v[own]).sum(axis=1)
+        hits &= rank[own] == 0
+        columns = [table.column("query_id").to_numpy(), table.column("id").to_numpy(), geo, attn, 0.6 * geo + 0.4 * attn]
+        return pa.RecordBatch.from_arrays([pa.array(c[hits]) for c in columns], names=["query_id", "id", "geo", "attn", "a_score"])
 
-def pair_similarity(rows: DataFrame, same: Column | None = None) -> DataFrame:
-    """Mean and deviation of the inner products of all pairs, by whether labels agree.
+    both = _with_query(neighbours, queries, rows)
+    return by_group(both, "query_id", ["rank"], run, "query_id long, id long, geo double, attn double, a_score double")
 
-    From block products; a pair of blocks gives four sums a class, so nothing grows with
-    the number of pairs but the multiplications.
-    """
-    total = rows.count()
-    labelled = rows.select("id", F.concat("v", F.array(F.col("label").cast("double"))).alias("v"))
-    left, right = _blocks(labelled, "q", BLOCK, total), _blocks(labelled, "r", BLOCK, total)
+
+def _moments(v: np.ndarray) -> np.ndarray:
+    """Of vectors: their number, the sums of |x|^2 and |x|^4, the sum, and the matrix of second moments, row by row."""
+    own = (v * v).sum(axis=1)
+    return np.concatenate([[len(v), own.sum(), (own * own).sum()], v.sum(axis=0), (v.T @ v).reshape(-1)])
+
+
+def _pair_terms(moments: DataFrame) -> DataFrame:
+    """(n, s, ss): number, sum and sum of squares of the products of all pairs, from rows of `sums`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda c, t: np.frombuffer(batch.column(c)[i].as_py(), dtype=t)  # noqa: E731, B023
-                q_ids, r_ids = get("q_ids", "<i8"), get("r_ids", "<i8")
-                q, r = get("q_m", "<f8").reshape(len(q_ids), -1), get("r_m", "<f8").reshape(len(r_ids), -1)
-                sims = q[:, :-1] @ r[:, :-1].T
-                less = q_ids[:, None] < r_ids[None, :]
-                alike = q[:, -1][:, None] == r[:, -1][None, :]
-                picks = [sims[less & alike], sims[less & ~alike]]
+            m = matrix(batch.column("sums"))
+            if len(m):
+                n, one, two = m[:, 0], m[:, 1], m[:, 2]
+                d = int(np.sqrt(m.shape[1] - 3 + 0.25))
+                total, square = m[:, 3 : 3 + d], m[:, 3 + d :]
+                pairs = np.round(n * (n - 1) / 2).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([True, False]),
-                        pa.array([len(p) for p in picks], pa.int64()),
-                        pa.array([float(p.sum()) for p in picks]),
-                        pa.array([float((p * p).sum()) for p in picks]),
-                    ],
-                    names=["same_label", "n", "s", "ss"],
+                    [pa.array(pairs), pa.array(((total * total).sum(axis=1) - one) / 2), pa.array(((square * square).sum(axis=1) - two) / 2)], names=["n", "s", "ss"]
                 )
 
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    found = left.crossJoin(right).repartition(cores * 4).mapInArrow(run, "same_label boolean, n long, s double, ss double")
-    mean = F.try_divide(F.sum("s"), F.sum("n"))
-    spread = F.sqrt(F.greatest(F.try_divide(F.sum("ss"), F.sum("n")) - mean * mean, F.lit(0.0)))
-    return found.groupBy("same_label").agg(F.sum("n").alias("n"), mean.alias("mean_sim"), spread.alias("std_sim")).filter("n > 0")
+    return moments.select("sums").mapInArrow(run, "n long, s double, ss double")
+
+
+def pair_similarity(rows: DataFrame) -> DataFrame:
+    """(same_label, n, mean_sim, std_sim): inner products of all pairs, by whether labels agree; no pair is ever made.
+
+    With s = sum of x and M = sum of x x', the products of all pairs add up to (|s|^2 - sum of |x|^2) / 2, and their
+    squares to (|M|^2 - sum of |x|^4) / 2. One pass adds up both by label; all labels together give all pairs, and
+    what isn't within a label is between labels. Rows without a label or vector take no part.
+    """
+    usable = rows.filter("label IS NOT NULL AND v IS NOT NULL").select("label", "v")
+    by_label = stored(sum_arrays(usable, "label", "v", _moments))
+    within = _pair_terms(by_label).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "s", "ss")])
+    every = _pair_terms(sum_arrays(by_label.select(F.lit(0).alias("g"), "sums"), "g", "sums"))
+    same = within.select(F.lit(True).alias("same_label"), "n", "s", "ss")
+    apart = every.crossJoin(within.select(*[F.col(c).alias(f"w_{c}") for c in within.columns])).select(  # one row each
+        F.lit(False).alias("same_label"), *[(F.col(c) - F.col(f"w_{c}")).alias(c) for c in ("n", "s", "ss")]
+    )
+    mean = F.col("s") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
+    return same.unionByName(apart).filter("n > 0").select("same_label", F.col("n").cast("long").alias("n"), mean.alias("mean_sim"), spread.alias("std_sim"))

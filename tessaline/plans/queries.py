@@ -249,7 +249,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _meetings(spark: SparkSession, sf_dir: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, is_poisoned) of the documents with label and vector, and (query_id, doc_id) of the five nearest of each."""
     rows = IO.vectors(spark, sf_dir).select("id", "v").join(docs.select(F.col("doc_id").alias("id"), "is_poisoned"), "id")
-    near = N.top_k(rows.select("id", "v"), rows.select("id", "v"), 5)
+    pool = rows.select("id", "v")
+    near = N.top_k(pool, pool, 5)
     return rows.select("id", "is_poisoned"), stored(near.select("query_id", F.col("id").alias("doc_id")))
 
 
