@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessaline.operators.selection import order_statistics, quantile_columns
+
 FPR_TARGET = 0.0069
 
 
@@ -13,17 +15,11 @@ def calibrate(scores: DataFrame, target: float = FPR_TARGET, least: int = 10) ->
     """(layer, tau): the (floor(target * n) + 1)-th greatest score of the clean rows.
 
     With `score > tau` flagged, no more than `target` of them are. Layers with fewer than
-    `least` clean rows get no threshold. Only ranks down to the cut are kept, which is
-    read off a histogram of scores per layer (scores are rounded, so that equal ones
-    combine before the shuffle).
+    `least` clean rows get no threshold. The cut is found by counts (`order_statistics`).
     """
-    clean = scores.filter(~F.col("is_poisoned")).groupBy("layer", "score").agg(F.count("*").alias("n"))
-    down = W.partitionBy("layer").orderBy(F.desc("score"))
-    ranked = clean.select(
-        "layer", "score", F.sum("n").over(down).alias("upto"), F.sum("n").over(W.partitionBy("layer")).alias("all")
-    )
-    rank = F.floor(F.col("all") * F.lit(target)) + 1
-    return ranked.filter((F.col("upto") >= rank) & (F.col("all") >= least)).groupBy("layer").agg(F.max("score").alias("tau"))
+    clean = scores.filter(~F.col("is_poisoned"))
+    found = order_statistics(clean, ["layer"], "score", {"tau": F.col("n") - 1 - F.floor(F.col("n") * F.lit(target))})
+    return found.filter(F.col("n") >= least).select("layer", F.col("value").alias("tau"))
 
 
 def calibration_rates(scores: DataFrame, taus: DataFrame) -> DataFrame:
@@ -104,38 +100,51 @@ def relative_flags(records: DataFrame, deviations: float = 1.5, flat: float = 0.
     return records.select("*", (F.col("score") > limit).alias("flagged"))
 
 
-def threshold_sweep(rows: DataFrame, steps: int = 15) -> DataFrame:
-    """(step, threshold, tpr, fpr) for `steps` thresholds from the least to below the greatest score."""
-    ends = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    grid = ends.select(F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"), "lo", "hi").select(
-        "step", F.round(F.col("lo") + F.col("step") * (F.col("hi") - F.col("lo")) / steps, 9).alias("threshold")
-    )
-    over = (F.col("score") > F.col("threshold")).cast("double")
-    return (
-        rows.crossJoin(F.broadcast(grid))  # `steps` rows
-        .groupBy("step", "threshold")
-        .agg(
-            F.avg(F.when(F.col("is_poisoned"), over)).alias("tpr"),
-            F.avg(F.when(~F.col("is_poisoned"), over)).alias("fpr"),
-        )
-    )
+def even_thresholds(rows: DataFrame, by: list[str], steps: int, ends: int) -> DataFrame:
+    """(by, thresholds): the first `ends` of the thresholds at lo + step * (hi - lo) / steps, rounded to 9 digits."""
+    span = rows.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    at = lambda i: F.round(F.col("lo") + i * (F.col("hi") - F.col("lo")) / steps, 9)
+    return span.filter("lo IS NOT NULL").select(*by, F.transform(F.sequence(F.lit(0), F.lit(ends - 1)), at).alias("thresholds"))
 
 
-def youden_best(rows: DataFrame, steps: int = 20) -> DataFrame:
-    """One row: the first threshold of the greatest TPR - FPR among `steps` + 1 even ones from end to end."""
-    ends = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    grid = ends.select(F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"), "lo", "hi").select(
-        "step", F.round(F.col("lo") + F.col("step") * (F.col("hi") - F.col("lo")) / steps, 9).alias("threshold")
-    )
-    over = (F.col("score") > F.col("threshold")).cast("double")
-    rated = (
-        rows.crossJoin(F.broadcast(grid))
-        .groupBy("step", "threshold")
-        .agg(
-            F.round(F.avg(F.when(F.col("is_poisoned"), over)) - F.avg(F.when(~F.col("is_poisoned"), over)), 9).alias("youden")
-        )
+def _from_top(counts: DataFrame, keys: list[str], bucket: str, names: list[str]) -> list[Column]:
+    """Sums of `names` over the buckets above each row's, and over all, by `keys`."""
+    by = W.partitionBy(*keys)
+    above = by.orderBy(F.desc(bucket)).rowsBetween(W.unboundedPreceding, -1)
+    return [F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_over") for c in names] + [F.sum(c).over(by).alias(f"{c}_all") for c in names]
+
+
+def sweep(rows: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
+    """(by, step, threshold, tpr, fpr) for each of the ascending `thresholds` (by, thresholds: a few dozen) of a group.
+
+    Each row is counted once, in the bucket of how many thresholds are below its score;
+    what is over a threshold is the sum of the buckets above it. Equal thresholds agree.
+    """
+    group = [F.col(c) for c in by]
+    bucket = F.size(F.filter("thresholds", lambda t: F.col("score") > t)).alias("bucket")
+    joined = rows.join(F.broadcast(thresholds), by) if by else rows.crossJoin(F.broadcast(thresholds))  # a row a group
+    counted = joined.select(*group, bucket, F.col("is_poisoned").alias("bad"))
+    counts = counted.groupBy(*by, "bucket").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    zeros = thresholds.select(*group, F.explode(F.sequence(F.lit(0), F.size("thresholds"))).alias("bucket")).select("*", F.lit(0).cast("long").alias("bad"), F.lit(0).cast("long").alias("good"))
+    every = counts.unionByName(zeros).groupBy(*by, "bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    summed = every.select(*group, "bucket", *_from_top(every, by, "bucket", ["bad", "good"]))
+    steps = thresholds.select(*group, F.posexplode("thresholds").alias("bucket", "threshold"))
+    return steps.join(summed, [*by, "bucket"]).select(
+        *group, F.col("bucket").alias("step"), "threshold", F.try_divide("bad_over", "bad_all").alias("tpr"), F.try_divide("good_over", "good_all").alias("fpr")
     )
-    return rated.orderBy(F.desc("youden"), "step").limit(1).select("threshold", "youden")
+
+
+def threshold_sweep(rows: DataFrame, steps: int = 15, by: list[str] | None = None) -> DataFrame:
+    """(by, step, threshold, tpr, fpr) for `steps` thresholds from the least to below the greatest score of each group."""
+    return sweep(rows, even_thresholds(rows, by or [], steps, steps), by or [])
+
+
+def youden_best(rows: DataFrame, steps: int = 20, by: list[str] | None = None) -> DataFrame:
+    """(by, threshold, youden): the first threshold of the greatest TPR - FPR among `steps` + 1 even ones from end to end."""
+    rated = sweep(rows, even_thresholds(rows, by or [], steps, steps + 1), by or [])
+    rated = rated.withColumn("youden", F.round(F.col("tpr") - F.col("fpr"), 9))
+    best = F.max_by(F.struct("threshold", "youden"), F.struct("youden", -F.col("step")))
+    return rated.groupBy(*(by or [])).agg(best.alias("b")).filter("b IS NOT NULL").select(*(by or []), "b.threshold", "b.youden")
 
 
 def grid_evaluate(records: DataFrame, grid: DataFrame) -> DataFrame:
@@ -143,45 +152,50 @@ def grid_evaluate(records: DataFrame, grid: DataFrame) -> DataFrame:
 
     `records`: query_id, adv, is_poisoned, score. A document is flagged over mean + n_std
     deviations of its query and over min_abs, or over abs_high. The FPR's whole are all
-    clean documents, those met by attacks too. All settings in one aggregation.
+    clean documents, those met by attacks too. Each record is counted once, in a cell of
+    two buckets: how many of the grid's n_std, in their order, it passes, and how many of its absolute
+    thresholds. The settings are rated on the cells.
     """
+    settings = grid.collect()  # some dozens
+    deviations = sorted({r.n_std for r in settings if r.n_std is not None})
+    limits = sorted({x for r in settings for x in (r.min_abs, r.abs_high) if x is not None})
     by = W.partitionBy("query_id")
     stats = records.select("*", F.avg("score").over(by).alias("mu"), F.stddev_pop("score").over(by).alias("sd"))
-    relative = (F.col("score") > F.round(F.col("mu") + F.col("n_std") * F.col("sd"), 9)) & (F.col("score") > F.col("min_abs"))
-    hit = F.coalesce(relative, F.lit(False)) | F.coalesce(F.col("score") > F.col("abs_high"), F.lit(False))
+    passed = lambda tests: sum((F.coalesce(t.cast("int"), F.lit(0)) for t in tests), F.lit(0))
+    wide = passed([F.col("score") > F.round(F.col("mu") + n * F.col("sd"), 9) for n in deviations])
+    high = passed([F.col("score") > x for x in limits])
     adv, bad = F.col("adv"), F.col("is_poisoned")
+    cells = stats.groupBy(wide.alias("wide"), high.alias("high")).agg(
+        F.count_if(adv & bad).alias("attacks"), F.count_if(~adv & ~bad).alias("benign"), F.count_if(~bad).alias("clean")
+    )  # (deviations + 1) times (limits + 1) at most
+    place = lambda x, values: None if x is None else values.index(x)
+    rows = [(r.config, r.n_std, r.min_abs, r.abs_high, place(r.n_std, deviations), place(r.min_abs, limits), place(r.abs_high, limits)) for r in settings]
+    named = records.sparkSession.createDataFrame(rows, "config int, n_std double, min_abs double, abs_high double, d int, m int, h int")
+    hit = F.coalesce((F.col("wide") > F.col("d")) & (F.col("high") > F.col("m")), F.lit(False)) | F.coalesce(F.col("high") > F.col("h"), F.lit(False))
     rated = (
-        stats.crossJoin(F.broadcast(grid))  # some dozens of settings
-        .select("config", "n_std", "min_abs", "abs_high", adv, bad, hit.alias("hit"))
+        named.crossJoin(F.broadcast(cells))  # settings times cells
         .groupBy("config", "n_std", "min_abs", "abs_high")
         .agg(
-            percent(F.count_if(adv & bad & ~F.col("hit")), F.count_if(adv & bad)).alias("asr"),
-            percent(F.count_if(~adv & ~bad & F.col("hit")), F.count_if(~bad)).alias("doc_fpr"),
+            percent(F.sum(F.when(~hit, F.col("attacks")).otherwise(0)), F.sum("attacks")).alias("asr"),
+            percent(F.sum(F.when(hit, F.col("benign")).otherwise(0)), F.sum("clean")).alias("doc_fpr"),
         )
     )
     good = F.when((F.col("asr") < 20) & (F.col("doc_fpr") < 10), "best").when((F.col("asr") < 20) & (F.col("doc_fpr") < 15), "good")
     return rated.select("*", F.coalesce(good, F.lit("")).alias("note"))
 
 
-def quantile_profile(rows: DataFrame, shares: list[float]) -> DataFrame:
-    """(is_poisoned, n, mean, std and the quantiles asked for) of score by class."""
-    named = [F.percentile("score", p).alias(f"p{round(100 * p):02d}") for p in shares]
-    return rows.groupBy("is_poisoned").agg(
-        F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), *named
-    )
+def quantile_profile(rows: DataFrame, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, is_poisoned, n, mean, std and the quantiles asked for) of score by class."""
+    keys = [*(by or []), "is_poisoned"]
+    plain = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    return plain.join(quantile_columns(rows, keys, "score", shares), keys)
 
 
-def midpoint_eval(rows: DataFrame, delta: float = 0.02) -> DataFrame:
-    """(threshold, fpr, tpr) at the midpoint of the clean P95 and the poisoned P5, and `delta` on either side."""
-    mid = rows.agg(
-        (
-            (F.percentile(F.when(~F.col("is_poisoned"), F.col("score")), 0.95) + F.percentile(F.when(F.col("is_poisoned"), F.col("score")), 0.05)) / 2
-        ).alias("mid")
-    )
-    grid = mid.select(F.explode(F.array(*[F.round(F.col("mid") + d, 9) for d in (-delta, 0.0, delta)])).alias("threshold"))
-    over = (F.col("score") > F.col("threshold")).cast("double")
-    return (
-        rows.crossJoin(F.broadcast(grid))
-        .groupBy("threshold")
-        .agg(F.avg(F.when(~F.col("is_poisoned"), over)).alias("fpr"), F.avg(F.when(F.col("is_poisoned"), over)).alias("tpr"))
-    )
+def midpoint_eval(rows: DataFrame, delta: float = 0.02, by: list[str] | None = None) -> DataFrame:
+    """(by, threshold, fpr, tpr) at the midpoint of the clean P95 and the poisoned P5, and `delta` on either side."""
+    keys = by or []
+    ends = quantile_columns(rows, [*keys, "is_poisoned"], "score", [0.05, 0.95])
+    both = ends.groupBy(*keys).agg(F.max(F.when(~F.col("is_poisoned"), F.col("p95"))).alias("a"), F.max(F.when(F.col("is_poisoned"), F.col("p05"))).alias("b"))
+    mid = (F.col("a") + F.col("b")) / 2
+    three = both.filter("a IS NOT NULL AND b IS NOT NULL").select(*keys, F.array(*[F.round(mid + d, 9) for d in (-delta, 0.0, delta)]).alias("thresholds"))
+    return sweep(rows, three, keys).select(*keys, "threshold", "fpr", "tpr")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessaline.functions import text as T
+from tessaline.operators.selection import take_first
 
 #: Layers and the signals each leaves out.
 LAYERS = {"L1": [], "L2": ["kw_density"], "L3": ["kw_density", "avg_sent_len_signal"]}
@@ -41,7 +42,15 @@ def norm_config(docs: DataFrame, first: int = 2000, share: float = 0.9) -> DataF
     The ids are picked first, so that only these texts are taken apart.
     """
     ids = docs.filter(~F.col("is_poisoned")).select("doc_id").orderBy("doc_id").limit(first)
-    clean = raw_features(docs.filter(~F.col("is_poisoned")).join(F.broadcast(ids), "doc_id", "left_semi"))
+    return _scales(raw_features(docs.filter(~F.col("is_poisoned")).join(F.broadcast(ids), "doc_id", "left_semi")), share)
+
+
+def norm_of_raw(raw: DataFrame, first: int = 2000, share: float = 0.9) -> DataFrame:
+    """`norm_config` of documents whose `raw_features` are there already."""
+    return _scales(raw.filter(~F.col("is_poisoned")).orderBy("doc_id").limit(first), share)
+
+
+def _scales(clean: DataFrame, share: float) -> DataFrame:
     density = F.col("punct_count") / F.greatest(F.col("n_words"), F.lit(1))
     return clean.agg(
         F.coalesce(F.percentile(F.col("n_words").cast("double"), share), F.lit(T.DEFAULT_NORM["doc_length"])).alias("doc_length"),
@@ -109,11 +118,18 @@ def composite_scores(long: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def word_entropy(docs: DataFrame) -> DataFrame:
-    """(doc_id, entropy): Shannon entropy of the words, in bits; 0 for no words."""
-    words = docs.select("doc_id", F.explode_outer(T.words(F.col("text"))).alias("word"))
-    counts = words.groupBy("doc_id", "word").agg(F.count("word").alias("n"))
-    mean_log = F.try_divide(F.sum(F.col("n") * F.log2("n")), F.sum("n"))
-    return counts.groupBy("doc_id").agg(F.abs(F.coalesce(F.log2(F.sum("n")) - mean_log, F.lit(0.0))).alias("entropy"))
+    """(doc_id, entropy): Shannon entropy of the words, in bits; 0 for no words.
+
+    Counted within the row: equal words stand together in the sorted list, so that a
+    word's count is the distance between the places where it begins; no word is shuffled.
+    """
+    words = docs.select("doc_id", F.array_sort(T.words(F.col("text"))).alias("w"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    listed = words.select("doc_id", F.size("w").alias("n"), F.when(F.size("w") > 0, begins).otherwise(F.array().cast("array<int>")).alias("b"))
+    after = F.concat(F.slice("b", F.lit(2), F.greatest(F.size("b") - 1, F.lit(0))), F.array("n"))
+    counts = listed.select("doc_id", "n", F.when(F.size("b") > 0, F.zip_with(after, "b", lambda x, y: (x - y).cast("double"))).alias("c"))
+    mean_log = F.aggregate("c", F.lit(0.0), lambda a, x: a + x * F.log2(x)) / F.col("n")
+    return counts.select("doc_id", F.when(F.col("n") > 0, F.abs(F.log2(F.col("n").cast("double")) - mean_log)).otherwise(0.0).alias("entropy"))
 
 
 @F.pandas_udf(DoubleType())
@@ -145,21 +161,13 @@ def hash_order(seed: int, column: str = "doc_id") -> Column:
 def split(rows: DataFrame, seed: int, share: float = 0.6, column: str = "doc_id") -> DataFrame:
     """`rows` with `side`: the first floor(share * n) in hash order are `cal`, the rest `eval`.
 
-    The cut is found by a percentile of the hash order's leading bits where ties allow
-    it, so that no task ranks all rows: rows are counted by the first three hex digits,
-    and only those of the digits where the cut falls are ranked.
+    The last row of `cal` is found by counts (`first_in_order`), the rest is a comparison.
     """
-    keyed = rows.withColumn("_h", hash_order(seed, column)).withColumn("_d", F.substring("_h", 1, 3))
-    digits = keyed.groupBy("_d").agg(F.count("*").alias("_n"))
-    upto = digits.select(
-        "_d", F.sum("_n").over(W.orderBy("_d")).alias("_upto"), F.col("_n"), F.sum("_n").over(W.partitionBy()).alias("_all")
-    )  # at most 4096 rows
-    ranked = keyed.join(F.broadcast(upto), "_d").withColumn("_r", F.row_number().over(W.partitionBy("_d").orderBy("_h", column)))
-    place = F.col("_upto") - F.col("_n") + F.col("_r")
-    side = F.when(place <= F.floor(F.col("_all") * F.lit(share)), "cal").otherwise("eval")
-    return ranked.select(*rows.columns, side.alias("side"))
-
-
-def sample(rows: DataFrame, n: int, seed: int, column: str = "doc_id") -> DataFrame:
-    """The first `n` rows in hash order; all, if there are fewer."""
-    return rows.withColumn("_h", hash_order(seed, column)).orderBy("_h", column).limit(n).drop("_h")
+    taken = take_first(rows, hash_order(seed, column), column, F.floor(F.col("n") * F.lit(share)), "_cal")
+    return taken.select(*rows.columns, F.when(F.col("_cal"), "cal").otherwise("eval").alias("side"))
+
+
+def sample(rows: DataFrame, n: int | Column, seed: int, column: str = "doc_id") -> DataFrame:
+    """The first `n` rows in hash order; all, if there are fewer. `n` may be an expression of `n`, the number of rows."""
+    count = F.lit(n) if isinstance(n, int) else n
+    return take_first(rows, hash_order(seed, column), column, count, "_taken").filter("_taken").drop("_taken")

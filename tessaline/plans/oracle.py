@@ -11,7 +11,7 @@ from tessaline.plans import golden
 SPACE = T.SPACE
 SEED = 42
 SEEDS = [42, 7, 123]
-TIER_BOUNDS = {"quarter": "4", "half": "8", "all": "g"}
+TIERS = {"p010": 0.01, "p050": 0.05, "p100": 0.1}
 
 
 def quote(text: str) -> str:
@@ -179,7 +179,12 @@ def hash_order(column: str, seed: int = SEED) -> str:
     return f"md5('{seed}:' || CAST({column} AS VARCHAR))"
 
 
+OVERWRITTEN = f"""overwritten AS (
+  SELECT doc_id, sha256(coalesce(text, '')) AS registered,
+         sha256(CASE WHEN doc_id < greatest(1, floor((SELECT count(*) FROM documents) * 0.05)) THEN pool_text ELSE coalesce(text, '') END) AS sha
+  FROM documents LEFT JOIN {values([(i, t) for i, t in enumerate(G.BASES)], "place, pool_text")} ON doc_id % {len(G.BASES)} = place)"""
 ENCOUNTERS = f"""{scores()},
+{OVERWRITTEN},
 rows AS (SELECT id, v, is_poisoned FROM vecs JOIN docs ON id = doc_id),
 {top(5, "met", source="rows")},
 benign AS (
@@ -196,8 +201,9 @@ flags AS (
   SELECT layer, query_id, adv, doc_id, is_poisoned, excluded, NOT excluded AND tampered AS by_hash,
          NOT excluded AND NOT tampered AND score > tau AS by_score,
          NOT excluded AND (tampered OR score > tau) AS flagged
-  FROM (SELECT m.*, s.layer, s.score, s.is_poisoned, m.doc_id % 37 = 0 AS tampered, u.doc_id IS NOT NULL AND NOT adv AS excluded
-        FROM all_met m JOIN scores s USING (doc_id) LEFT JOIN used u ON u.doc_id = m.doc_id WHERE side = 'eval')
+  FROM (SELECT m.*, s.layer, s.score, s.is_poisoned, t.sha <> t.registered AS tampered, u.doc_id IS NOT NULL AND NOT adv AS excluded
+        FROM all_met m JOIN scores s USING (doc_id) JOIN overwritten t USING (doc_id) LEFT JOIN used u ON u.doc_id = m.doc_id
+        WHERE side = 'eval')
   JOIN taus USING (layer))"""
 
 
@@ -221,10 +227,9 @@ tot AS (
 
 
 def grid(steps: int, ends: int) -> str:
-    return f"""l1 AS (SELECT * FROM scores WHERE layer = 'L1'),
-grid AS (
-  SELECT CAST(step AS INTEGER) AS step, round(lo + step * (hi - lo) / {steps}, 9) AS threshold
-  FROM (SELECT min(score) AS lo, max(score) AS hi, unnest(range({ends})) AS step FROM l1))"""
+    return f"""grid AS (
+  SELECT layer, CAST(step AS INTEGER) AS step, round(lo + step * (hi - lo) / {steps}, 9) AS threshold
+  FROM (SELECT layer, min(score) AS lo, max(score) AS hi, unnest(range({ends})) AS step FROM scores GROUP BY layer))"""
 
 
 RATES = (
@@ -257,7 +262,6 @@ rated AS (
          {percent("count(*) FILTER (adv AND is_poisoned AND NOT hit)", "count(*) FILTER (adv AND is_poisoned)")} AS asr,
          {percent("count(*) FILTER (NOT adv AND NOT is_poisoned AND hit)", "count(*) FILTER (NOT is_poisoned)")} AS doc_fpr
   FROM hits GROUP BY ALL)"""
-RESULTS = f"results AS (SELECT * FROM {values(golden.RESULTS, 'tier, seed, layer, asr, doc_fpr, query_fpr')})"
 
 
 def chance(*parts: str, seed: int = 0) -> str:
@@ -340,18 +344,38 @@ RATES_OF_CAL = f"""cal_rates AS (
   FROM taus)"""
 
 
-def runs() -> str:
+def tier_docs(tier: str, changed: bool = False) -> str:
+    """The labelled documents of a tier; changed: with words dropped from the poisoned ones."""
+    order = hash_order("doc_id", 99)
+    picked = f"""every AS (
+  SELECT *, row_number() OVER (PARTITION BY is_poisoned ORDER BY {order}, doc_id) AS place, count(*) OVER () AS n
+  FROM ({LABELLED.split("(", 1)[1]}),
+tier AS (SELECT doc_id, text, is_poisoned FROM every WHERE NOT is_poisoned OR place <= greatest(1, floor(n * {TIERS[tier]})))"""
+    if not changed:
+        return f"{picked},\ndocs AS (SELECT * FROM tier)"
+    return f"""{picked},
+pieces AS (
+  SELECT doc_id, text, list_filter(string_split_regex(text, '{SPACE}'), lambda w: w <> '') AS w, 0.15 + 0.1 * {chance("doc_id")} AS rate
+  FROM tier WHERE is_poisoned),
+piece AS (SELECT doc_id, w, rate, unnest(w) AS word, unnest(range(len(w))) AS i FROM pieces WHERE len(w) >= 20),
+fewer AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM piece
+  WHERE i < 10 OR i >= len(w) - 10 OR {chance("doc_id", "i")} > rate GROUP BY doc_id),
+docs AS (SELECT doc_id, coalesce(t, text) AS text, is_poisoned FROM tier LEFT JOIN fewer USING (doc_id))"""
+
+
+def run(tier: str, seed: int, changed: bool = False) -> str:
+    """The confusion of one tier and seed."""
+    made = CONFUSION.replace(LABELLED, tier_docs(tier, changed)).replace(hash_order("id"), hash_order("id", seed))
+    return (
+        f"SELECT '{tier}' AS tier, {seed} AS seed, * FROM (WITH {made}, {RATES_OF_CAL}, con AS ({CONFUSED}) "
+        "SELECT * FROM con JOIN cal_rates USING (layer))"
+    )
+
+
+def runs(tiers: list[str] | None = None, name: str = "runs", changed: bool = False) -> str:
     """A CTE with the confusion of every tier and seed."""
-    parts = []
-    for tier, bound in TIER_BOUNDS.items():
-        kept = LABELLED[:-1] + f" AND (toxic = 0 OR {hash_order('d.doc_id', 99)} < '{bound}'))"
-        for seed in SEEDS:
-            made = CONFUSION.replace(LABELLED, kept).replace(hash_order("id"), hash_order("id", seed))
-            parts.append(
-                f"SELECT '{tier}' AS tier, {seed} AS seed, * FROM (WITH {made}, {RATES_OF_CAL}, con AS ({CONFUSED}) "
-                "SELECT * FROM con JOIN cal_rates USING (layer))"
-            )
-    return "runs AS (" + "\nUNION ALL ".join(parts) + ")"
+    return f"{name} AS (" + "\nUNION ALL ".join(run(t, s, changed) for t in tiers or TIERS for s in SEEDS) + ")"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -360,9 +384,8 @@ def oracle_sql() -> dict[str, str]:
     first = f"list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'), lambda s: {strip('s')}), lambda s: length(s) > 15)"
     pool = values([(i, t) for i, t in enumerate(G.BASES)], "place, pool_text")
     targets = values([(t, a, f) for t, (a, f) in R.TIER_TARGETS.items()], "tier, asr_target, fpr_target")
-    adaptive = values([(s, k, a, f) for s in (7, 42, 123) for k, (a, f) in golden.ADAPTIVE.items()], "seed, layer, asr, doc_fpr")
-    snrs = values([(s, *v) for s, v in golden.SNRS.items()], "signal, p010, p050, p100")
-    plain = values([(s, v[1]) for s, v in golden.SNRS.items()], "signal, snr")
+    results = runs(name="results")
+    of_tier = lambda t: f"WITH {long()}, {STATS} SELECT signal, snr FROM stats".replace(LABELLED, tier_docs(t))
     return {
         "corpus_scan": f"""WITH {DOCS} SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha
 FROM (SELECT doc_id, {strip("text")} AS t FROM docs) WHERE length(t) > 300 ORDER BY doc_id LIMIT 100000""",
@@ -430,6 +453,7 @@ SELECT id, round(list_distance(v, list_transform(v, lambda x: round(x, 1))), 6)
         "retrieved_class_counts": f"""WITH {VECTORS}, {top(5)},
 hits AS (SELECT query_id, count(*) FILTER (label = 0) AS n FROM top JOIN vecs USING (id) GROUP BY query_id)
 SELECT label = 0 AS adv, count(*) AS queries, round(avg(n), 6) AS mean_hits FROM hits JOIN vecs ON id = query_id GROUP BY 1""",
+        "registry_versions": f"WITH {OVERWRITTEN} SELECT doc_id, sha, CASE WHEN sha <> registered THEN 2 ELSE 1 END AS version FROM overwritten",
         "encounter_flags": f"WITH {ENCOUNTERS} SELECT * FROM flags",
         "confusion_by_layer": f"WITH {CONFUSION} {CONFUSED}",
         "seed_tier_runs": f"WITH {runs()} SELECT * REPLACE (round(tau, 6) AS tau, round(cal_fpr, 6) AS cal_fpr, round(cal_tpr, 6) AS cal_tpr) FROM runs",
@@ -443,9 +467,9 @@ w AS (
   SELECT seed, tier, max(asr) FILTER (layer = 'L1') AS a1, max(asr) FILTER (layer = 'L2') AS a2, max(asr) FILTER (layer = 'L3') AS a3,
          max(doc_fpr) AS f, max(cal_tpr) FILTER (layer = 'L3') AS tpr FROM runs GROUP BY ALL),
 r AS (
-  SELECT seed, tier, list_position([{", ".join(map(quote, TIER_BOUNDS))}], tier) AS place,
+  SELECT seed, tier, list_position([{", ".join(map(quote, TIERS))}], tier) AS place,
          CASE WHEN a1 > 1 THEN 'L1 asr' WHEN a2 > 15 THEN 'L2 asr' WHEN a3 > 50 THEN 'L3 asr' WHEN f > 5 THEN 'fpr'
-              WHEN tier = {quote(list(TIER_BOUNDS)[-1])} AND a3 = 0 AND tpr >= 1 THEN 'saturated' END AS reason FROM w)
+              WHEN tier = {quote(list(TIERS)[-1])} AND a3 = 0 AND tpr >= 1 THEN 'saturated' END AS reason FROM w)
 SELECT seed, tier, reason, NOT EXISTS (SELECT 1 FROM r e WHERE e.seed = r.seed AND e.place < r.place AND e.reason IS NOT NULL) AS reached FROM r""",
         "older_gate": f"""WITH {ENCOUNTERS}, {RATES_OF_CAL},
 g AS (
@@ -466,7 +490,7 @@ FROM cal_rates JOIN w USING (layer), norm""",
 d AS (SELECT count(*) AS corpus, count(*) FILTER (is_poisoned) AS poisoned FROM docs),
 b AS (SELECT count(*) AS benign_q FROM queries WHERE side = 'eval' AND NOT adv)
 SELECT corpus, poisoned, round(poisoned / corpus, 6) AS poison_ratio, CAST({SEED} AS BIGINT) AS cal_seed, benign_q, layer, asr, doc_fpr,
-       query_fpr, round(tau, 6) AS tau, TRUE AS weighted, tp AS "TP", fn AS "FN", fp AS "FP", tn AS "TN",
+       query_fpr, round(tau, 6) AS tau, TRUE AS weighted, TRUE AS timed, tp AS "TP", fn AS "FN", fp AS "FP", tn AS "TN",
        attempts AS poison_encounters, clean_seen, hash_catches, score_catches
 FROM con JOIN taus USING (layer), d, b""",
         "relative_threshold_flags": f"""WITH {RECORDS},
@@ -476,24 +500,28 @@ SELECT query_id, adv, id, is_poisoned, {r6("score")},
         "absolute_threshold_flags": f"""WITH {RECORDS}
 SELECT adv, is_poisoned, count(*) AS n, count(*) FILTER (score > 0.4516) AS n_flagged FROM records GROUP BY ALL""",
         "threshold_sweep": f"""WITH {scores()}, {grid(15, 15)}
-SELECT step, {r6("threshold", "tpr", "fpr")} FROM (SELECT step, threshold, {RATES} FROM l1, grid GROUP BY ALL)""",
+SELECT layer, step, {r6("threshold", "tpr", "fpr")} FROM (SELECT layer, step, threshold, {RATES} FROM scores JOIN grid USING (layer) GROUP BY ALL)""",
         "youden_best": f"""WITH {scores()}, {grid(20, 21)}
-SELECT {r6("threshold", "youden")} FROM (
-  SELECT step, threshold, round(tpr - fpr, 9) AS youden FROM (SELECT step, threshold, {RATES} FROM l1, grid GROUP BY ALL))
-ORDER BY round(youden, 9) DESC, step LIMIT 1""",
+SELECT layer, {r6("threshold", "youden")} FROM (
+  SELECT *, row_number() OVER (PARTITION BY layer ORDER BY youden DESC, step) AS place FROM (
+    SELECT layer, step, threshold, round(tpr - fpr, 9) AS youden
+    FROM (SELECT layer, step, threshold, {RATES} FROM scores JOIN grid USING (layer) GROUP BY ALL)))
+WHERE place = 1""",
         "hybrid_grid": f"""WITH {RATED}
 SELECT config, {r6("n_std", "min_abs", "abs_high", "asr", "doc_fpr")},
        CASE WHEN asr < 20 AND doc_fpr < 10 THEN 'best' WHEN asr < 20 AND doc_fpr < 15 THEN 'good' ELSE '' END AS note FROM rated""",
         "best_candidates": f"""WITH {RATED}, c AS (SELECT config, round(round(asr, 6) + round(doc_fpr, 6), 6) AS cost FROM rated)
 SELECT config, cost FROM c ORDER BY cost, config LIMIT 10""",
-        "midpoint_eval": f"""WITH {scores()}, l1 AS (SELECT * FROM scores WHERE layer = 'L1'),
-mid AS (SELECT (quantile_cont(score, 0.95) FILTER (NOT is_poisoned) + quantile_cont(score, 0.05) FILTER (is_poisoned)) / 2 AS mid FROM l1),
-grid AS (SELECT round(mid + unnest([-0.02, 0.0, 0.02]::DOUBLE[]), 9) AS threshold FROM mid)
-SELECT {r6("threshold", "fpr", "tpr")} FROM (SELECT threshold, {RATES} FROM l1, grid GROUP BY ALL)""",
+        "midpoint_eval": f"""WITH {scores()},
+mid AS (
+  SELECT layer, (quantile_cont(score, 0.95) FILTER (NOT is_poisoned) + quantile_cont(score, 0.05) FILTER (is_poisoned)) / 2 AS mid
+  FROM scores GROUP BY layer),
+grid AS (SELECT layer, round(mid + unnest([-0.02, 0.0, 0.02]::DOUBLE[]), 9) AS threshold FROM mid)
+SELECT layer, {r6("threshold", "fpr", "tpr")} FROM (SELECT layer, threshold, {RATES} FROM scores JOIN grid USING (layer) GROUP BY ALL)""",
         "quantile_profile": f"""WITH {scores()}
-SELECT is_poisoned, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std,
+SELECT layer, is_poisoned, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std,
        {", ".join(f"round(quantile_cont(score, {p}), 6) AS p{round(100 * p):02d}" for p in (0.05, 0.10, 0.25, 0.50, 0.85, 0.90, 0.95))}
-FROM scores WHERE layer = 'L1' GROUP BY is_poisoned""",
+FROM scores GROUP BY layer, is_poisoned""",
         "injection_overwrite": f"""WITH {DOCS}, cut AS (SELECT greatest(1, floor(count(*) * 0.05)) AS cut FROM docs),
 pool AS (SELECT * FROM {pool})
 SELECT doc_id, sha256(CASE WHEN doc_id < cut THEN pool_text ELSE text END) AS sha, doc_id < cut AS is_poisoned
@@ -520,16 +548,17 @@ FROM events GROUP BY event_type""",
 SELECT layer, attempts > 0 AND {percent("successes", "attempts")} < 50 AND {percent("fp_docs", "clean_seen")} < 5 AS passed FROM tot""",
         "smoke_gate_strict": f"""WITH {CONFUSION}
 SELECT layer, attempts > 100 AND {percent("successes", "attempts")} < 50 AND {percent("fp_docs", "clean_seen")} < 5 AS passed FROM tot""",
-        "against_constants": f"""WITH {RESULTS}, m AS (SELECT layer, avg(asr) AS asr FROM results GROUP BY layer)
+        "against_constants": f"""WITH {results}, m AS (SELECT layer, avg(asr) AS asr FROM results GROUP BY layer)
 SELECT layer, name, asr < other AS lower FROM m, {values(list(golden.ELSEWHERE.items()), "name, other")}""",
-        "signal_tier_pivot": f"SELECT * FROM {snrs}",
-        "golden_weights": f"WITH {weights(f'(SELECT * FROM {plain})', 0.5)} SELECT * FROM weights",
-        "adaptive_vs_baseline": f"""WITH {RESULTS}, b AS (SELECT * FROM results WHERE tier = 'p050'), a AS (SELECT * FROM {adaptive}),
+        "signal_tier_pivot": f"""SELECT signal, {", ".join(f"round({t}, 5) AS {t}" for t in TIERS)}
+FROM {" FULL JOIN ".join(f"(SELECT signal, snr AS {t} FROM ({of_tier(t)}))" + (" USING (signal)" if i else "") for i, t in enumerate(TIERS))}""",
+        "golden_weights": f"WITH {long()}, {STATS}, {weights('stats', 0.5)} SELECT * FROM weights".replace(LABELLED, tier_docs("p050")),
+        "adaptive_vs_baseline": f"""WITH {runs(["p050"], "b")}, {runs(["p050"], "a", True)},
 m AS (
   SELECT layer, avg(b.asr) AS asr_base, avg(a.asr) AS asr_new, avg(b.doc_fpr) AS fpr_base, avg(a.doc_fpr) AS fpr_new
   FROM b FULL JOIN a USING (seed, layer) GROUP BY layer)
-SELECT layer, {r6("asr_base", "asr_new", "fpr_base", "fpr_new")}, round(asr_new - asr_base, 6) AS asr_delta,
-       round(fpr_new - fpr_base, 6) AS fpr_delta,
+SELECT layer, {", ".join(f"round({c}, 5) AS {c}" for c in ("asr_base", "asr_new", "fpr_base", "fpr_new"))}, round(asr_new - asr_base, 5) AS asr_delta,
+       round(fpr_new - fpr_base, 5) AS fpr_delta,
        CASE WHEN asr_new - asr_base < 5 THEN 'holds' WHEN asr_new < 25 THEN 'partially' ELSE 'defeated' END AS verdict FROM m""",
         "token_dropout": f"""WITH {DOCS},
 w AS (
@@ -548,22 +577,22 @@ j AS (SELECT doc_id, string_agg(x, '. ' ORDER BY md5('0:' || CAST(doc_id AS VARC
 o AS (SELECT s.doc_id, CASE WHEN len(s) < 4 THEN text ELSE s[1] || '. ' || t || '. ' || s[len(s)] || '.' END AS t FROM s LEFT JOIN j USING (doc_id))
 SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha FROM o""",
         "synonym_swap": synonym_sql(),
-        "multi_seed_aggregate": f"""WITH {RESULTS}
-SELECT layer, tier, count(*) AS seeds, round(avg(asr), 6) AS asr_mean, round(stddev_pop(asr), 6) AS asr_std_pop,
-       round(stddev_samp(asr), 6) AS asr_std, round(max(asr), 6) AS asr_max, round(avg(doc_fpr), 6) AS doc_fpr_mean,
-       round(stddev_pop(doc_fpr), 6) AS doc_fpr_std_pop, round(stddev_samp(doc_fpr), 6) AS doc_fpr_std,
-       round(max(doc_fpr), 6) AS doc_fpr_max FROM results GROUP BY ALL""",
-        "worst_case": f"WITH {RESULTS} SELECT seed, max(asr) AS worst_asr, max(doc_fpr) AS worst_fpr FROM results GROUP BY seed",
-        "grand_mean": f"""WITH {RESULTS}, t AS (SELECT layer, tier, avg(asr) AS asr, avg(doc_fpr) AS doc_fpr FROM results GROUP BY ALL)
-SELECT layer, round(avg(asr), 6) AS asr, round(avg(doc_fpr), 6) AS doc_fpr FROM t GROUP BY layer""",
-        "gate_verdicts": f"""WITH {RESULTS}, t AS (
+        "multi_seed_aggregate": f"""WITH {results}
+SELECT layer, tier, count(*) AS seeds, round(avg(asr), 5) AS asr_mean, round(stddev_pop(asr), 5) AS asr_std_pop,
+       round(stddev_samp(asr), 5) AS asr_std, round(max(asr), 5) AS asr_max, round(avg(doc_fpr), 5) AS doc_fpr_mean,
+       round(stddev_pop(doc_fpr), 5) AS doc_fpr_std_pop, round(stddev_samp(doc_fpr), 5) AS doc_fpr_std,
+       round(max(doc_fpr), 5) AS doc_fpr_max FROM results GROUP BY ALL""",
+        "worst_case": f"WITH {results} SELECT seed, round(max(asr), 5) AS worst_asr, round(max(doc_fpr), 5) AS worst_fpr FROM results GROUP BY seed",
+        "grand_mean": f"""WITH {results}, t AS (SELECT layer, tier, avg(asr) AS asr, avg(doc_fpr) AS doc_fpr FROM results GROUP BY ALL)
+SELECT layer, round(avg(asr), 5) AS asr, round(avg(doc_fpr), 5) AS doc_fpr FROM t GROUP BY layer""",
+        "gate_verdicts": f"""WITH {results}, t AS (
   SELECT layer, tier, avg(asr) AS a, avg(doc_fpr) AS f, max(doc_fpr) AS w FROM results GROUP BY ALL), g AS (SELECT * FROM {targets})
 SELECT layer, tier, a <= {R.GATE["asr"]} AND f <= {R.GATE["fpr"]} AND w <= {R.GATE["worst_fpr"]} AS passed,
        CASE WHEN layer = 'L1' THEN a <= asr_target AND f <= fpr_target END AS on_target FROM t LEFT JOIN g USING (tier)""",
-        "stability": f"""WITH {RESULTS}, t AS (SELECT layer, tier, avg(asr) AS asr, avg(doc_fpr) AS doc_fpr FROM results GROUP BY ALL)
-SELECT layer, round(max(asr) - min(asr), 6) AS asr_range,
+        "stability": f"""WITH {results}, t AS (SELECT layer, tier, avg(asr) AS asr, avg(doc_fpr) AS doc_fpr FROM results GROUP BY ALL)
+SELECT layer, round(max(asr) - min(asr), 5) AS asr_range,
        max(asr) - min(asr) < 8 AND bool_and(doc_fpr < 5) AND bool_and(asr < 30) AS stable FROM t GROUP BY layer""",
-        "monotonicity": f"""WITH {RESULTS}, w AS (
+        "monotonicity": f"""WITH {results}, w AS (
   SELECT seed, tier, max(asr) FILTER (layer = 'L1') AS a, max(asr) FILTER (layer = 'L2') AS b, max(asr) FILTER (layer = 'L3') AS c
   FROM results GROUP BY ALL)
 SELECT seed, tier, (a <= b AND b <= c) OR greatest(a, b, c) - least(a, b, c) <= 5 AS monotone FROM w""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,10 @@ from tessaline.operators import generate as G
 from tessaline.operators import neighbours as N
 from tessaline.operators import reports as R
 from tessaline.operators import signals as S
+from tessaline.operators.registry import HashRegistry
 from tessaline.plans import golden
 from tessaline.sources import tables as IO
+from tessaline.sources.phases import Phases
 from tessaline.sources.shared import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +30,11 @@ NO_GATE = 0.0
 SEED = 42
 #: Seeds that the benign queries are split by.
 SEEDS = [42, 7, 123]
-#: Tier: bound of the hash below which a poisoned document stays (a quarter, a half, all of them).
-TIER_BOUNDS = {"quarter": "4", "half": "8", "all": "g"}
+#: Tier: share of all labelled documents that poisoned ones make up (fewer, where there aren't as many).
+TIERS = {"p010": 0.01, "p050": 0.05, "p100": 0.10}
+MIDDLE = "p050"
+#: Share of the documents, by id, that are overwritten after the hashes were registered.
+OVERWRITTEN = 0.05
 #: Number of benign queries drawn; fewer where there are fewer clean documents.
 BENIGN_QUERIES = 2000
 QUERY_TARGET = 0.05
@@ -59,23 +66,76 @@ def norm_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.norm_config(IO.labelled(spark, sf_dir)))
 
 
+def _phase(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], **settings: object) -> DataFrame:
+    """A phase that several queries share, worked out by the first of them."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels", "embeddings")]
+    return Phases(spark).get(name, inputs, settings, make)
+
+
 def _vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, topic_drift, cluster_coh) of every vector."""
-    vectors = IO.vectors(spark, sf_dir)
-    near = N.coherence(_top(spark, sf_dir, 5), vectors).withColumnRenamed("query_id", "id")
-    return rounded(N.topic_drift(vectors).join(near, "id", "left"), 9).withColumnRenamed("id", "doc_id")
+
+    def make() -> DataFrame:
+        vectors = IO.vectors(spark, sf_dir)
+        near = N.coherence(_top(spark, sf_dir, 5), vectors).withColumnRenamed("query_id", "id")
+        return rounded(N.topic_drift(vectors).join(near, "id", "left"), 9).withColumnRenamed("id", "doc_id")
+
+    return _phase(spark, sf_dir, "vector_signals", make)
+
+
+def _tier_ids(spark: SparkSession, sf_dir: str, tier: str | None) -> DataFrame:
+    """(doc_id, is_poisoned) of a tier: all clean labelled documents, and of the poisoned ones the first in hash order."""
+
+    def make() -> DataFrame:
+        ids = stored(IO.labelled(spark, sf_dir).select("doc_id", "is_poisoned"))
+        if tier is None:
+            return ids
+        most = max(1, int(ids.count() * TIERS[tier]))
+        return ids.filter(~F.col("is_poisoned")).unionByName(S.sample(ids.filter("is_poisoned"), most, 99))
+
+    return _phase(spark, sf_dir, "tier", make, tier=tier, share=TIERS.get(tier or ""))
+
+
+def _tier_docs(spark: SparkSession, sf_dir: str, tier: str | None, changed: bool = False) -> DataFrame:
+    """The labelled documents of a tier (doc_id, text, is_poisoned).
+
+    changed: the poisoned texts with words dropped, as an attacker who adapts would.
+    """
+    docs = IO.labelled(spark, sf_dir)
+    if tier is not None:
+        docs = docs.join(_tier_ids(spark, sf_dir, tier).select("doc_id"), "doc_id", "left_semi")
+    if changed:
+        dropped = G.drop_tokens(docs.filter("is_poisoned").select("doc_id", "text")).withColumn("is_poisoned", F.lit(True))
+        docs = docs.filter(~F.col("is_poisoned")).unionByName(dropped)
+    return docs
 
 
-def _long(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, of_vector: DataFrame | None = None) -> DataFrame:
-    """The signals of labelled documents, one row each; worked out once and stored, as later steps read them again.
+def _signals(spark: SparkSession, sf_dir: str, tier: str | None = None, changed: bool = False) -> DataFrame:
+    """The signals of a tier's documents (by default of all labelled ones) with the tier's scales, a row a document.
 
-    Topic drift and cluster coherence are of the document's vector; a document without
-    one has no rows for them.
+    Topic drift and cluster coherence are of the document's vector; null without one.
     """
-    docs = IO.labelled(spark, sf_dir) if docs is None else docs
-    of_vector = _vector_signals(spark, sf_dir) if of_vector is None else of_vector
-    wide = rounded(S.signals(S.raw_features(docs), S.norm_config(docs)).select("doc_id", "is_poisoned", *T.SIGNALS), 9)
-    return S.unpivot(stored(wide.join(of_vector, "doc_id", "left")), T.SIGNALS + T.VECTOR_SIGNALS).filter("value IS NOT NULL")
+
+    def make() -> DataFrame:
+        raw = stored(S.raw_features(_tier_docs(spark, sf_dir, tier, changed)))
+        wide = rounded(S.signals(raw, S.norm_of_raw(raw)).select("doc_id", "is_poisoned", *T.SIGNALS), 9)
+        return wide.join(_vector_signals(spark, sf_dir), "doc_id", "left")
+
+    return _phase(spark, sf_dir, "signals", make, tier=tier, changed=changed)
+
+
+def _long(spark: SparkSession, sf_dir: str, tier: str | None = None, changed: bool = False) -> DataFrame:
+    """`_signals` with a row for each document and signal that it has."""
+    wide = _signals(spark, sf_dir, tier, changed)
+    return S.unpivot(wide, T.SIGNALS + T.VECTOR_SIGNALS).filter("value IS NOT NULL")
+
+
+def _scores_of(spark: SparkSession, sf_dir: str, tier: str | None = None, changed: bool = False) -> DataFrame:
+    def make() -> DataFrame:
+        long = _long(spark, sf_dir, tier, changed)
+        return S.composite_scores(long, stored(_weights(long)))
+
+    return _phase(spark, sf_dir, "scores", make, tier=tier, changed=changed)
 
 
 def class_signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +160,7 @@ def layer_weights_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = _long(spark, sf_dir)
-    return stored(S.composite_scores(long, _weights(long)))
+    return _scores_of(spark, sf_dir)
 
 
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,12 +305,46 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deviation.join(label, "id").join(own, "query_id").select("query_id", "adv", "id", "is_poisoned", F.round("a_score", 9).alias("score"))
 
 
-def _meetings(spark: SparkSession, sf_dir: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, is_poisoned) of the documents with label and vector, and (query_id, doc_id) of the five nearest of each."""
-    rows = IO.vectors(spark, sf_dir).select("id", "v").join(docs.select(F.col("doc_id").alias("id"), "is_poisoned"), "id")
-    pool = rows.select("id", "v")
-    near = N.top_k(pool, pool, 5)
-    return rows.select("id", "is_poisoned"), stored(near.select("query_id", F.col("id").alias("doc_id")))
+def _rows(spark: SparkSession, sf_dir: str, tier: str | None = None) -> DataFrame:
+    """(id, is_poisoned) of the tier's documents that have a vector."""
+
+    def make() -> DataFrame:
+        ids = _tier_ids(spark, sf_dir, tier).select(F.col("doc_id").alias("id"), "is_poisoned")
+        return ids.join(IO.vectors(spark, sf_dir).filter("v IS NOT NULL").select("id"), "id")
+
+    return _phase(spark, sf_dir, "rows", make, tier=tier)
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each labelled document with a vector, among all of them; tiers pick theirs from it."""
+
+    def make() -> DataFrame:
+        pool = IO.vectors(spark, sf_dir).select("id", "v").join(_rows(spark, sf_dir).select("id"), "id", "left_semi")
+        return N.top_k(pool, pool, 20)
+
+    return _phase(spark, sf_dir, "fetched", make)
+
+
+def _met(spark: SparkSession, sf_dir: str, tier: str | None = None) -> DataFrame:
+    """(query_id, doc_id): the five nearest of each document of the tier, among its documents."""
+
+    def make() -> DataFrame:
+        rows = _rows(spark, sf_dir, tier).select("id")
+        vectors = IO.vectors(spark, sf_dir).select("id", "v").join(rows, "id", "left_semi")
+        return N.within(_fetched(spark, sf_dir), 20, rows, vectors, 5).select("query_id", F.col("id").alias("doc_id"))
+
+    return _phase(spark, sf_dir, "met", make, tier=tier)
+
+
+def _tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, tampered): the corpus was registered, then the first of its ids were overwritten."""
+
+    def make() -> DataFrame:
+        registry = HashRegistry(spark, new_path(spark))
+        registry.register(IO.documents(spark, sf_dir))
+        return registry.flags(G.inject(IO.documents(spark, sf_dir), G.BASES, OVERWRITTEN).select("doc_id", "text"))
+
+    return _phase(spark, sf_dir, "tampered", make, share=OVERWRITTEN)
 
 
 class Evaluation:
@@ -261,17 +354,20 @@ class Evaluation:
     benign queries calibrate, the rest and all attacks evaluate.
     """
 
-    def __init__(self, scores: DataFrame, rows: DataFrame, met: DataFrame, seed: int = SEED):
+    def __init__(self, scores: DataFrame, rows: DataFrame, met: DataFrame, tampered: DataFrame, seed: int = SEED):
+        """What later steps read several times (queries, calibration encounters, thresholds) is stored."""
         benign = S.split(rows.filter(~F.col("is_poisoned")).select(F.col("id").alias("doc_id")), seed)
-        queries = benign.select(F.col("doc_id").alias("query_id"), F.lit(False).alias("adv"), "side").unionByName(
-            rows.filter("is_poisoned").select(F.col("id").alias("query_id"), F.lit(True).alias("adv"), F.lit("eval").alias("side"))
+        queries = stored(
+            benign.select(F.col("doc_id").alias("query_id"), F.lit(False).alias("adv"), "side").unionByName(
+                rows.filter("is_poisoned").select(F.col("id").alias("query_id"), F.lit(True).alias("adv"), F.lit("eval").alias("side"))
+            )
         )
         all_met = met.join(queries, "query_id")
         calibration = all_met.filter("side = 'cal'")
         enough = calibration.groupBy("query_id").agg(F.count("*").alias("n")).filter("n >= 2").select("query_id")
-        calibrating = calibration.join(enough, "query_id").join(scores, "doc_id")
-        used = calibration.select("doc_id").distinct()
-        self.taus = D.calibrate(calibrating, target=QUERY_TARGET)
+        calibrating = stored(calibration.join(enough, "query_id").join(scores, "doc_id"))
+        used = stored(calibration.select("doc_id").distinct())
+        self.taus = stored(D.calibrate(calibrating, target=QUERY_TARGET))
         self.queries = queries.filter("side = 'eval'")
         self.calibration_ids = used
         #: FPR of the calibration encounters, TPR of all poisoned documents.
@@ -281,10 +377,11 @@ class Evaluation:
         self.encounters = (
             all_met.filter("side = 'eval'")
             .join(used.withColumn("in_calibration", F.lit(True)), "doc_id", "left")
+            .join(tampered, "doc_id", "left")
             .join(scores, "doc_id")
             .select(
                 "query_id", "adv", "doc_id", "is_poisoned", F.coalesce("in_calibration", F.lit(False)).alias("in_calibration"),
-                (F.col("doc_id") % 37 == 0).alias("tampered"), "layer", "score",
+                F.coalesce("tampered", F.lit(True)).alias("tampered"), "layer", "score",
             )
         )
 
@@ -295,8 +392,17 @@ class Evaluation:
         return found.crossJoin(F.broadcast(benign)).withColumn("query_fpr", rate).drop("benign")  # one row
 
 
-def _evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
-    return Evaluation(_scores(spark, sf_dir), *_meetings(spark, sf_dir, IO.labelled(spark, sf_dir)))
+def _evaluation(spark: SparkSession, sf_dir: str, tier: str | None = None, seed: int = SEED, changed: bool = False) -> Evaluation:
+    scores = _scores_of(spark, sf_dir, tier, changed)
+    return Evaluation(scores, _rows(spark, sf_dir, tier), _met(spark, sf_dir, tier), _tampered(spark, sf_dir), seed)
+
+
+def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after the overwritten corpus was registered too: a second version, of the changed ids alone."""
+    registry = HashRegistry(spark, new_path(spark))
+    registry.register(IO.documents(spark, sf_dir))
+    registry.register(G.inject(IO.documents(spark, sf_dir), G.BASES, OVERWRITTEN))
+    return registry.current()
 
 
 def encounter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,25 +414,29 @@ def confusion_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_evaluation(spark, sf_dir).confusion())
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion by layer, with threshold and calibration rates, of every tier and seed.
+def _run(spark: SparkSession, sf_dir: str, tier: str, seed: int, changed: bool = False) -> DataFrame:
+    """Confusion by layer, with threshold and calibration rates, of one tier and seed; a phase of its own."""
 
-    A tier keeps the poisoned documents whose hash is below its bound. Signals of
-    vectors are worked out once, scores and encounters once a tier; only the split
-    and what follows is made for each seed.
-    """
-    of_vector, runs = stored(_vector_signals(spark, sf_dir)), []
-    for tier, bound in TIER_BOUNDS.items():
-        docs = stored(IO.labelled(spark, sf_dir).filter(~F.col("is_poisoned") | (S.hash_order(99) < bound)))
-        long = _long(spark, sf_dir, docs, of_vector)
-        scores, (rows, met) = stored(S.composite_scores(long, _weights(long))), _meetings(spark, sf_dir, docs)
-        rows = stored(rows)
-        for seed in SEEDS:
-            found = Evaluation(scores, rows, met, seed)
-            rates = found.rates.select("layer", "tau", F.col("fpr").alias("cal_fpr"), F.col("tpr").alias("cal_tpr"))
-            named = found.confusion().join(F.broadcast(rates), "layer")
-            runs.append(named.select(F.lit(tier).alias("tier"), F.lit(seed).alias("seed"), "*"))
-    return stored(rounded(reduce(DataFrame.unionByName, runs)))
+    def make() -> DataFrame:
+        found = _evaluation(spark, sf_dir, tier, seed, changed)
+        rates = found.rates.select("layer", "tau", F.col("fpr").alias("cal_fpr"), F.col("tpr").alias("cal_tpr"))
+        named = found.confusion().join(F.broadcast(rates), "layer")
+        return rounded(named.select(F.lit(tier).alias("tier"), F.lit(seed).alias("seed"), "*"))
+
+    settings = {"gate": NO_GATE, "target": QUERY_TARGET, "share": TIERS[tier], "changed": changed}
+    return _phase(spark, sf_dir, f"run,tier={tier},seed={seed}", make, **settings)
+
+
+def _runs(spark: SparkSession, sf_dir: str, tiers: list[str] | None = None, changed: bool = False) -> DataFrame:
+    """All tiers and seeds. Finished runs are read; what the seeds of a tier share is worked out once, then seeds run side by side."""
+    found = []
+    for tier in tiers or list(TIERS):
+        _scores_of(spark, sf_dir, tier, changed)
+        _met(spark, sf_dir, tier)
+        _tampered(spark, sf_dir)
+        with ThreadPoolExecutor(len(SEEDS)) as pool:
+            found += pool.map(lambda seed: _run(spark, sf_dir, tier, seed, changed), SEEDS)  # noqa: B023
+    return reduce(DataFrame.unionByName, found)
 
 
 def seed_tier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,25 +449,24 @@ def seed_tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hard_stops(_runs(spark, sf_dir), list(TIER_BOUNDS))
+    return R.hard_stops(_runs(spark, sf_dir), list(TIERS))
 
 
 def older_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = _long(spark, sf_dir)
-    scores = stored(S.composite_scores(long, _weights(long)))
-    found = Evaluation(scores, *_meetings(spark, sf_dir, IO.labelled(spark, sf_dir)))
-    return rounded(R.older_gate(S.class_stats(long), found.rates))
+    return rounded(R.older_gate(S.class_stats(_long(spark, sf_dir)), _evaluation(spark, sf_dir).rates))
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Evaluation]:
+    """The calibration, a row a layer, and its evaluation."""
+    stats = stored(rounded(S.class_stats(_long(spark, sf_dir)), 9))
+    weights, found = S.layer_weights(stats, least=NO_GATE), _evaluation(spark, sf_dir)
+    return IO.checkpoint_model(found.rates, weights, stats, S.norm_config(IO.labelled(spark, sf_dir)), QUERY_TARGET, SEED), found
 
 
 def _checkpoint(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The calibration written to the shared folder and read again: a row a layer, and the calibration documents."""
-    docs = stored(IO.labelled(spark, sf_dir))
-    long = _long(spark, sf_dir, docs)
-    stats = stored(rounded(S.class_stats(long), 9))
-    weights = stored(S.layer_weights(stats, least=NO_GATE))
-    found = Evaluation(stored(S.composite_scores(long, weights)), *_meetings(spark, sf_dir, docs))
+    model, found = _model(spark, sf_dir)
     path = new_path(spark)
-    model = IO.checkpoint_model(found.rates, weights, stats, S.norm_config(docs), QUERY_TARGET, SEED)
     IO.write_checkpoint(model, found.calibration_ids, path)
     return IO.read_checkpoint(spark, path)
 
@@ -379,17 +488,22 @@ def calibration_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result document of a run, written as JSON and read again, its layers as rows."""
-    docs = stored(IO.labelled(spark, sf_dir))
-    long = _long(spark, sf_dir, docs)
-    stats = stored(rounded(S.class_stats(long), 9))
-    weights = stored(S.layer_weights(stats, least=NO_GATE))
-    found = Evaluation(stored(S.composite_scores(long, weights)), *_meetings(spark, sf_dir, docs))
-    model = IO.checkpoint_model(found.rates, weights, stats, S.norm_config(docs), QUERY_TARGET, SEED)
-    corpus = docs.agg(F.count("*").alias("corpus"), F.count_if("is_poisoned").alias("poisoned"))
+    """The result document of a run, written as JSON and read again, its layers as rows.
+
+    The document has the latency measured (the time of the evaluation over its queries); as it differs each time, the
+    rows say only that it is there.
+    """
+    model, found = _model(spark, sf_dir)
+    began = time.perf_counter()
+    confusion = stored(rounded(found.confusion()))
+    took = 1000 * (time.perf_counter() - began)
+    corpus = IO.labelled(spark, sf_dir).agg(F.count("*").alias("corpus"), F.count_if("is_poisoned").alias("poisoned"))
     benign = found.queries.agg(F.count_if(~F.col("adv")).alias("benign_q"))
+    queries = found.queries.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    mean = F.lit(took) / F.col("n")
+    latency = confusion.select("layer").crossJoin(queries).select("layer", mean.alias("mean"), mean.alias("p95"))  # one batch: all alike
     path = new_path(spark)
-    IO.write_results(IO.result_document(corpus.crossJoin(benign), model, rounded(found.confusion())), path)
+    IO.write_results(IO.result_document(corpus.crossJoin(benign), model, confusion, latency), path)
     read = IO.read_results(spark, path, path + "-missing")
     layers = F.explode(F.map_entries(F.create_map(*[c for k in IO.LAYERS for c in (F.lit(k), F.col(k))])))
     flat = read.select("corpus", "poisoned", "poison_ratio", "cal_seed", "benign_q", layers.alias("e")).filter("e.value IS NOT NULL")
@@ -397,7 +511,7 @@ def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         flat.select(
             "corpus", "poisoned", "poison_ratio", "cal_seed", "benign_q", "layer", "asr", "doc_fpr", "query_fpr", "tau",
-            F.map_values("weights")[0].isNotNull().alias("weighted"), "counts.*", F.col("catches.hash").alias("hash_catches"),
+            F.map_values("weights")[0].isNotNull().alias("weighted"), (F.col("latency.mean") > 0).alias("timed"), "counts.*", F.col("catches.hash").alias("hash_catches"),
             F.col("catches.ml").alias("score_catches"),
         )
     )
@@ -412,16 +526,13 @@ def absolute_threshold_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.groupBy("adv", "is_poisoned").agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"))
 
 
-def _l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).filter("layer = 'L1'")
-
-
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.threshold_sweep(_l1(spark, sf_dir)))
+    """For each layer."""
+    return rounded(D.threshold_sweep(_scores(spark, sf_dir), by=["layer"]))
 
 
 def youden_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.youden_best(_l1(spark, sf_dir)))
+    return rounded(D.youden_best(_scores(spark, sf_dir), by=["layer"]))
 
 
 def sweep_grid(spark: SparkSession) -> DataFrame:
@@ -442,11 +553,11 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def midpoint_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.midpoint_eval(_l1(spark, sf_dir)))
+    return rounded(D.midpoint_eval(_scores(spark, sf_dir), by=["layer"]))
 
 
 def quantile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.quantile_profile(_l1(spark, sf_dir), [0.05, 0.10, 0.25, 0.50, 0.85, 0.90, 0.95]))
+    return rounded(D.quantile_profile(_scores(spark, sf_dir), [0.05, 0.10, 0.25, 0.50, 0.85, 0.90, 0.95], by=["layer"]))
 
 
 # -- generation --------------------------------------------------------------
@@ -507,21 +618,24 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- reports -----------------------------------------------------------------
 
 
-def _golden(make: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: rounded(make(golden.results(spark)))
+def _of_runs(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: rounded(make(_runs(spark, sf_dir)), 5)
 
 
 def signal_tier_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tier_pivot(golden.snrs(spark), golden.TIERS)
+    """The ratios of each signal at each tier."""
+    stats = [S.class_stats(_long(spark, sf_dir, t)).select("signal", F.lit(t).alias("tier"), "snr") for t in TIERS]
+    return rounded(R.tier_pivot(reduce(DataFrame.unionByName, stats), list(TIERS)), 5)
 
 
 def golden_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights from the published ratios at the middle tier, with the gate."""
-    return S.layer_weights(golden.snrs(spark).filter("tier = 'p050'"))
+    """Weights from the ratios at the middle tier, with the gate. A test holds the published ratios to their weights."""
+    return _weights(_long(spark, sf_dir, MIDDLE), S.LEAST_SNR)
 
 
 def adaptive_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.compare_runs(golden.results(spark).filter("tier = 'p050'"), golden.adaptive(spark)))
+    """The middle tier against itself with words dropped from the poisoned documents."""
+    return rounded(R.compare_runs(_runs(spark, sf_dir, [MIDDLE]), _runs(spark, sf_dir, [MIDDLE], True)), 5)
 
 
 def latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -539,7 +653,7 @@ def smoke_gate_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def against_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.against_constants(golden.results(spark), golden.ELSEWHERE)
+    return R.against_constants(_runs(spark, sf_dir), golden.ELSEWHERE)
 
 
 def queries() -> dict[str, Query]:
@@ -549,7 +663,7 @@ def queries() -> dict[str, Query]:
         compression_ratio, split_md5, poison_tier_tag, corpus_centroid, topic_drift, knn_topk, overfetch_rerank,
         cluster_coherence, coherence_distribution, label_only_knn_coherence, intra_inter_similarity,
         query_sample_similarity, retrieved_deviation, second_vector_delta, retrieved_class_counts, encounter_flags,
-        confusion_by_layer, relative_threshold_flags, absolute_threshold_flags, threshold_sweep, youden_best, hybrid_grid,
+        confusion_by_layer, registry_versions, relative_threshold_flags, absolute_threshold_flags, threshold_sweep, youden_best, hybrid_grid,
         best_candidates, midpoint_eval, quantile_profile, injection_overwrite, template_fallback, variant_cross_product,
         framed_documents, topic_histogram, cyclic_queries, snr_sample, quality_gate, latency_profile, smoke_gate,
         seed_tier_runs, seed_tier_summary, hard_stops, older_gate, calibration_checkpoint, calibration_ids, result_document,
@@ -560,11 +674,11 @@ def queries() -> dict[str, Query]:
         "token_dropout": _perturbed(G.drop_tokens),
         "sentence_shuffle": _perturbed(G.shuffle_sentences),
         "synonym_swap": _perturbed(G.swap_synonyms),
-        "multi_seed_aggregate": _golden(R.multi_seed),
-        "worst_case": _golden(R.worst_by_seed),
-        "grand_mean": _golden(R.grand_mean),
-        "gate_verdicts": _golden(R.gate_verdicts),
-        "stability": _golden(R.stability),
-        "monotonicity": _golden(R.monotonicity),
+        "multi_seed_aggregate": _of_runs(R.multi_seed),
+        "worst_case": _of_runs(R.worst_by_seed),
+        "grand_mean": _of_runs(R.grand_mean),
+        "gate_verdicts": _of_runs(R.gate_verdicts),
+        "stability": _of_runs(R.stability),
+        "monotonicity": _of_runs(R.monotonicity),
     }
     return found
