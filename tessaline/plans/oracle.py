@@ -279,10 +279,16 @@ def longest(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return sorted(pairs, key=lambda p: -len(p[0]))
 
 
-def variants() -> str:
-    steps = [f"grid AS (SELECT var, base, template, {', '.join(_digits())} FROM range(1920) AS r(var), {values(list(enumerate(G.BASES)), 'base, template')})"]
+QUERY_TEXT = (
+    f"coalesce(list_filter(list_transform(string_split(text, '.'), lambda s: {strip('s')}), lambda s: length(s) > 40)[1] || '.', substring(text, 1, 100))"
+)
+
+
+def variants(numbers: list[int]) -> str:
+    first = f"[{', '.join(map(quote, G.BASES))}][doc_id % {len(G.BASES)} + 1] || ' ' || {QUERY_TEXT}"
+    steps = [f"{DOCS},\ngrid AS (SELECT var, doc_id AS base, {first} AS template, {', '.join(_digits())} FROM docs, unnest({numbers}) AS r(var))"]
     case = lambda d, options: f"CASE d{d} {' '.join(f'WHEN {i} THEN {o}' for i, o in enumerate(options))} END"
-    steps.append(f"s0 AS (SELECT *, {case(0, [replaced('template', p) for p in G.NUMBERS])} AS t FROM grid)")
+    steps.append(f"s0 AS (SELECT *, {case(0, [replaced('template', p) for p in G.TIMES])} AS t FROM grid)")
     steps.append(f"s1 AS (SELECT * EXCLUDE (t), {case(1, [replaced('t', longest(p)) for p in G.TEAMS])} AS t FROM s0)")
     last, number = "s1", 2
     for register, pairs in enumerate(G.REGISTERS):
@@ -306,17 +312,16 @@ def _digits() -> list[str]:
     return out
 
 
-def framed(count: int) -> str:
+def framed() -> str:
     frames = "[" + ", ".join(f"{{'topic': {quote(t)}, 'i': {quote(i)}, 'e': {quote(e)}}}" for t, i, e in G.FRAMES) + "]"
-    cores = "[" + ", ".join(map(quote, G.BASES)) + "]"
     forms = "[" + ", ".join(map(quote, G.STRUCTURES)) + "]"
-    return f"""f AS (
-  SELECT CAST(i AS BIGINT) AS doc_index, {frames}[i % {len(G.FRAMES)} + 1] AS frame, {cores}[i % {len(G.BASES)} + 1] AS core,
-         CAST(i % {len(G.STRUCTURES)} AS INTEGER) AS structure, {forms}[i % {len(G.STRUCTURES)} + 1] AS form
-  FROM range({count}) AS r(i)),
+    return f"""{DOCS},
+f AS (
+  SELECT doc_id, {QUERY_TEXT} AS core, {frames}[doc_id % {len(G.FRAMES)} + 1] AS frame,
+         CAST(doc_id % {len(G.STRUCTURES)} AS INTEGER) AS structure, {forms}[doc_id % {len(G.STRUCTURES)} + 1] AS form FROM docs),
 framed AS (
-  SELECT doc_index, frame.topic AS topic, structure,
-         replace(replace(replace(form, '{{i}}', frame.i), '{{c}}', core), '{{e}}', frame.e) AS text FROM f)"""
+  SELECT doc_id, frame.topic AS topic, structure,
+         replace(replace(replace(form, '{{i}}', frame.i), '{{e}}', frame.e), '{{c}}', core) AS text FROM f)"""
 
 
 def synonym_sql() -> str:
@@ -528,13 +533,21 @@ SELECT doc_id, sha256(CASE WHEN doc_id < cut THEN pool_text ELSE text END) AS sh
 FROM docs CROSS JOIN cut LEFT JOIN pool ON doc_id % {len(G.BASES)} = place""",
         "template_fallback": """SELECT doc_id, replace(['Note {i} for the desk.', 'Entry {i} in the book.', 'Card {i} on the shelf.'][doc_id % 3 + 1],
   '{i}', CAST(doc_id AS VARCHAR)) AS text FROM documents""",
-        "variant_cross_product": f"""WITH {variants()},
+        "variant_cross_product": f"""WITH {variants(list(range(0, 1920, 167)))},
 n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY var, base) AS n FROM c)
-SELECT CAST(base AS INTEGER) AS base, CAST(var AS INTEGER) AS var, t AS text FROM n WHERE n = 1""",
-        "framed_documents": f"WITH {framed(1000)} SELECT * FROM framed",
-        "topic_histogram": f"WITH {framed(1000)} SELECT topic, count(*) AS n FROM framed GROUP BY topic",
-        "cyclic_queries": f"""SELECT CAST(i AS BIGINT) AS query_id,
-  [{", ".join(quote(f"{b} Part {i}.") for i in range(5) for b in G.BASES)}][i % 25 + 1] AS q, TRUE AS adv FROM range(50) AS r(i)""",
+SELECT base, CAST(var AS INTEGER) AS var, length(t) AS n_chars, sha256(t) AS sha FROM n WHERE n = 1""",
+        "framed_documents": f"WITH {framed()} SELECT doc_id, topic, structure, sha256(text) AS sha FROM framed",
+        "topic_histogram": f"WITH {framed()} SELECT topic, count(*) AS n FROM framed GROUP BY topic",
+        "cyclic_queries": f"""WITH {LABELLED},
+p AS (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, {QUERY_TEXT} AS q
+  FROM (SELECT * FROM docs WHERE is_poisoned ORDER BY doc_id LIMIT 25))
+SELECT i AS query_id, q, TRUE AS adv FROM range(50) AS r(i) JOIN p ON i % (SELECT count(*) FROM p) = place""",
+        "quality_gate_sample": f"""WITH {VECTORS}, s AS (SELECT * FROM vecs ORDER BY {hash_order("id", 0)}, id LIMIT 50),
+p AS (SELECT avg({sims}) AS pair_sim FROM s x JOIN s y ON x.id < y.id),
+q AS (SELECT avg(m) AS query_sim FROM (SELECT avg({sims}) AS m FROM vecs x, s y WHERE x.id < 25 GROUP BY x.id))
+SELECT round(pair_sim, 5) + 0.0 AS pair_sim, round(query_sim, 5) + 0.0 AS query_sim,
+       pair_sim BETWEEN 0.70 AND 0.95 AND query_sim >= 0.58 AS passed FROM p, q""",
         "snr_sample": f"""WITH {LABELLED}
 SELECT * FROM (SELECT doc_id, is_poisoned FROM docs WHERE NOT is_poisoned ORDER BY {hash_order("doc_id", 99)}, doc_id LIMIT 500)
 UNION ALL SELECT doc_id, is_poisoned FROM docs WHERE is_poisoned""",

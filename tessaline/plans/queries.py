@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessaline.functions import text as T
@@ -199,11 +200,11 @@ def benign_query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All queries, benign and attacks, encoded in one pass: the components that aren't zero."""
-    texts = benign_query_sample(spark, sf_dir).select(F.concat(F.lit("b"), "doc_id").alias("doc_id"), "q").unionByName(
-        cyclic_queries(spark, sf_dir).select(F.concat(F.lit("a"), "query_id").alias("doc_id"), "q")
+    """All queries, benign and attacks, encoded in one pass, each text once: the components that aren't zero."""
+    texts = benign_query_sample(spark, sf_dir).select(F.concat(F.lit("b"), "doc_id").alias("id"), F.col("q").alias("text")).unionByName(
+        cyclic_queries(spark, sf_dir).select(F.concat(F.lit("a"), "query_id").alias("id"), F.col("q").alias("text"))
     )
-    parts = E.encode(texts.withColumnRenamed("q", "text")).select("id", F.posexplode("v").alias("i", "x"))
+    parts = E.encode_with(texts, E.HashedWords(256)).select("id", F.posexplode("v").alias("i", "x"))
     return rounded(parts.filter("x <> 0"))
 
 
@@ -268,11 +269,15 @@ def intra_inter_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.pair_similarity(IO.vectors(spark, sf_dir)))
 
 
-def query_sample_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = IO.vectors(spark, sf_dir)
-    queries = rows.filter("id < 25").select(F.col("id").alias("query_id"), F.col("v").alias("q"))  # the 25 fixed queries
+def _similarity_to_queries(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """(query_id, min_sim, mean_sim, max_sim) of each of the 25 fixed queries with `rows`."""
+    queries = IO.vectors(spark, sf_dir).filter("id < 25").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     pairs = rows.crossJoin(F.broadcast(queries)).select("query_id", V.dot(F.col("v"), F.col("q")).alias("sim"))
-    return rounded(pairs.groupBy("query_id").agg(F.min("sim").alias("min_sim"), F.avg("sim").alias("mean_sim"), F.max("sim").alias("max_sim")))
+    return pairs.groupBy("query_id").agg(F.min("sim").alias("min_sim"), F.avg("sim").alias("mean_sim"), F.max("sim").alias("max_sim"))
+
+
+def query_sample_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_similarity_to_queries(spark, sf_dir, IO.vectors(spark, sf_dir)))
 
 
 def retrieved_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -574,16 +579,33 @@ def template_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.documents(spark, sf_dir).select("doc_id", text.alias("text"))
 
 
+def _cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(base, text): a base text and the first sentence of each document."""
+    bases = F.array(*map(F.lit, G.BASES))
+    base = F.get(bases, F.pmod(F.col("doc_id"), F.lit(len(G.BASES))).cast("int"))
+    docs = IO.documents(spark, sf_dir)
+    return docs.select(F.col("doc_id").cast("long").alias("base"), F.concat(base, F.lit(" "), T.query_text(F.col("text"))).alias("text"))
+
+
+#: Variants made of each document: every 167th, which go through all options of all five dimensions.
+VARIANTS = list(range(0, 1920, 167))
+
+
 def variant_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.variants(spark)
+    made = G.variants(_cores(spark, sf_dir), VARIANTS)
+    return made.select("base", "var", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.framed(IO.documents(spark, sf_dir).select("doc_id", T.query_text(F.col("text")).alias("core")))
 
 
 def framed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.framed(spark, 1000)
+    return _framed(spark, sf_dir).select("doc_id", "topic", "structure", F.sha2("text", 256).alias("sha"))
 
 
 def topic_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.histogram(G.framed(spark, 1000), "topic")
+    return R.histogram(_framed(spark, sf_dir), "topic")
 
 
 def _perturbed(change: Callable[[DataFrame], DataFrame]) -> Query:
@@ -595,14 +617,16 @@ def _perturbed(change: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def perturb_until_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = G.variants(spark, 300).select((F.col("var") * 100 + F.col("base")).cast("long").alias("doc_id"), "text")
-    found = E.perturb_until_apart(docs)
+    """The poisoned documents, perturbed while their neighbourhoods are too coherent."""
+    found = E.perturb_until_apart(IO.labelled(spark, sf_dir).filter("is_poisoned").select("doc_id", "text"))
     return rounded(found.select("doc_id", "rounds", "cluster_coh", F.length("text").alias("n_chars")))
 
 
 def cyclic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50 attack queries from 25 texts."""
-    return G.cyclic(spark, [f"{b} Part {i}." for i in range(5) for b in G.BASES], 50)
+    """50 attack queries from 25 texts: the first sentences of the first poisoned documents."""
+    first = IO.labelled(spark, sf_dir).filter("is_poisoned").select("doc_id", T.query_text(F.col("text")).alias("q")).orderBy("doc_id").limit(25)
+    placed = first.select((F.row_number().over(W.partitionBy().orderBy("doc_id")) - 1).cast("long").alias("place"), "q")  # 25 rows
+    return G.cyclic(placed, 50)
 
 
 def snr_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -615,6 +639,12 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.quality_gate(N.pair_similarity(IO.vectors(spark, sf_dir)), query_sample_similarity(spark, sf_dir)), 5)
 
 
+def quality_gate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate on 50 documents, drawn once, against the 25 fixed queries."""
+    drawn = S.sample(IO.vectors(spark, sf_dir), 50, 0, "id")
+    return rounded(G.quality_gate(N.pair_similarity(drawn), _similarity_to_queries(spark, sf_dir, drawn)), 5)
+
+
 # -- reports -----------------------------------------------------------------
 
 
@@ -665,7 +695,7 @@ def queries() -> dict[str, Query]:
         query_sample_similarity, retrieved_deviation, second_vector_delta, retrieved_class_counts, encounter_flags,
         confusion_by_layer, registry_versions, relative_threshold_flags, absolute_threshold_flags, threshold_sweep, youden_best, hybrid_grid,
         best_candidates, midpoint_eval, quantile_profile, injection_overwrite, template_fallback, variant_cross_product,
-        framed_documents, topic_histogram, cyclic_queries, snr_sample, quality_gate, latency_profile, smoke_gate,
+        framed_documents, topic_histogram, cyclic_queries, snr_sample, quality_gate, quality_gate_sample, latency_profile, smoke_gate,
         seed_tier_runs, seed_tier_summary, hard_stops, older_gate, calibration_checkpoint, calibration_ids, result_document,
         benign_query_sample, encoded_queries, layer_weights_gated, calibrate_tau_strict, smoke_gate_strict, against_constants, perturb_until_apart, signal_tier_pivot, golden_weights, adaptive_vs_baseline,
     ]

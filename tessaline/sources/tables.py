@@ -57,9 +57,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_scan(docs: DataFrame, n: int, least: int = 300) -> DataFrame:
-    """The first `n` documents by id whose stripped text has more than `least` characters."""
+    """The first `n` documents by id whose stripped text has more than `least` characters; all rows of an id that is in.
+
+    Only ids are put in order; texts stay where they are.
+    """
     found = docs.withColumn("text", T.strip(F.col("text"))).filter(F.length("text") > least)
-    return found.orderBy("doc_id").limit(n)
+    ids = found.select("doc_id").orderBy("doc_id").limit(n)  # `n` ids
+    return found.join(F.broadcast(ids) if n <= 1_000_000 else ids, "doc_id", "left_semi")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +76,6 @@ def write_corpus(df: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_matrix(df: DataFrame, path: str) -> None:
-    """Vectors as Parquet arrays, keyed by id."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def checkpoint_model(rates: DataFrame, weights: DataFrame, stats: DataFrame, norm: DataFrame, target: float, seed: int) -> DataFrame:
     """A row a layer with all that scoring needs again. `rates`: (layer, tau, fpr, tpr); weights are sorted by signal."""
     by_layer = weights.groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("signal", "weight", "flipped"))).alias("weights"))

@@ -1,6 +1,7 @@
 """Thresholds, confusion counts, neighbours, reports and generation on small cases."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tessaline.operators import generate as G
 from tessaline.operators import neighbours as N
 from tessaline.operators import reports as R
 from tessaline.plans import golden
+from tessaline.sources import tables as IO
 
 SCORES = "doc_id long, is_poisoned boolean, layer string, score double"
 
@@ -77,17 +79,19 @@ def test_coherence_of_one_neighbour_is_the_default(spark):
 
 
 def test_variants_are_distinct_and_bounded(spark):
-    made = G.variants(spark)
+    bases = G.templates(spark)
+    made = G.variants(bases)
     assert made.count() == made.select("text").distinct().count()
-    assert [(r["var"], r.base) for r in G.variants(spark, 5).collect()] == [(0, i) for i in range(5)]
-    with pytest.raises(ValueError):
-        G.variants(spark, 10**6)
+    assert [(r["var"], r.base) for r in G.variants(bases, count=5).collect()] == [(0, i) for i in range(5)]
+    for wrong in ({"count": 10**6}, {"numbers": [1920]}):
+        with pytest.raises(ValueError):
+            G.variants(bases, **wrong)
 
 
 def test_chained_and_first_only_replacement(spark):
-    df = spark.createDataFrame([("every 90 days; 90 days; should, should",)], "t string")
-    chained = df.select(G.replace_all(F.col("t"), G.NUMBERS[2])).first()[0]
-    assert chained == "every 365 days; 365 days; should, should"
+    df = spark.createDataFrame([("each spring; each autumn; should, should",)], "t string")
+    chained = df.select(G.replace_all(F.col("t"), G.TIMES[2])).first()[0]
+    assert chained == "at harvest time; at harvest time; should, should"
     assert df.select(G.replace_once(F.col("t"), "should", "must")).first()[0].endswith("must, should")
 
 
@@ -110,6 +114,42 @@ def test_published_aggregates(spark):
 
 
 def test_perturbation_ends_and_keeps_ids(spark):
-    docs = G.variants(spark, 30).select((F.col("var") * 10 + F.col("base")).cast("long").alias("doc_id"), "text")
+    docs = G.variants(G.templates(spark), count=30).select((F.col("var") * 10 + F.col("base")).cast("long").alias("doc_id"), "text")
     out = E.perturb_until_apart(docs, rounds=1)
     assert out.count() == 30 and out.agg(F.max("rounds")).first()[0] == 1
+
+
+def test_encoder_sees_each_text_once(spark, tmp_path):
+    """Repeated texts, nulls and empty texts; a second call encodes only what is new."""
+    texts = {0: "The cat", 1: "the CAT sat", 2: "The cat", 3: None, 4: "", 5: "x " * 50}
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(E.HashedWords):
+        def __call__(self, given):
+            seen.add(len(given))
+            return super().__call__(given)
+
+    store = str(tmp_path / "store")
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    made = {r.id: r.v for r in E.encode_with(docs, Counting(16), store, batch=2).collect()}
+    plain = E.HashedWords(16)([t or "" for t in texts.values()])
+    assert len(made) == 6 and all(np.allclose(made[i], plain[i]) for i in texts)
+    assert seen.value == 4
+    more = docs.unionByName(spark.createDataFrame([(6, "new"), (7, "The cat")], "id long, text string"))
+    assert E.encode_with(more, Counting(16), store).count() == 8 and seen.value == 5
+    assert E.encode_with(docs.limit(0), Counting(16)).count() == 0
+
+
+def test_calibration_ids_are_a_sorted_set(spark, tmp_path):
+    """The files, in the order of their names, hold ascending ids without repeats."""
+    ids = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("doc_id"))
+    model = spark.createDataFrame([("L1",)], "layer string")
+    IO.write_checkpoint(model, ids, str(tmp_path / "c"))
+    files = sorted((tmp_path / "c" / "ids").glob("part-*.parquet"))
+    held = [i for f in files for i in pq.read_table(f).column("doc_id").to_pylist()]
+    assert held == list(range(1000))
+
+
+def test_corpus_scan(spark):
+    rows = spark.createDataFrame([(i, " " + "x" * (295 + i) + "\n") for i in range(20)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in IO.corpus_scan(rows, 5).collect()) == [6, 7, 8, 9, 10]

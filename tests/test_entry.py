@@ -13,7 +13,9 @@ SF = "/root/testdata/sf0.001"
 CHECKED = [
     "text_signals", "text_tokens_sentences", "class_signal_stats", "layer_weights", "layer_weights_gated", "calibrate_tau_strict",
     "smoke_gate_strict", "query_sample_similarity", "quality_gate", "calibrate_tau", "confusion_by_layer", "knn_topk", "overfetch_rerank", "seed_tier_runs",
-    "older_gate", "calibration_checkpoint", "calibration_ids", "result_document", "benign_query_sample", "synonym_swap", "variant_cross_product",
+    "older_gate", "calibration_checkpoint", "calibration_ids", "result_document", "benign_query_sample", "synonym_swap", "variant_cross_product", "framed_documents", "topic_histogram", "cyclic_queries",
+    "quality_gate_sample", "registry_versions", "encounter_flags", "threshold_sweep", "midpoint_eval", "quantile_profile", "intra_inter_similarity",
+    "word_entropy", "signal_tier_pivot", "gate_verdicts", "adaptive_vs_baseline", "corpus_scan", "retrieved_deviation",
 ]
 
 
@@ -57,8 +59,8 @@ def test_encoded_queries(spark):
     for r in found:
         lengths[r.id] = lengths.get(r.id, 0) + r.x**2
     assert lengths and all(abs(v - 1) < 1e-4 for v in lengths.values())
-    one = queries.cyclic_queries(spark, SF).filter("query_id = 3").withColumnRenamed("q", "text")
-    alone = encode.encode(one, id_column="query_id").first().v
+    one = queries.cyclic_queries(spark, SF).filter("query_id = 3").first()
+    alone = encode.HashedWords(256)([one.q])[0]
     assert {i: round(x, 6) for i, x in enumerate(alone) if x} == {r.i: r.x for r in found if r.id == "a3"}
 
 
