@@ -206,13 +206,33 @@ def train(sample: DataFrame, max_features: int = 20_000) -> Model:
     return Model(b, {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 0.01})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, max_chars: int = 24_000_000) -> Model:
+def _room(facts: list, most: int, longest: int) -> list:
+    """Of rows (doc_id, toxic, chars, print, h) those that the sample takes.
+
+    Each label has half of `most` characters and is filled by itself, in the order of h; texts over `longest` come
+    after all others. It ends at the first text that doesn't fit into what is left, as short texts behind it must not take its
+    place; its first text is always taken, so that no label is lost to a long text.
+    """
+    used = []
+    for label in (0, 1):
+        left = most // 2
+        mine = sorted((r for r in facts if r.toxic == label and r.chars <= most), key=lambda r: (r.chars > longest, r.h, r.doc_id))
+        for i, r in enumerate(mine):
+            if i and r.chars > left:
+                break
+            used.append(r)
+            left -= r.chars
+    return used
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, max_chars: int = 24_000_000, long_text: int = 200_000) -> Model:
     """Learn from `labels` (doc_id, toxic 0 or 1) and the texts of `docs`.
 
     The classifier is fitted on a sample of about `sample_docs` documents of each label,
-    picked by a hash of the id, and of these on at most `max_chars` characters (whole
-    documents in the order of the hash, up to the first that goes beyond). Of several labels for an id the greatest
-    counts. Without both labels nothing is learned and every score is close to 0.
+    picked by a hash of the id, and of these on at most `max_chars` characters, half of them
+    for each label (whole documents, see `_room`: those over `long_text` come last, so that they hardly ever count, which leaves
+    the weights to documents of common length; one over `max_chars` never does). Of several labels for an id
+    the greatest counts, of several texts the shortest. Without both labels nothing is learned and every score is close to 0.
     """
     marked = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -226,15 +246,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, max_chars:
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in picked.collect()], "doc_id long, toxic int")  # about 2 * sample_docs
     rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    room, use = max_chars, []
-    for r in sorted(rows.select("doc_id", F.length("text").alias("chars"), near.alias("h")).collect(), key=lambda r: (r.h, r.doc_id)):
-        if use and r.chars > room:
-            break  # short texts behind it must not take its place
-        use.append((r.doc_id,))
-        room -= r.chars
+    mark = F.struct(F.length("text").alias("chars"), F.xxhash64("text").alias("print"))
+    facts = rows.groupBy("doc_id", "toxic").agg(F.min(mark).alias("m")).select("doc_id", "toxic", "m.*", near.alias("h")).collect()  # a row an id
+    use = [(r.doc_id, r.chars, r.print) for r in _room(facts, max_chars, long_text)]
     if not use:
         return Model()
-    kept = rows.join(F.broadcast(spark.createDataFrame(use, "doc_id long").distinct()), "doc_id").select("text", "toxic")
+    wanted = spark.createDataFrame(use, "doc_id long, chars int, print long")
+    keyed = rows.withColumn("chars", F.length("text")).withColumn("print", F.xxhash64("text"))
+    kept = keyed.join(F.broadcast(wanted), ["doc_id", "chars", "print"]).dropDuplicates(["doc_id"]).select("text", "toxic")
     return train(spread(Written(kept, "sample").df))
 
 
