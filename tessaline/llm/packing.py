@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import Written, spread, text_slices
+from tessaline.llm.common import Written, free_name, spread, text_slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
@@ -140,19 +140,23 @@ class BestFit:
 def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, run: int = RUN, task_sequences: int = TASK_SEQUENCES) -> DataFrame:
     """Give each piece of `found` (doc_id, piece, length and any columns) a sequence_id and an offset.
 
-    Pieces are dealt over tasks by a hash, as many tasks as sequences of `capacity` need
+    Pieces are dealt over tasks by a hash of all that is known of them and their place in the stored table (so that
+    rows that share an id, or have none, are spread too), as many tasks as sequences of `capacity` need
     at `task_sequences` each; each task packs its share online, as the pieces come in the
     order of a hash, with `open_bins` open bins, fewer than its sequences, and a look
     ahead of `run` pieces, of which the long ones go first. Its memory doesn't grow with
     the input. Where no open bin has room and all may be open,
     the fullest closes first. The order is fixed, so that a task that runs again gives the
     same places. Repeated rows are pieces each; an empty table gives none. A piece that
-    isn't 1 to `capacity` long is an error.
+    isn't 1 to `capacity` long is an error. Where `found` has a column of one of the new names, the new one
+    gets a `_` more.
     """
-    stored = Written(found, "pieces").df
+    at = free_name("_at", found.columns)
+    stored = Written(found.withColumn(at, F.monotonically_increasing_id()), "pieces").df
     total = stored.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // (capacity * task_sequences)))
-    names = stored.columns
+    names = found.columns
+    new = [free_name(c, names) for c in ("sequence_id", "offset")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
@@ -162,7 +166,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
             places = [bins.place(n) for n in rows.column("length").to_pylist()]
             columns = [rows.column(c).combine_chunks() for c in names]
             made = [pa.array([base + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())]
-            return pa.RecordBatch.from_arrays([*columns, *made], names=[*names, "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([*columns, *made], names=[*names, *new])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -176,11 +180,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         if sum(b.num_rows for b in held):
             yield placed(pa.Table.from_batches(held))
 
-    mixed = F.xxhash64("doc_id", "piece", "start")
+    mixed = F.xxhash64("doc_id", "piece", "start", "length", at)
     dealt = stored.repartitionById(tasks, F.pmod(mixed, F.lit(tasks)).cast("int")) if tasks > 1 else stored.coalesce(1)
-    ordered = dealt.sortWithinPartitions(mixed, "doc_id", "piece", "start", "length", "ids_crc32")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    return ordered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    ordered = dealt.sortWithinPartitions(mixed, at).drop(at)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    return ordered.mapInArrow(place, f"{fields}, `{new[0]}` long, `{new[1]}` long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
