@@ -90,12 +90,23 @@ def fit(rows: DataFrame, size: int, sample: int = 50_000, width: float = 4.0) ->
 
 
 def _distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, components added in order."""
+    """Euclidean distances in double precision, components added in order.
+
+    Where a square overflows, the components are scaled first; a distance that no double
+    holds is infinite.
+    """
     total = np.zeros(len(rows))
-    for i in range(len(query)):
-        step = query[i] - rows[:, i]
-        total += step * step
-    return np.sqrt(total)
+    with np.errstate(over="ignore"):
+        for i in range(len(query)):
+            step = query[i] - rows[:, i]
+            total += step * step
+        wide = np.flatnonzero(~np.isfinite(total))
+        far = np.sqrt(total)
+        if len(wide):
+            half = np.abs(query / 2 - rows[wide] / 2)
+            most = half.max(axis=1)
+            far[wide] = 2 * (most * np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)))
+    return far
 
 
 def _least(ids: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
@@ -110,6 +121,7 @@ class Nearest:
         self.turned, self.norms = index.turn(queries) if len(ids) else (queries, np.zeros(0))
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
 
+    @np.errstate(over="ignore", invalid="ignore", divide="ignore")
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         codes, norms, scale = self.index.encode(rows)
         for begin in range(0, len(self.ids), _QUERIES):
@@ -124,8 +136,9 @@ class Nearest:
         best_ids, best = self.best[q]
         limit = best[-1] ** 2 * (1 + 1e-9) if len(best) == self.k else np.inf
         if other.sum() > self.k:
-            limit = min(limit, np.partition(high[other], self.k - 1)[self.k - 1])
-        take = np.flatnonzero((low <= limit) & other)
+            bound = np.partition(high[other], self.k - 1)[self.k - 1]
+            limit = limit if np.isnan(bound) else min(limit, bound)
+        take = np.flatnonzero(~(low > limit) & other)  # a bound that overflowed says nothing
         if len(take):
             far = np.concatenate([best, _distances(self.queries[q], rows[take])])
             found = np.concatenate([best_ids, ids[take]])
