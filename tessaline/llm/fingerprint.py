@@ -142,29 +142,43 @@ def _groups(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[range]:
 
 
 class Ranges:
-    """Ids cut into ranges, descending: where a key belongs, and the range that needs it as its successor."""
+    """Ids cut into ranges, descending; an id with very much text is cut once more, by a hash of the text.
 
-    def __init__(self, cuts: list[int], tops: dict[int, int]):
-        """cuts: ascending; a key is in the range numbered by the cuts above it. tops: the greatest key of each range."""
+    cuts: ascending; a key is in the range numbered by the cuts above it. shares: the
+    parts of each range that is cut (it has one key). firsts: the first (key, hash) of each part.
+    """
+
+    def __init__(self, cuts: list[int], shares: dict[int, int] | None = None, firsts: dict[int, tuple[int, int]] | None = None):
         self.cuts = np.array(cuts, dtype=np.int64)
-        order = sorted(tops)
-        self.before = {tops[p]: order[i - 1] for i, p in enumerate(order)}  # the first follows the last
+        self.shares = np.array([(shares or {}).get(i, 1) for i in range(len(cuts) + 1)], dtype=np.int64)
+        self.bases = np.cumsum(self.shares) - self.shares
+        self.parts = int(self.shares.sum())
+        order = sorted(firsts or {})
+        self.before: dict[tuple[int, int], int] = {firsts[p]: order[i - 1] for i, p in enumerate(order)} if firsts else {}  # the first follows the last
 
-    def part(self, keys: np.ndarray) -> np.ndarray:
+    def range(self, keys: np.ndarray) -> np.ndarray:
         return (len(self.cuts) - np.searchsorted(self.cuts, keys, side="right")).astype(np.int32)
 
+    def part(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = self.range(keys)
+        high = (hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # ascends with the signed hash
+        within = (high * self.shares[at].astype(np.uint64)) >> np.uint64(32)
+        return (self.bases[at] + within.astype(np.int64)).astype(np.int32)
+
 
 def with_successors(docs: DataFrame, part_bytes: int = 32 << 20, most_parts: int = 100_000) -> DataFrame:
     """Rows (part, last, key, text) dealt and sorted so that each task sees neighbours in descending id order.
 
     Ids are cut into ranges of about `part_bytes` of text, no more than `most_parts`;
-    each is one partition. The first document of the next range comes once more at the
-    end of a range (`last`), and the first of all after the last, so that every document
+    each is one partition, but for a range of a single id (rows without one, say) with more text, which is cut by a hash of
+    the text. The first document of the next part comes once more at the
+    end of a part (`last`), and the first of all after the last, so that every document
     meets its successor though nothing is sorted in one place. The driver holds one cut
-    and one key a range. Rows of one id are ordered by text.
+    and one key a part. Rows of one id are ordered by a hash of the text, then by text.
     """
     spark = docs.sparkSession
-    keyed = docs.select(id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(id_key().alias("key"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     total = bytes_estimate(keyed, "text")
     parts = min(most_parts, max(1, -(-total // part_bytes), min(spark.sparkContext.defaultParallelism, total >> 20)))
     cuts: list[int] = []
@@ -172,32 +186,42 @@ def with_successors(docs: DataFrame, part_bytes: int = 32 << 20, most_parts: int
         shares = [i / parts for i in range(1, parts)]
         found = keyed.agg(F.percentile_approx("key", shares, max(10_000, 10 * parts)).alias("c")).first().c
         cuts = sorted(set(found or []))
-    where = Ranges(cuts, {})
+        cuts = sorted({*cuts, *(c + 1 for c in cuts if c + 1 <= 2**63 - 1)}) if len(cuts) < parts - 1 else cuts  # an id that is many cuts stands alone
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(where.part(keys)), batch.column("key")], names=["part", "key"])
+    def numbered(ranges: Ranges) -> DataFrame:
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, hashes = batch.column("key").to_numpy(), batch.column("hash").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ranges.part(keys, hashes)), *batch.columns], names=["part", "key", "hash", "size"])
 
-    tops = keyed.select("key").mapInArrow(number, "part int, key long").groupBy("part").agg(F.max("key").alias("key")).collect()
-    ranges = Ranges(cuts, {r.part: r.key for r in tops})
+        return keyed.select("key", "hash", F.octet_length("text").cast("long").alias("size")).mapInArrow(number, "part int, key long, hash long, size long")
+
+    def firsts(ranges: Ranges) -> list:
+        first = F.struct((-F.col("key").cast("decimal(20,0)")).alias("back"), F.col("hash"))
+        return numbered(ranges).groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("key"), F.min(first).alias("f"), F.sum("size").alias("size")).collect()
+
+    ranges = Ranges(cuts)
+    found = firsts(ranges)
+    most = max(part_bytes, total // max(1, parts))
+    split = {r.part: min(4096, -(-r.size // most)) for r in found if r.low == r.key and r.size > 2 * most}
+    if split:
+        found = firsts(ranges := Ranges(cuts, split))
+    ranges = Ranges(cuts, split, {r.part: (r.key, r.f.hash) for r in found})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "last", "key", "text"]
+        names = ["part", "last", "key", "hash", "text"]
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            columns = [pa.array(ranges.part(keys)), pa.array(np.zeros(len(keys), dtype=bool)), batch.column("key"), batch.column("text")]
+            keys, hashes = batch.column("key").to_numpy(), batch.column("hash").to_numpy()
+            columns = [pa.array(ranges.part(keys, hashes)), pa.array(np.zeros(len(keys), dtype=bool)), batch.column("key"), batch.column("hash"), batch.column("text")]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-            again = [i for i, key in enumerate(keys.tolist()) if key in ranges.before]
+            again = [(i, ranges.before[pair]) for i, pair in enumerate(zip(keys.tolist(), hashes.tolist(), strict=True)) if pair in ranges.before]
             if again:
-                copied = batch.take(pa.array(again))
-                before = pa.array([ranges.before[keys[i]] for i in again], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [before, pa.array([True] * len(again)), copied.column("key"), copied.column("text")], names=names
-                )
-
-    dealt = keyed.mapInArrow(deal, "part int, last boolean, key long, text string")
-    return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "last", F.desc("key"), "text")
+                copied = batch.take(pa.array([i for i, _ in again]))
+                before = pa.array([p for _, p in again], pa.int32())
+                yield pa.RecordBatch.from_arrays([before, pa.array([True] * len(again)), copied.column("key"), copied.column("hash"), copied.column("text")], names=names)
+
+    dealt = keyed.select("key", "hash", "text").mapInArrow(deal, "part int, last boolean, key long, hash long, text string")
+    return dealt.repartitionById(ranges.parts, F.col("part")).sortWithinPartitions("part", "last", F.desc("key"), "hash", "text").drop("hash")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
