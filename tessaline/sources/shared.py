@@ -20,13 +20,28 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: What `stored` has written and nothing has deleted yet.
+_STORED: list[str] = []
+
+
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing has yet."""
     return f"{shared_folder(spark)}/tessaline-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what `stored` has written so far; frames that read it can't be used any more. Returns how many tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _STORED:
+        place = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        gone += place.getFileSystem(conf).delete(place, True)
+    return gone
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet and read again."""
+    """`df` written as Parquet and read again; `release` deletes it."""
     path = new_path(df.sparkSession)
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

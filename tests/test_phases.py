@@ -5,7 +5,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tessaline.operators.registry import HashRegistry
-from tessaline.sources.phases import Phases, fingerprint
+from tessaline.sources import shared
+from tessaline.sources.phases import Phases, exists, fingerprint
 
 
 def docs(spark, texts):
@@ -100,3 +101,11 @@ def test_registry(spark, tmp_path):
     assert {r.doc_id for r in registry.current().collect()} == {1}
     registry.register(docs(spark, {2: "B"}))
     assert {r.doc_id for r in registry.current().collect()} == {1, 2}
+
+
+def test_stored_tables_can_be_released(spark):
+    shared.release(spark)
+    rows = shared.stored(spark.range(3))
+    path = rows.inputFiles()[0].rsplit("/", 1)[0]
+    assert rows.count() == 3 and exists(spark, path)
+    assert shared.release(spark) == 1 and not exists(spark, path) and shared.release(spark) == 0
