@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,58 +11,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import spread
+from tessaline.llm.common import Written, spread
 
-#: Queries searched by one pass over the index; bounds what is sent to the tasks.
-BLOCK = 4096
-#: Rows compared at once, and queries compared with them at once.
-_ROWS, _QUERIES = 8192, 64
+#: Rows in a block of the index, and queries in a block of questions.
+ROWS, QUERIES = 8192, 1024
+#: Rows of one stripe of the index, about: a task compares a stripe with all questions of its length.
+STRIPE = 1 << 20
+_BLOCKS = "size int, stripe int, ids binary, codes binary, norms binary, scale binary, vectors binary"
 
 
-@dataclass
-class Index:
-    """What a code needs: the centre, the rotation and the width of the error bound.
+@lru_cache(maxsize=8)
+def rotation(size: int, seed: int = 9) -> np.ndarray:
+    """A random rotation, the same everywhere."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
+    return q * np.sign(np.diag(r))
 
-    A vector's code is the signs of its rotated, centred, normalised form. `width` is
-    the bound in standard deviations of the estimate's error.
-    """
 
-    centre: np.ndarray
-    rotation: np.ndarray
-    width: float
-
-    @classmethod
-    def make(cls, centre: np.ndarray, width: float = 4.0, seed: int = 9) -> Index:
-        square = np.random.default_rng(seed).standard_normal((len(centre), len(centre)))
-        q, r = np.linalg.qr(square)
-        return cls(centre, q * np.sign(np.diag(r)), width)
-
-    def turn(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rotated unit vectors from the centre, and the distances from it."""
-        moved = vectors - self.centre
-        norms = np.sqrt((moved * moved).sum(axis=1))
-        unit = np.divide(moved, norms[:, None], out=np.zeros_like(moved), where=norms[:, None] > 0)
-        return unit @ self.rotation, norms
-
-    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Packed sign bits, distance from the centre, and the correction <code, vector> of each row."""
-        turned, norms = self.turn(vectors)
-        bits = turned > 0
-        scale = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
-        return np.packbits(bits, axis=1), norms, scale
-
-    def bounds(
-        self, queries: tuple[np.ndarray, np.ndarray], codes: np.ndarray, norms: np.ndarray, scale: np.ndarray
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of squared distances, queries by rows, from the codes and their scalars alone."""
-        turned, query_norms = queries
-        size = turned.shape[1]
-        signs = np.unpackbits(codes, axis=1, count=size).astype(np.float32) * 2 - 1
+def turned(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotated unit vectors from the centre, and the distances from it."""
+    moved = vectors - centre
+    norms = np.sqrt((moved * moved).sum(axis=1))
+    unit = np.divide(moved, norms[:, None], out=np.zeros_like(moved), where=norms[:, None] > 0)
+    return unit @ rotation(vectors.shape[1]), norms
+
+
+def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed sign bits, distance from the centre, and the correction <code, vector> of each row."""
+    unit, norms = turned(vectors, centre)
+    return np.packbits(unit > 0, axis=1), norms, np.abs(unit).sum(axis=1) / np.sqrt(unit.shape[1])
+
+
+class Questions:
+    """Queries made ready: for each byte of a code and each of its 256 values what it adds to the inner product."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, width: float):
+        self.ids, self.vectors, self.width, self.size = ids, vectors, width, vectors.shape[1]
+        unit, self.norms = turned(vectors, centre)
+        padded = np.zeros((len(ids), -(-self.size // 8) * 8), dtype=np.float32)
+        padded[:, : self.size] = unit
+        signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+        self.adds = padded.reshape(len(ids), -1, 8) @ signs.T  # query, byte, value
+
+    def bounds(self, q: int, codes: np.ndarray, norms: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of a query's squared distances, from packed codes and their scalars alone."""
+        inner = np.zeros(len(codes), dtype=np.float32)
+        for byte in range(codes.shape[1]):
+            inner += self.adds[q, byte][codes[:, byte]]
         safe = np.maximum(scale, 1e-9)
-        inner = (turned.astype(np.float32) @ signs.T) / np.float32(np.sqrt(size)) / safe
-        error = self.width * np.sqrt(np.maximum(0, 1 - scale * scale)) / safe / np.sqrt(max(1, size - 1)) + 1e-4
-        base = query_norms[:, None] ** 2 + norms[None, :] ** 2
-        span = 2 * query_norms[:, None] * norms[None, :]
+        inner = inner / np.float32(np.sqrt(self.size)) / safe
+        error = self.width * np.sqrt(np.maximum(0, 1 - scale * scale)) / safe / np.sqrt(max(1, self.size - 1)) + 1e-4
+        base, span = self.norms[q] ** 2 + norms**2, 2 * self.norms[q] * norms
         slack = 1e-6 * (base + 1e-30)
         return base - span * np.minimum(1, inner + error) - slack, base - span * np.maximum(-1, inner - error) + slack
 
@@ -75,20 +72,6 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
     return vectors.filter(F.col(id_column).isNotNull() & fine).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
 
-def fit(rows: DataFrame, size: int, sample: int = 50_000, width: float = 4.0) -> Index:
-    """An index for the (id, v) rows, all of them vectors of length `size`.
-
-    The centre is the mean of about `sample` rows, picked by a hash of the id.
-    """
-    share = int(min(1.0, sample / max(1, rows.count())) * (1 << 20)) or 1
-    picked = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
-    mean = picked.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).collect()
-    centre = np.zeros(size)
-    for r in mean:
-        centre[r.i] = r.x
-    return Index.make(centre, width)
-
-
 def _distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Euclidean distances in double precision, components added in order.
 
@@ -96,113 +79,157 @@ def _distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     holds is infinite.
     """
     total = np.zeros(len(rows))
-    with np.errstate(over="ignore"):
-        for i in range(len(query)):
-            step = query[i] - rows[:, i]
-            total += step * step
-        wide = np.flatnonzero(~np.isfinite(total))
-        far = np.sqrt(total)
-        if len(wide):
-            half = np.abs(query / 2 - rows[wide] / 2)
-            most = half.max(axis=1)
-            far[wide] = 2 * (most * np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)))
+    for i in range(len(query)):
+        step = query[i] - rows[:, i]
+        total += step * step
+    wide = np.flatnonzero(~np.isfinite(total))
+    far = np.sqrt(total)
+    if len(wide):
+        half = np.abs(query / 2 - rows[wide] / 2)
+        most = half.max(axis=1)
+        far[wide] = 2 * (most * np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)))
     return far
 
 
-def _least(ids: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, far))[:k]
-
-
 class Nearest:
-    """The k nearest so far of each query, over rows that come in portions."""
-
-    def __init__(self, index: Index, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.index, self.ids, self.queries, self.k = index, ids, queries, k
-        self.turned, self.norms = index.turn(queries) if len(ids) else (queries, np.zeros(0))
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
-
-    @np.errstate(over="ignore", invalid="ignore", divide="ignore")
-    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        codes, norms, scale = self.index.encode(rows)
-        for begin in range(0, len(self.ids), _QUERIES):
-            at = slice(begin, begin + _QUERIES)
-            low, high = self.index.bounds((self.turned[at], self.norms[at]), codes, norms, scale)
-            for i in range(low.shape[0]):
-                self._one(begin + i, ids, rows, low[i], high[i])
-
-    def _one(self, q: int, ids: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        """Rerank the rows whose lower bound isn't over the k-th smallest upper bound or distance."""
-        other = ids != self.ids[q]
-        best_ids, best = self.best[q]
-        limit = best[-1] ** 2 * (1 + 1e-9) if len(best) == self.k else np.inf
-        if other.sum() > self.k:
-            bound = np.partition(high[other], self.k - 1)[self.k - 1]
-            limit = limit if np.isnan(bound) else min(limit, bound)
-        take = np.flatnonzero(~(low > limit) & other)  # a bound that overflowed says nothing
-        if len(take):
-            far = np.concatenate([best, _distances(self.queries[q], rows[take])])
-            found = np.concatenate([best_ids, ids[take]])
-            order = _least(found, far, self.k)
-            self.best[q] = found[order], far[order]
+    """The k nearest so far of each question, over blocks of rows that come one by one; `reranked` counts exact distances."""
+
+    def __init__(self, questions: Questions, k: int):
+        self.questions, self.k, self.reranked = questions, k, 0
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(questions.ids)
+
+    def add(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, scale: np.ndarray, rows: np.ndarray) -> None:
+        """Rerank of each question the rows whose lower bound isn't over the k-th smallest upper bound or distance."""
+        k = self.k
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for q in range(len(self.questions.ids)):
+                low, high = self.questions.bounds(q, codes, norms, scale)
+                other = ids != self.questions.ids[q]
+                best_ids, best = self.best[q]
+                limit = best[-1] ** 2 * (1 + 1e-9) if len(best) == k else np.inf
+                if other.sum() > k:
+                    bound = np.partition(high[other], k - 1)[k - 1]
+                    limit = limit if np.isnan(bound) else min(limit, bound)
+                take = np.flatnonzero(~(low > limit) & other)  # a bound that overflowed says nothing
+                if len(take):
+                    self.reranked += len(take)
+                    far = np.concatenate([best, _distances(self.questions.vectors[q], rows[take])])
+                    found = np.concatenate([best_ids, ids[take]])
+                    order = np.lexsort((found, far))[:k]
+                    self.best[q] = found[order], far[order]
 
     def result(self) -> pa.RecordBatch:
-        query = np.repeat(self.ids, [len(i) for i, _ in self.best])
+        query = np.repeat(self.questions.ids, [len(i) for i, _ in self.best])
         ids = np.concatenate([i for i, _ in self.best]) if len(query) else np.zeros(0, dtype=np.int64)
         far = np.concatenate([d for _, d in self.best]) if len(query) else np.zeros(0)
         return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(far)], names=["query_id", "vec_id", "score"])
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, width: float = 4.0, block: int = BLOCK) -> DataFrame:
-    """The `k` nearest rows of each query: query_id, rank (from 1), vec_id, score (Euclidean distance).
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int, *keys: str) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+    """Parts of up to `most` rows that agree in `keys`, by which rows are sorted."""
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for first, last in zip(edges, edges[1:], strict=False):
+            for begin in range(first, last, most):
+                yield batch.slice(begin, min(most, last - begin)), tuple(int(c[begin]) for c in columns)
+
+
+class Index:
+    """Codes, scalars and vectors of (id, v) rows in stored blocks, for any number of searches.
 
-    Both tables are (id, v) as `usable` gives them; a row with a query's id is not its
-    candidate. Each length of the queries' vectors is searched on its own, among the rows
-    of that length. Ties go to smaller ids. All rows are coded and bounded for all queries: queries go in blocks of
-    `block`, one pass over the rows each, and each task keeps its k best a query, so
-    that at most k rows a query and task meet in the final ranking. Rows that repeat an
-    id are candidates each; queries that repeat an id count once for each length (the
-    first by vector).
+    `centres` are the means of about `sample` rows, picked by a hash of the id, by length of
+    vector; lengths that none of them has keep zero. All rows are coded. Each length has
+    stripes of about `stripe` rows, picked by a hash of the id and vector: what a task compares with questions.
     """
-    spark = rows.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    wanted = queries.groupBy(F.size("v").alias("size"), "id").agg(F.min("v").alias("v"))
-    passes: list[DataFrame] = []
 
-    def one(rows: DataFrame, index: Index, size: int, found: list) -> DataFrame:
-        ids = np.array([r.id for r in found], dtype=np.int64)
-        vectors = np.array([r.v for r in found], dtype=np.float64).reshape(len(found), size)
-        sent = spark.sparkContext.broadcast((ids, vectors))  # at most `block` vectors
+    def __init__(self, rows: DataFrame, sample: int = 50_000, width: float = 4.0, stripe: int = STRIPE):
+        spark, self.width = rows.sparkSession, width
+        sized = spread(rows).withColumn("size", F.size("v"))
+        sizes = {r.size: r.n for r in sized.groupBy("size").agg(F.count("*").alias("n")).collect()}  # a row a length
+        total = sum(sizes.values())
+        share = int(min(1.0, sample / max(1, total)) * (1 << 20)) or 1
+        picked = sized.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
+        self.centres = {s: np.zeros(s) for s in sizes}
+        for r in picked.select("size", F.posexplode("v").alias("i", "x")).groupBy("size", "i").agg(F.avg("x").alias("x")).collect():
+            if np.isfinite(r.x):
+                self.centres[r.size][r.i] = r.x
+        cores = spark.sparkContext.defaultParallelism
+        self.shares = {s: max(1, -(-n // stripe), min(cores, n // ROWS)) for s, n in sizes.items()}
+        self.spark, centres = spark, self.centres
+
+        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with np.errstate(over="ignore", invalid="ignore"):
+                for part, (size, stripe) in _runs(batches, ROWS, "size", "stripe"):
+                    v = _matrix(part.column("v"), size)
+                    made = [part.column("id").to_numpy(), *encode(v, centres[size]), v]
+                    kinds = ["<i8", "u1", "<f8", "<f8", "<f8"]
+                    blobs = [pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(made, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([stripe], pa.int32()), *blobs], names=[f.split()[0] for f in _BLOCKS.split(", ")])
+
+        table = spark.createDataFrame(list(self.shares.items()) or [(0, 1)], "size int, share int")
+        dealt = sized.join(F.broadcast(table), "size").withColumn("stripe", F.pmod(F.xxhash64("id", "v"), F.col("share")).cast("int"))  # a row a length
+        parts = max(1, sum(self.shares.values()))
+        dealt = dealt.repartition(parts, "size", "stripe").sortWithinPartitions("size", "stripe", "id").select("size", "stripe", "id", "v")
+        self.blocks = Written(dealt.mapInArrow(code, _BLOCKS), "codes").df
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """The `k` nearest rows of each of `queries` (id, v): query_id, rank (from 1), vec_id, score (Euclidean distance).
+
+        A row with a query's id is not its candidate; rows of another length aren't either. Ties go to smaller ids. Queries go in
+        blocks to every stripe of their length, a task keeps the k best of each, so that at most k
+        rows a query and stripe meet in the final ranking. Rows that repeat an id are
+        candidates each; queries that repeat an id count once for each length (the first
+        by vector). An empty table, of rows or queries, gives none.
+        """
+        centres, width = self.centres, self.width
+        wanted = queries.groupBy(F.size("v").alias("size"), "id").agg(F.min("v").alias("v"))
+        table = self.spark.createDataFrame(list(self.shares.items()) or [(0, 1)], "size int, share int")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, (size,) in _runs(batches, QUERIES, "size"):
+                blobs = [part.column("id").to_numpy().astype("<i8").tobytes(), _matrix(part.column("v"), size).astype("<f8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], names=["size", "q_ids", "q_vectors"])
+
+        asked = wanted.join(F.broadcast(table), "size").select("size", "id", "v").sortWithinPartitions("size", "id").mapInArrow(pack, "size int, q_ids binary, q_vectors binary")
+        asked = asked.withColumn("question", F.xxhash64("q_ids"))
+        visits = asked.join(F.broadcast(table), "size").withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("share") - 1))).drop("share")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Nearest(index, *sent.value, k)
+            held, at = None, None
             for batch in batches:
-                for begin in range(0, batch.num_rows, _ROWS):
-                    part = batch.slice(begin, _ROWS)
-                    v = part.column("v").flatten().to_numpy().reshape(part.num_rows, size)
-                    best.add(part.column("id").to_numpy(), v)
-            yield best.result()
-
-        return rows.mapInArrow(run, "query_id long, vec_id long, score double")
-
-    for size in sorted(r[0] for r in wanted.select("size").distinct().collect()):
-        same = rows.filter(F.size("v") == size)
-        index, same = fit(same, size, width=width), spread(same)
-        held: list = []
-        for row in wanted.filter(F.col("size") == size).orderBy("id").toLocalIterator():
-            held.append(row)
-            if len(held) == block:
-                passes.append(one(same, index, size, held))
-                held = []
-        if held:
-            passes.append(one(same, index, size, held))
-    if not passes:
-        return empty
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    found = reduce(DataFrame.unionAll, passes).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+                for i in range(batch.num_rows):
+                    get = lambda c, t: np.frombuffer(batch.column(c)[i].as_py(), dtype=t)  # noqa: E731, B023
+                    size, key = batch.column("size")[i].as_py(), batch.column("question")[i].as_py()
+                    q_ids, ids = get("q_ids", "<i8"), get("ids", "<i8")
+                    if held is None or (size, key) != at or not np.array_equal(held.questions.ids, q_ids):
+                        if held is not None:
+                            yield held.result()
+                        questions = Questions(q_ids, get("q_vectors", "<f8").reshape(len(q_ids), size), centres[size], width)
+                        held, at = Nearest(questions, k), (size, key)
+                    held.add(ids, get("codes", "u1").reshape(len(ids), -1), get("norms", "<f8"), get("scale", "<f8"), get("vectors", "<f8").reshape(len(ids), size))
+            if held is not None:
+                yield held.result()
+
+        pairs = visits.join(self.blocks, ["size", "stripe"]).sortWithinPartitions("size", "question", "stripe")
+        found = pairs.select("size", "question", "q_ids", "q_vectors", "ids", "codes", "norms", "scale", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, width: float = 4.0) -> DataFrame:
+    """`Index.search` over an index made of `rows`; both tables are (id, v) as `usable` gives them."""
+    return Index(rows, width=width).search(queries, k)
 
 
 def op9(embeddings: DataFrame) -> DataFrame:
-    """The 10 nearest of each row whose vec_id is divisible by 100."""
+    """The 10 nearest of each row whose vec_id is divisible by 100. An empty table gives no row."""
     rows = usable(embeddings)
     return search(rows, rows.filter(F.col("id") % 100 == 0), k=10)
