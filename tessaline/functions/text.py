@@ -76,11 +76,12 @@ def base_columns(text: Column) -> list[Column]:
 def with_base(docs: DataFrame) -> DataFrame:
     """`docs` (text) with what the signals build on.
 
-    `sent_mean` and `grams` are columns of their own, as lambdas would work out an
-    expression anew for every element.
+    `sent_mean`, `grams` and `content` are columns of their own, as lambdas would work out an
+    expression anew for every element, and several uses each for itself.
     """
     based = docs.select("*", *base_columns(F.col("text")))
-    return based.select("*", mean(F.col("sent_words")).alias("sent_mean"), grams().alias("grams"))
+    content = F.filter("words", lambda w: ~w.isin(STOPWORDS))
+    return based.select("*", mean(F.col("sent_words")).alias("sent_mean"), F.array_sort(grams()).alias("grams"), content.alias("content"))
 
 
 def raw_columns(text: Column) -> list[Column]:
@@ -113,8 +114,13 @@ def grams() -> Column:
 
 
 def repeat_rate() -> Column:
-    """Distinct repeated trigrams over all trigrams among the first words; 0 with fewer than three."""
-    again = F.array_distinct(F.filter("grams", lambda x, i: F.array_position("grams", x) <= i))
+    """Distinct repeated trigrams over all trigrams among the first words; 0 with fewer than three.
+
+    `grams` are sorted: a repeated one counts where it stands for the second time.
+    """
+    places = F.sequence(F.lit(1), F.greatest(F.size("grams") - 1, F.lit(1)))
+    gram = lambda i: F.get("grams", i)
+    again = F.filter(places, lambda i: (gram(i) == gram(i - 1)) & ((i < 2) | (gram(i - 2) != gram(i))))
     return F.when(F.size("words") >= 3, F.size(again) / F.size("grams")).otherwise(0.0)
 
 
@@ -127,8 +133,7 @@ def keyword_density(text: Column, keywords: list[str] = KEYWORDS) -> Column:
 
 def content_variety_loss() -> Column:
     """1 - distinct share of the content words; 0.5 with fewer than 20."""
-    content = F.filter("words", lambda w: ~w.isin(STOPWORDS))
-    return F.when(F.size(content) >= 20, 1 - F.size(F.array_distinct(content)) / F.size(content)).otherwise(0.5)
+    return F.when(F.size("content") >= 20, 1 - F.size(F.array_distinct("content")) / F.size("content")).otherwise(0.5)
 
 
 def shortfall(value: Column, scale: Column) -> Column:

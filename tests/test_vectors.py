@@ -132,3 +132,17 @@ def test_pair_moments(spark):
     assert alone.count() == 0
     plan = N.pair_similarity(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 0
+
+
+def test_neighbours_within_some_of_the_rows(spark):
+    """Lists of a larger table are enough for most; who keeps too few is searched anew."""
+    m = clumps(9, 200, 4, 3, 1.0)
+    rows = frame(spark, m)
+    fetched = N.top_k(rows, rows, 12).cache()
+    for keep in (range(0, 200, 2), range(0, 200, 11), [3, 4, 5], [7]):
+        ids = spark.createDataFrame([(i,) for i in keep], "id long")
+        vectors = rows.join(ids, "id", "left_semi")
+        sub = m[list(keep)]
+        assert found(N.within(fetched, 12, ids, vectors, 5)) == {
+            k: [list(keep)[j] for j in v] for k, v in plain(sub, sub, 5, list(keep), list(keep)).items() if v
+        }
