@@ -63,7 +63,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("template", [Template(), Template("<|begin|>", "{says}", "{learns}", "~~end", escape="^", learned=("b", "c"))])
+@pytest.mark.parametrize("template", [Template(), Template("<|begin|>", "{says}", "{learns}", "~end", escape="^", learned=("b", "c"))])
 def test_round_trip(spark, template):
     """Roles and texts of every kind come back, and no text holds a mark."""
     marks = [*template.marks, *[m[0] + template.escape * n + m[1:] for m in template.marks for n in (1, 2, 3)], "".join(template.marks)]
