@@ -39,6 +39,8 @@ OVERWRITTEN = 0.05
 #: Number of benign queries drawn; fewer where there are fewer clean documents.
 BENIGN_QUERIES = 2000
 QUERY_TARGET = 0.05
+# Fixed value: the threshold of the older score.
+ABSOLUTE_TAU = 0.4516
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -527,7 +529,7 @@ def relative_threshold_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def absolute_threshold_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = _records(spark, sf_dir).withColumn("flagged", F.col("score") > 0.4516)
+    flagged = _records(spark, sf_dir).withColumn("flagged", F.col("score") > ABSOLUTE_TAU)
     return flagged.groupBy("adv", "is_poisoned").agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"))
 
 

@@ -45,7 +45,8 @@ def test_entry(spark):
 def test_sources_and_sinks(spark, tmp_path):
     docs = IO.labelled(spark, SF)
     IO.write_corpus(docs, str(tmp_path / "c"))
-    assert IO.read_corpus(spark, str(tmp_path / "c")).count() == docs.count()
+    theirs = {(f"doc_{r.doc_id}", r.text, r.is_poisoned) for r in docs.collect()}
+    assert {(r.id, r.text, r.is_poisoned) for r in IO.read_corpus(spark, str(tmp_path / "c")).collect()} == theirs
     assert IO.read_results(spark, str(tmp_path / "none")).count() == 0
     assert "Error" in IO.markdown_summary(spark.createDataFrame([(None, 1.0)], "a string, b double"))
 
