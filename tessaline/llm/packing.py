@@ -180,9 +180,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         if sum(b.num_rows for b in held):
             yield placed(pa.Table.from_batches(held))
 
-    mixed = F.xxhash64("doc_id", "piece", "start", "length", at)
-    dealt = stored.repartitionById(tasks, F.pmod(mixed, F.lit(tasks)).cast("int")) if tasks > 1 else stored.coalesce(1)
-    ordered = dealt.sortWithinPartitions(mixed, at).drop(at)
+    mixed, known = F.xxhash64("doc_id", "piece", "start"), F.xxhash64("doc_id", "piece", "start", "length", at)
+    dealt = stored.repartitionById(tasks, F.pmod(known, F.lit(tasks)).cast("int")) if tasks > 1 else stored.coalesce(1)
+    ordered = dealt.sortWithinPartitions(mixed, known, at).drop(at)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     return ordered.mapInArrow(place, f"{fields}, `{new[0]}` long, `{new[1]}` long")
 
