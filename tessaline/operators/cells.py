@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,10 @@ CELL, MOST_CELLS = 16_384, 4096
 _BLOCK_SCHEMA = "bucket int, cell int, n int, ids binary, m binary"
 
 
+def _table_name(path: str) -> str:
+    return "blocks_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+
+
 @dataclass
 class Cells:
     """A stored table of blocks: bucket, cell, n, ids and m (n vectors of doubles, row by row).
@@ -45,7 +50,7 @@ class Cells:
         return len(self.of_bucket)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        name = f"blocks_{self.path.rstrip('/').rsplit('-', 1)[-1]}"
+        name = _table_name(self.path)
         if not spark.catalog.tableExists(name):
             place = self.path.replace("'", "\\'")
             spark.sql(
@@ -146,7 +151,7 @@ def write_cells(rows: DataFrame, path: str | None = None, cells: int | None = No
         (F.col("base") + F.pmod(F.xxhash64("id"), F.col("share"))).cast("int").alias("bucket"), "cell", "id", "v"
     )
     blocks = numbered.repartition(made.buckets, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(_to_blocks, _BLOCK_SCHEMA)
-    name = f"written_{made.path.rsplit('-', 1)[-1]}"
+    name = "new_" + _table_name(made.path)
     blocks.write.bucketBy(made.buckets, "bucket").option("path", f"{made.path}/blocks").format("parquet").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay: their place was given
     if path:  # to be opened again

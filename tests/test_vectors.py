@@ -84,7 +84,7 @@ def test_nulls_and_no_rows(spark):
 
 def test_stored_blocks_are_read_without_a_shuffle(spark, tmp_path):
     m = clumps(3, 400, 6, 5, 0.3)
-    path = str(tmp_path / "blocks-1")
+    path = str(tmp_path / "stored blocks")
     write_cells(frame(spark, m), path, cells=4)
     cells = open_cells(spark, path)
     other = spark.range(cells.buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(1).alias("x"))
