@@ -146,3 +146,22 @@ def test_neighbours_within_some_of_the_rows(spark):
         assert found(N.within(fetched, 12, ids, vectors, 5)) == {
             k: [list(keep)[j] for j in v] for k, v in plain(sub, sub, 5, list(keep), list(keep)).items() if v
         }
+
+
+def test_queries_are_sent_once_a_slab(spark):
+    """A cloud visits everything: queries go to a few slabs, not to each bucket, and bring back k rows from each at most."""
+    m = clumps(9, 1200, 6, 1, 20.0)
+    cells = write_cells(frame(spark, m), cells=24)
+    assert cells.buckets >= 24
+    search = N.Search(cells, cells, spark, 4)
+    visits = search.visits(search.own_cells().cache())
+    assert sum(len(r.q_ids) // 8 for r in visits.collect()) <= 4 * 1200
+    assert found(search.result()) == plain(m, m, 4)
+
+
+def test_a_bound_keeps_what_rounds_up_to_it(spark):
+    """The least similarity of a block of queries doesn't lose rows that reach it only when rounded; ties go to smaller ids."""
+    q, r = np.array([[1.0, 0.0]]), np.array([[0.5, 0.1], [0.5 - 4e-10, 0.2], [0.5 - 6e-10, 0.3]])
+    kept = N._Kept(np.array([9]), q, np.array([0.5]), 3, True)
+    kept.meet(np.array([7, 3, 1]), r, None)
+    assert kept.rows().column("id").to_pylist() == [3, 7]
