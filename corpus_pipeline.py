@@ -27,7 +27,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies (shingle similarity 0.8 or more) stays, the one with the smallest id."""
+    """One document of each group of copies (shingle similarity 0.8 or more) stays, the one with the smallest id.
+
+    SimHash fingerprints link the texts; the similarity of each pair of a group is checked, and MinHash bands add the
+    pairs of that similarity that the fingerprints don't link.
+    """
     return copies.keep_one(docs)
 
 

@@ -1,4 +1,7 @@
-"""Copies by the similarity of their word shingles: MinHash bands propose pairs, exact similarity decides."""
+"""Copies by the similarity of their word shingles.
+
+SimHash fingerprints propose groups; MinHash bands add the pairs whose similarity 64 bits don't show; exact similarity decides.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +15,13 @@ from pyspark.sql import functions as F
 
 from tessaline.llm.common import Written, id_key, join_hash, join_unequal, shuffle_partitions, spread, text_slices
 from tessaline.llm.components import connected_components
-from tessaline.llm.simhash import UNIT, stars
+from tessaline.llm.simhash import UNIT, links_between, simhash_bytes, stars
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.999997 at 0.8.
 BANDS, ROWS = 32, 5
+#: Bits that fingerprints of one SimHash group differ in, from link to link.
+BITS = 4
 #: Bytes of text taken apart at once.
 _PART = 1 << 20
 #: Shingles hashed at once; bounds memory for very long texts.
@@ -26,7 +31,7 @@ _COLUMNS = 1 << 12
 #: Shingles of a part of a group; bounds a unit's memory where texts are long.
 _UNIT_SHINGLES = 1 << 20
 #: Names that no input column is expected to have.
-_KEY, _CLASS, _BANDS, _ORDER = "__tessaline_key", "__tessaline_class", "__tessaline_bands", "__tessaline_order"
+_KEY, _CLASS, _PRINT, _BANDS, _ORDER = (f"__tessaline_{n}" for n in ("key", "class", "print", "bands", "order"))
 _TURNS = np.random.default_rng(31).integers(0, 2**64, size=(2, BANDS * ROWS), dtype=np.uint64, endpoint=False)
 
 
@@ -84,22 +89,25 @@ def links_of(found: np.ndarray, sizes: np.ndarray, side: np.ndarray, least: floa
 
 
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """`docs` (with text) and, for each row, its key, `c`, a 128-bit hash of the words that exact copies share, and bands."""
+    """`docs` (with text) and, for each row, its key, `c`, a 128-bit hash of the words that exact copies share, SimHash and bands."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=_PART):
-                words = [split(t) for t in part.column("text").cast(pa.large_binary()).to_pylist()]
+                texts = part.column("text").cast(pa.large_binary()).to_pylist()
+                words = [split(t) for t in texts]
+                prints = np.array([simhash_bytes(t or b"", shingle) for t in texts], dtype=np.uint64).view(np.int64)
                 classes = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
                 values = [bands(shingles(w, shingle)).view(np.int64) for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(classes, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=[*names, _KEY, _CLASS, _BANDS]
+                    [*part.columns, pa.array(classes, pa.binary()), pa.array(prints), pa.array(values, pa.list_(pa.int64()))],
+                    names=[*names, _KEY, _CLASS, _PRINT, _BANDS],
                 )
 
     rows = spread(docs.withColumn(_KEY, id_key()))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(run, ", ".join([*fields, f"{_CLASS} binary, {_BANDS} array<long>"]))
+    return rows.mapInArrow(run, ", ".join([*fields, f"{_CLASS} binary, {_PRINT} long, {_BANDS} array<long>"]))
 
 
 def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -172,40 +180,60 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("c", "text").mapInArrow(run, "c binary, s array<long>")
 
 
-def _groups(prints: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(c, rep, n) of the classes of `prints`, and (vertex, component) of those that have a link, by class.
+def _near_prints(classes: DataFrame) -> DataFrame:
+    """(hub, c) for `classes` (c, fp): the groups of more than one whose fingerprints are linked at `BITS` or fewer bits."""
+    prints = Written(classes.groupBy("fp").agg(F.count("*").alias("n")), "prints").df
+    components = connected_components(links_between(prints.select(F.col("fp").alias("rep"), "fp"), BITS))
+    rooted = prints.join(components, F.col("fp") == F.col("vertex"), "left").select("fp", "n", F.coalesce("component", "fp").alias("root"))
+    several = rooted.groupBy("root").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("root")
+    labels = Written(rooted.join(several, "root").select("fp", "n", "root"), "roots").df
+    found = join_unequal(classes.select("c", "fp"), labels, ["fp"], classes.count())
+    return found.select(F.unhex(F.lpad(F.hex("root"), 16, "0")).alias("hub"), "c")
+
+
+def _shared_bands(classes: DataFrame) -> DataFrame:
+    """(hub, c) for `classes` (c, bands) that share a band.
 
     Members of a bucket go to the group of its hub, the member that meets most others,
     so that the many buckets of one large group of copies are settled once.
     """
-    named = prints.select(F.col(_KEY).alias("key"), F.col(_CLASS).alias("c"), F.col(_BANDS).alias("bands"), "text")
-    classes = Written(named.groupBy("c").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes").df
     keyed = classes.select("c", F.explode("bands").alias("v"))
     sizes = keyed.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1")
     met = Written(keyed.join(sizes, "v"), "met").df
     degrees = met.groupBy("c").agg(F.sum("n").alias("d"))
     hubs = met.join(degrees, "c").groupBy("v").agg(F.max(F.struct("d", "c")).alias("h")).select("v", F.col("h.c").alias("hub"))
-    members = Written(met.join(hubs, "v").select("hub", "c").distinct(), "members").df
+    return met.join(hubs, "v").select("hub", "c").distinct()
+
+
+def _groups(prints: DataFrame, shingle: int, least: float, wider: bool) -> tuple[DataFrame, DataFrame]:
+    """(c, rep, n) of the classes of `prints`, and (vertex, component) of those that have a link, by class."""
+    named = prints.select(F.col(_KEY).alias("key"), F.col(_CLASS).alias("c"), F.col(_PRINT).alias("fp"), F.col(_BANDS).alias("bands"), "text")
+    first = [F.first(c).alias(c) for c in ("fp", "bands")]
+    classes = Written(named.groupBy("c").agg(F.min("key").alias("rep"), *first, F.count("*").alias("n")), "classes").df
+    near = _near_prints(classes.select("c", "fp"))
+    members = Written(near.unionByName(_shared_bands(classes.select("c", "bands"))) if wider else near, "members").df
     # one text a class: by key and class, as a class can have a third of all rows
-    needed = classes.join(degrees.select("c"), "c", "left_semi").select(F.col("rep").alias("key"), "c")
+    needed = classes.join(members.select("c").distinct(), "c", "left_semi").select(F.col("rep").alias("key"), "c")
     texts = named.select("key", "c", "text").join(needed, ["key", "c"], "left_semi").groupBy("c").agg(F.first("text").alias("text"))
     sets = Written(_sets(texts, shingle), "sets").df
     return classes.select("c", "rep", "n"), connected_components(_links(members, sets, least))
 
 
-def copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, wider: bool = True) -> DataFrame:
     """Group the rows of `docs` whose texts are copies, directly or over others.
 
     Two texts are linked if the Jaccard similarity of their shingles is `least` or more;
-    each link is verified on the whole texts. Pairs are proposed by MinHash bands, which
-    a pair of similarity 0.8 shares with probability 0.999997. Returns (key, c,
+    each link is verified on the whole texts. SimHash groups the texts whose fingerprints
+    are linked at `BITS` or fewer bits, and all pairs of a group are looked at; where
+    `wider`, those that share MinHash bands too, which a pair of similarity 0.8 does with
+    probability 0.999997, as most such pairs are further apart in 64 bits. Returns (key, c,
     component), one row for each input row: `id_key` of the id, the hash of its words,
     and the smallest key among the rows of its group. Texts with the same words are one
     class (those without a word among them). Rows that repeat an id, or have none, are
     grouped by their own texts only. An empty table gives no row.
     """
     prints = Written(_prints(docs.select("doc_id", F.col("text").cast("string").alias("text")), shingle), "prints").df
-    classes, components = _groups(prints, shingle, least)
+    classes, components = _groups(prints, shingle, least, wider)
     rooted = classes.join(components, F.col("c") == F.col("vertex"), "left").withColumn("root", F.coalesce("component", "c"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     labels = Written(rooted.select("c", "n", "root").join(smallest, "root").select("c", "n", "component"), "labels").df
@@ -213,7 +241,7 @@ def copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     return join_unequal(rows, labels, ["c"], rows.count())
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, wider: bool = True) -> DataFrame:
     """The documents without copies: of each group as `copies` finds them the row with the smallest id stays.
 
     A null id sorts first. Of several rows with that id, the one whose words have the
@@ -222,7 +250,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame
     are unchanged, whatever their names.
     """
     prints = Written(_prints(docs.withColumn("text", F.col("text").cast("string")), shingle), "prints").df
-    classes, components = _groups(prints, shingle, least)
+    classes, components = _groups(prints, shingle, least, wider)
     rooted = classes.join(components, F.col("c") == F.col("vertex"), "left").withColumn("root", F.coalesce("component", "c"))
     stay = rooted.groupBy("root").agg(F.min(F.struct("rep", "c")).alias("x")).select(F.col("x.rep").alias(_KEY), F.col("x.c").alias(_CLASS))
     # rows are joined by id and class together, so that neither a hot text nor a hot id meets in one task; rows equal

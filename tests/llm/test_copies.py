@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tessaline.llm import simhash
+from tessaline.llm import copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,3 +54,17 @@ def test_texts_under_the_similarity_stay(spark):
     prints = [simhash.simhash_bytes(t.encode(), 5) for t in texts.values()]
     assert (prints[0] ^ prints[1]).bit_count() <= 6 and share(*texts.values()) < 0.8
     assert kept(spark, texts) == {155, 192}
+
+
+def test_fingerprints_propose_copies(spark):
+    """SimHash alone links the copies within its bits, checked by similarity; MinHash adds the others."""
+    rng, texts = random.Random(8), {}
+    for n in range(0, 120, 2):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+        texts |= {n: base, n + 1: edited(rng, base, 1 + n % 4)}
+    prints = {i: simhash.simhash_bytes(t.encode(), 5) for i, t in texts.items()}
+    close = {n + 1 for n in range(0, 120, 2) if (prints[n] ^ prints[n + 1]).bit_count() <= copies.BITS}
+    rows = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in texts.items()], SCHEMA)
+    assert 5 < len(close) < 60
+    assert {r.doc_id for r in copies.keep_one(rows, wider=False).collect()} == set(texts) - close
+    assert kept(spark, texts) == set(range(0, 120, 2))
