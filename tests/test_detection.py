@@ -153,3 +153,27 @@ def test_calibration_ids_are_a_sorted_set(spark, tmp_path):
 def test_corpus_scan(spark):
     rows = spark.createDataFrame([(i, " " + "x" * (295 + i) + "\n") for i in range(20)], "doc_id long, text string")
     assert sorted(r.doc_id for r in IO.corpus_scan(rows, 5).collect()) == [6, 7, 8, 9, 10]
+
+
+def test_runs_broadcast_no_table_that_grows(spark):
+    """Encounters are joined without sending scores, queries or flags to the driver."""
+    from tessaline.plans.queries import Evaluation
+
+    ids = range(60)
+    rows = spark.createDataFrame([(i, i % 10 == 0) for i in ids], "id long, is_poisoned boolean")
+    met = spark.createDataFrame([(i, (i + j) % 60) for i in ids for j in (1, 2)], "query_id long, doc_id long")
+    tampered = spark.createDataFrame([(i, False) for i in ids], "doc_id long, tampered boolean")
+    scores = spark.createDataFrame([(i, i % 10 == 0, "L1", i / 60) for i in ids], SCORES)
+    made = Evaluation(scores, rows, met, tampered)
+    plan = made.encounters._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and made.encounters.count() > 0
+
+
+def test_compression_ratio(spark):
+    import zlib
+
+    from tessaline.operators import signals as S
+
+    texts = {1: "", 2: "a" * 5000, 3: "ä b\n", 4: None}
+    found = {r.doc_id: r.ratio for r in S.compression_ratio(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == {i: len(zlib.compress(t.encode())) / len(t.encode()) if t else 0.0 for i, t in texts.items()}
