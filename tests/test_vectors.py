@@ -165,3 +165,39 @@ def test_a_bound_keeps_what_rounds_up_to_it(spark):
     kept = N._Kept(np.array([9]), q, np.array([0.5]), 3, True)
     kept.meet(np.array([7, 3, 1]), r, None)
     assert kept.rows().column("id").to_pylist() == [3, 7]
+
+
+def test_blocks_go_to_a_task_once(spark, monkeypatch):
+    """What the tasks of a search are given goes with rows times slabs and parts, not with pairs of blocks."""
+    m = clumps(9, 1200, 6, 1, 20.0)
+    cells = write_cells(frame(spark, m), cells=24)
+    given, kind = [], type(spark.range(1))
+    plain_map = kind.mapInArrow
+
+    def spy(self, run, schema, *more):
+        if schema == N._FOUND:
+            given.append(self)
+        return plain_map(self, run, schema, *more)
+
+    monkeypatch.setattr(kind, "mapInArrow", spy)
+    made = N.Search(cells, cells, spark, 4).result()
+    assert found(made) == plain(m, m, 4)
+    binary = [F.coalesce(F.length(c), F.lit(0)) for c, t in given[-1].dtypes if t == "binary"]
+    assert given[-1].agg(F.sum(sum(binary))).first()[0] <= 12 * 1200 * (6 * 8 + 8)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e30])
+def test_what_single_precision_cannot_tell(spark, scale):
+    """Similarities apart by less than single precision has, copies, and lengths beyond its range."""
+    r = np.random.default_rng(11)
+    near = np.tile(r.standard_normal(8), (300, 1)) / 3 + r.standard_normal((300, 8)) * 1e-8
+    m = np.concatenate([near, np.tile(r.standard_normal(8), (300, 1)), r.standard_normal((200, 8))]) * scale
+    rows = frame(spark, m)
+    if scale == 1.0:
+        assert found(N.top_k(rows, rows, 4)) == plain(m, m, 4)
+    else:  # products are all 0 to 9 digits, or too great for single precision
+        made = {(x.query_id, x["rank"]): x.sim for x in N.top_k(rows, rows, 4).collect()}
+        sims = m @ m.T
+        np.fill_diagonal(sims, -np.inf)
+        best = -np.sort(-sims, axis=1)[:, :4]
+        assert len(made) == 800 * 4 and all(abs(v - best[q, k - 1]) <= 1e-9 * abs(best[q, k - 1]) + 1e-9 for (q, k), v in made.items())
