@@ -201,3 +201,13 @@ def test_what_single_precision_cannot_tell(spark, scale):
         np.fill_diagonal(sims, -np.inf)
         best = -np.sort(-sims, axis=1)[:, :4]
         assert len(made) == 800 * 4 and all(abs(v - best[q, k - 1]) <= 1e-9 * abs(best[q, k - 1]) + 1e-9 for (q, k), v in made.items())
+
+
+def test_a_task_holds_few_bytes_of_long_vectors(spark, monkeypatch):
+    """What a task holds, and the queries it gets, are bounded in bytes, however long the vectors are."""
+    m = clumps(12, 1000, 64, 1, 20.0)
+    cells = write_cells(frame(spark, m), cells=40)
+    monkeypatch.setattr(N, "HELD", 32 * 1024)
+    search = N.Search(cells, cells, spark, 3)
+    assert search.each * m.nbytes / cells.buckets <= N.HELD and m.nbytes / search.parts <= 2 * N.HELD
+    assert found(search.result()) == plain(m, m, 3)
