@@ -11,6 +11,7 @@ from tessaline.plans import oracle, queries
 #: With the scales of the first 2,000, poisoned and long clean documents have equal signals, so that no poisoned one is caught.
 EXPECTED = {
     "adaptive_vs_baseline": lambda rows: all(r.asr_base == 0 for r in rows),
+    "against_constants": lambda rows: all(r.lower for r in rows),
     # queries
 }
 
