@@ -12,6 +12,7 @@ from tessaline.plans import oracle, queries
 EXPECTED = {
     "adaptive_vs_baseline": lambda rows: all(r.asr_base == 0 for r in rows),
     "against_constants": lambda rows: all(r.lower for r in rows),
+    "calibration_checkpoint": lambda rows: all(r.doc_length == 400 and r.sent_length == 400 for r in rows),
     # queries
 }
 
