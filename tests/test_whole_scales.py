@@ -14,6 +14,7 @@ EXPECTED = {
     "against_constants": lambda rows: all(r.lower for r in rows),
     "calibration_checkpoint": lambda rows: all(r.doc_length == 400 and r.sent_length == 400 for r in rows),
     "encounter_flags": lambda rows: all(r.flagged for r in rows if r.adv and r.is_poisoned),
+    "gate_verdicts": lambda rows: all(r.passed for r in rows),
     # queries
 }
 
