@@ -16,6 +16,7 @@ EXPECTED = {
     "encounter_flags": lambda rows: all(r.flagged for r in rows if r.adv and r.is_poisoned),
     "gate_verdicts": lambda rows: all(r.passed for r in rows),
     "multi_seed_aggregate": lambda rows: all(r.asr_max == 0 for r in rows),
+    "smoke_gate_strict": lambda rows: all(r.passed for r in rows),
     # queries
 }
 
