@@ -17,6 +17,7 @@ EXPECTED = {
     "gate_verdicts": lambda rows: all(r.passed for r in rows),
     "multi_seed_aggregate": lambda rows: all(r.asr_max == 0 for r in rows),
     "smoke_gate_strict": lambda rows: all(r.passed for r in rows),
+    "stability": lambda rows: all(r.stable for r in rows),
     # queries
 }
 
